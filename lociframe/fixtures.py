@@ -112,11 +112,8 @@ def oracle(names: str | list[str], body: str) -> str:
     ident = {t: t for t in TABLES}
     ctes = [f"{n} AS ({VIEWS[n].format(**DUCK, **ident)})" for n in _with_needs(wanted)]
     text = body.strip()
-    recursive = ""
-    if text[:15].upper() == "WITH RECURSIVE ":
-        recursive, text = "RECURSIVE ", "WITH " + text[15:]
+    if not ctes:
+        return text
     if text[:5].upper() == "WITH ":
         text = ",\n" + text[5:]
-    if not ctes:
-        return text.lstrip(",\n") if not recursive else body
-    return f"WITH {recursive}" + ",\n".join(ctes) + ("\n" if not text.startswith(",") else "") + text
+    return "WITH " + ",\n".join(ctes) + "\n" + text

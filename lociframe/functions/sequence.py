@@ -127,3 +127,14 @@ def context_class(base: Column, next1: Column, next2: Column) -> Column:
         .when(next2 == "G", "CHG")
         .otherwise("CHH")
     )
+
+
+# Fixed values: (1-based position, bases, weight) of the oriented binding motif.
+BINDING_MOTIF = [(5, "CA", 2), (9, "AG", 2), (15, "CA", 2)]
+
+
+def strand_by_evidence(seq: Column, marks=tuple(BINDING_MOTIF), margin: int = 4) -> Column:
+    """+ or - by which strand carries more motif weight, `.` inside the margin."""
+    score = lambda s: sum(F.when(F.substring(s, p, len(b)) == b, w).otherwise(0) for p, b, w in marks)
+    diff = score(seq) - score(revcomp(seq))
+    return F.when(diff >= margin, "+").when(diff <= -margin, "-").otherwise(".")
