@@ -65,6 +65,20 @@ FROM (SELECT seq_id, concat('chr', CAST(1 + seq_id % 5 AS {S})) AS chrom,
                   FROM {documents}) s0 WHERE length(seq) >= 60) s1) s2""",
 }
 
+# allele-specific counts: two bases of a variant next to a cytosine
+VIEWS["v_allele"] = """
+SELECT concat('chr', CAST(1 + l_suppkey % 5 AS {S})) AS chrom, CAST(l_partkey * 10 + l_linenumber AS INT) AS chrom_pos,
+       CAST(l_partkey * 10 + l_orderkey % 97 AS INT) AS allele_pos,
+       CASE l_linenumber % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'G' ELSE '0' END AS a_base, 'T' AS b_base,
+       CASE WHEN l_linenumber % 4 = 0 THEN 'A' ELSE 'G' END AS next_base_ref,
+       CAST(SUM(CAST(FLOOR(l_quantity) AS INT) % 11) AS BIGINT) AS a_c_reads,
+       CAST(SUM(CAST(FLOOR(l_extendedprice) AS BIGINT) % 7) AS BIGINT) AS a_t_reads,
+       CAST(SUM(CAST(FLOOR(l_extendedprice) AS BIGINT) % 5) AS BIGINT) AS b_c_reads,
+       CAST(SUM(CAST(FLOOR(l_quantity) AS INT) % 13) AS BIGINT) AS b_t_reads,
+       CAST(SUM(CAST(ROUND(l_discount * 100) AS INT)) AS BIGINT) AS total_reads_opp,
+       CAST(SUM(CASE WHEN CAST(ROUND(l_discount * 100) AS INT) >= 9 THEN 2 ELSE 0 END) AS BIGINT) AS a_reads_opp
+FROM {lineitem} GROUP BY 1, 2, 3, 4, 5, 6"""
+
 # read bases: one row per (read, reference position)
 VIEWS["v_base"] = """
 SELECT read_id, chrom, start_pos + i - 1 AS pos, strand, mapq, i AS off,

@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociframe.functions import intervals as I
 from lociframe.operators.lookups import cap_identical
 from lociframe.operators.rangejoin import (
-    flanked, overlap_count, overlap_pairs, pairs_within, points_in_intervals, within,
+    flanked, overlap_pairs, pairs_within, points_in_intervals, within,
 )
-from lociframe.operators.tiles import merge_intervals, running
+from lociframe.operators.tiles import TILE, cover_pieces, merge_intervals, running, tile_of, tile_window
 
 
 def align_samples(df: DataFrame, samples: Sequence[str], values: Sequence[str], keys=("chrom", "chrom_pos")) -> DataFrame:
@@ -31,12 +31,31 @@ def within_features(df: DataFrame, features: DataFrame, feat_types: Sequence[str
     return reduce(lambda d, t: within(d, features.filter(F.col("feat_type") == t), flank=flank), feat_types, df)
 
 
-def overlap_filter(a: DataFrame, b: DataFrame, flank: int = 0, how: str = "semi", same_strand: bool = False) -> DataFrame:
+def spans_meeting(spans: DataFrame, b: DataFrame, keys: Sequence[str], width: int = TILE) -> DataFrame:
+    """Those distinct (keys, start_pos, end_pos) spans that share a base with `b`.
+
+    Both sides are cut at tile borders; inside a tile the cover of `b` is disjoint, so the last
+    piece starting at or before the span end decides.
+    """
+    keys = list(keys)
+    cover = cover_pieces(b, keys, width=width).select(
+        *keys, tile_of("start_pos", width).alias("_tile"), F.col("start_pos").alias("_p"), F.lit(0).alias("_k"), F.col("end_pos").alias("_far"))
+    tiles = F.explode(F.sequence(tile_of("start_pos", width), tile_of("end_pos", width)))
+    asks = spans.withColumn("_tile", tiles).withColumn("_p", F.least(F.col("end_pos"), ((F.col("_tile") + 1) * width - 1).cast("int")))
+    rows = asks.withColumn("_k", F.lit(1)).unionByName(cover, allowMissingColumns=True)
+    reach = F.max("_far").over(tile_window(keys, "_p", "_k").rowsBetween(Window.unboundedPreceding, 0))
+    hit = rows.withColumn("_reach", reach).filter((F.col("_k") == 1) & (F.col("_reach") >= F.col("start_pos")))
+    return hit.select(*keys, "start_pos", "end_pos").distinct()
+
+
+def overlap_filter(a: DataFrame, b: DataFrame, flank: int = 0, how: str = "semi", same_strand: bool = False,
+                   keys: Sequence[str] = ("chrom",)) -> DataFrame:
     """Rows of `a` that overlap (semi) or do not overlap (anti) any row of `b`."""
-    keys = ["chrom", "strand"] if same_strand else ["chrom"]
-    cover = merge_intervals(b.select(*keys, "start_pos", "end_pos"), keys)
-    counted = overlap_count(a, cover, keys, flank=flank, name="_n_ov")
-    return counted.filter(F.col("_n_ov") > 0 if how == "semi" else F.col("_n_ov") == 0).drop("_n_ov")
+    keys = [*keys, "strand"] if same_strand else list(keys)
+    spans = flanked(a, flank).select(*keys, "start_pos", "end_pos").distinct()
+    hit = spans_meeting(spans, b.select(*keys, "start_pos", "end_pos"), keys)
+    hit = flanked(hit, -flank)
+    return a.join(hit, [*keys, "start_pos", "end_pos"], "left_semi" if how == "semi" else "left_anti").select(*a.columns)
 
 
 def asof(
@@ -298,7 +317,7 @@ def inverted_pairs(mates: DataFrame, n: int = 20, max_mismatches: int = 3) -> Da
 
 def island_flag(points: DataFrame, islands: DataFrame, pos: str = "chrom_pos") -> DataFrame:
     """`in_island` column; disjoint islands keep it one row per point."""
-    cover = merge_intervals(islands.select("chrom", "start_pos", "end_pos"), ["chrom"]).withColumnsRenamed({"start_pos": "_s", "end_pos": "_e"})
+    cover = cover_pieces(islands.select("chrom", "start_pos", "end_pos"), ["chrom"]).withColumnsRenamed({"start_pos": "_s", "end_pos": "_e"})
     out = points_in_intervals(points, cover, ["chrom"], pos, "_s", "_e", "left")
     return out.withColumn("in_island", F.col("_s").isNotNull()).drop("_s", "_e")
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociframe.operators.tiles import merge_intervals, running
+from lociframe.operators.tiles import cover_pieces, running
 
 BIN = 256
 
@@ -59,7 +59,7 @@ def within(
     width: int = BIN,
 ) -> DataFrame:
     """Points inside (left_semi) or outside (left_anti) any feature widened by `flank`."""
-    cover = merge_intervals(flanked(features, flank).select(*keys, "start_pos", "end_pos"), list(keys))
+    cover = cover_pieces(flanked(features, flank).select(*keys, "start_pos", "end_pos"), list(keys))
     cover = cover.withColumnsRenamed({"start_pos": "_start", "end_pos": "_end"})
     return points_in_intervals(points, cover, list(keys), pos, "_start", "_end", how, width)
 
@@ -73,7 +73,7 @@ def within_each_type(
     width: int = BIN,
 ) -> DataFrame:
     """One row per (point, feature type that holds it); a point counts once per type."""
-    cover = merge_intervals(
+    cover = cover_pieces(
         flanked(features, flank).select("chrom", feat_type, "start_pos", "end_pos"), ["chrom", feat_type]
     ).withColumnsRenamed({"start_pos": "_start", "end_pos": "_end"})
     return points_in_intervals(points, cover, ["chrom"], pos, "_start", "_end", "inner", width).drop("_start", "_end")
