@@ -66,9 +66,10 @@ def histogram(df: DataFrame, value: Column, lo: float, hi: float, bins: int, by:
     out = df.filter(value.isNotNull()).groupBy(*by, idx.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     if not normalized:
         return out
-    total = out.groupBy(*by).agg(F.sum("n").alias("_t")) if by else None
-    joined = out.join(total, list(by)) if by else out.join(out.agg(F.sum("n").alias("_t")))
-    return joined.withColumn("share", F.col("n") / F.col("_t")).drop("_t")
+    if not by:
+        return out.withColumn("share", F.col("n") / out.agg(F.sum("n")).scalar())
+    total = out.groupBy(*by).agg(F.sum("n").alias("_t"))
+    return out.join(total, list(by)).withColumn("share", F.col("n") / F.col("_t")).drop("_t")
 
 
 def neighbour_spans(features: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFrame:

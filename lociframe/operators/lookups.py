@@ -61,9 +61,9 @@ def to_local(df: DataFrame, sizes: DataFrame, global_pos: str = "global_pos") ->
     """Back from the global coordinate: the chromosome whose stretch holds it."""
     g = global_coordinates(sizes).select("chrom", "offset", "length")
     stretches = F.array_sort(F.collect_list(F.struct("offset", "length", "chrom")))
-    table = g.agg(stretches.alias("_g"))  # one row, one entry per chromosome
+    out = df.withColumn("_g", g.agg(stretches).scalar())  # one entry per chromosome
     hit = F.filter("_g", lambda s: (F.col(global_pos) > s["offset"]) & (F.col(global_pos) <= s["offset"] + s["length"]))
-    out = df.join(table).withColumn("_s", F.get(hit, F.lit(0)))
+    out = out.withColumn("_s", F.get(hit, F.lit(0)))
     return out.select(*df.columns, F.col("_s.chrom").alias("chrom"), (F.col(global_pos) - F.col("_s.offset")).alias("pos"))
 
 
