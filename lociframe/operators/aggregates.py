@@ -354,10 +354,14 @@ def chi_square_stat(a: Column, b: Column, c: Column, d: Column) -> Column:
     return term(a, c) + term(b, d)
 
 
-@F.pandas_udf("double")
-def chi_square_p(stat: pd.Series) -> pd.Series:
-    """Upper tail for one degree of freedom, a batch at a time."""
-    return pd.Series([None if v is None or np.isnan(v) else math.erfc(math.sqrt(v / 2)) for v in stat], dtype="float64")
+def chi_square_p(stat: Column) -> Column:
+    """Upper tail for one degree of freedom (no such function on the JVM side), an Arrow batch at a time."""
+
+    @F.pandas_udf("double")
+    def tail(x: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None or np.isnan(v) else math.erfc(math.sqrt(v / 2)) for v in x], dtype="float64")
+
+    return tail(stat)
 
 
 MAX_FISHER = 100

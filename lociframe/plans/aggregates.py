@@ -258,7 +258,7 @@ def asm_chisq(v):
 @question("a_asm_chisq_p")
 def asm_chisq_p(v):
     k = A.contingency(v.allele, min_allele=1).withColumn("stat", A.chi_square_stat(*_cells()))
-    return k.select("chrom", "chrom_pos", "allele_pos", "stat", F.log10(F.nullif(A.chi_square_p("stat"), F.lit(0.0))).alias("log10_p"))
+    return k.select("chrom", "chrom_pos", "allele_pos", "stat", F.log10(F.nullif(A.chi_square_p(F.col("stat")), F.lit(0.0))).alias("log10_p"))
 
 
 LF = "lgamma(CAST({x} + 1 AS DOUBLE))"
