@@ -41,7 +41,7 @@ def write_bed(features: DataFrame, path: str) -> None:
 
 def gff_attributes(text: Column) -> Column:
     """`key "value"; key "value"` or `key=value;...` to map<string, array<string>>."""
-    parts = F.filter(F.transform(F.split(text, ";"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, ";"), lambda x: F.trim(x)), lambda p: p != "")
     pairs = F.transform(parts, lambda p: F.struct(
         F.regexp_extract(p, r"^([^\s=]+)", 1).alias("k"),
         F.regexp_replace(F.regexp_extract(p, r"^[^\s=]+[\s=]+(.*)$", 1), '"', "").alias("v")))
