@@ -14,7 +14,8 @@ from lociframe.functions import methylation as M
 from lociframe.operators.rangejoin import interval_sums, pairs_within, points_in_intervals, within_each_type
 from lociframe.operators.tiles import row_halo, running, tile_window
 
-FRACTION = "decimal(38,12)"
+# sums of fractions as exact decimals: the same whatever the order of the rows
+FRACTION = "decimal(38,18)"
 
 
 def summary_columns(value: Column, weight: Column | None = None, prefix: str = "") -> list[Column]:

@@ -77,7 +77,8 @@ def scan_windows(
     """
     keys, extremes = list(keys), extremes or {}
     named = {f"_v_{n}": c for n, c in {**sums, **{f"x_{n}": c for n, c in extremes.items()}}.items()}
-    base = df.select(*keys, pos, *[c.alias(n) for n, c in named.items()])
+    exact = [f"_v_{n}" for n in sums]
+    base = df.select(*keys, pos, *[(c.cast(FRACTION) if n in exact else c).alias(n) for n, c in named.items()])
     rows = _with_reach(base, keys, pos, span, width)
     w = tile_window(keys, pos)
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rangeBetween(Window.unboundedPreceding, -span)
@@ -87,7 +88,7 @@ def scan_windows(
         *keys, pos, "_home",
         F.coalesce(F.max(pos).over(before), first).alias("start_pos"),
         (F.count(F.lit(1)).over(upto) - F.coalesce(F.nullif(F.count(F.lit(1)).over(before), F.lit(0)) - 1, F.lit(0))).alias("n"),
-        *[(F.sum(f"_v_{n}").over(upto) - F.coalesce(F.sum(f"_v_{n}").over(before) - F.coalesce(F.last(f"_v_{n}").over(before), F.lit(0)), F.lit(0))).alias(n) for n in sums],
+        *[(F.sum(f"_v_{n}").over(upto) - F.coalesce(F.sum(f"_v_{n}").over(before) - F.coalesce(F.last(f"_v_{n}").over(before), F.lit(0)), F.lit(0))).cast("double").alias(n) for n in sums],
         *[F.least(F.min(f"_v_x_{n}").over(inside), F.last(f"_v_x_{n}").over(before)).alias(f"{n}_min") for n in extremes],
         *[F.greatest(F.max(f"_v_x_{n}").over(inside), F.last(f"_v_x_{n}").over(before)).alias(f"{n}_max") for n in extremes],
     ).filter("_home").drop("_home").withColumnRenamed(pos, "end_pos")
@@ -104,14 +105,14 @@ def scan_windows_variable(
     stops at `max_span`.
     """
     keys = list(keys)
-    base = df.select(*keys, pos, *[c.alias(f"_v_{n}") for n, c in sums.items()])
+    base = df.select(*keys, pos, *[F.coalesce(c.cast(FRACTION), F.lit(0).cast(FRACTION)).alias(f"_v_{n}") for n, c in sums.items()])
     rows = position_halo(base, pos, max_span, 0, width)
     w = tile_window(keys, pos)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.select(
         *keys, pos, "_tile", "_home", F.row_number().over(w).alias("_i"), F.lead(pos).over(w).alias("_next"),
-        *[(F.coalesce(F.sum(f"_v_{n}").over(upto), F.lit(0.0))).alias(f"_s_{n}") for n in sums],
-        *[(F.coalesce(F.sum(f"_v_{n}").over(upto), F.lit(0.0)) - F.coalesce(F.col(f"_v_{n}"), F.lit(0.0))).alias(f"_p_{n}") for n in sums])
+        *[F.sum(f"_v_{n}").over(upto).alias(f"_s_{n}") for n in sums],
+        *[(F.sum(f"_v_{n}").over(upto) - F.col(f"_v_{n}")).alias(f"_p_{n}") for n in sums])
     far = F.struct(F.col(pos).alias("p"), "_i", "_next", *[f"_p_{n}" for n in sums])
     by_count = F.lag(far, min_count).over(w)
     by_span = F.last(far).over(w.rangeBetween(Window.unboundedPreceding, -min_span))
@@ -120,7 +121,7 @@ def scan_windows_variable(
     out = out.withColumn("_st", start).filter(F.col("_st").isNotNull() & (F.col(pos) - F.col("_st.p") < max_span))
     return out.select(
         *keys, F.col("_st._next").alias("start_pos"), F.col(pos).alias("end_pos"), (F.col("_i") - F.col("_st._i")).cast("bigint").alias("n"),
-        *[(F.col(f"_s_{n}") - F.col(f"_st._p_{n}")).alias(n) for n in sums])
+        *[(F.col(f"_s_{n}") - F.col(f"_st._p_{n}")).cast("double").alias(n) for n in sums])
 
 
 def find_domains(windows: DataFrame, passes: Column, score: Column, keys: Sequence[str] = KEYS, min_len: int = 0) -> DataFrame:
@@ -167,7 +168,7 @@ def window_track(windows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Mid-to-mid spans carrying each window's mean in percent; first and last windows have no span."""
     keys = list(keys)
     mid = F.floor((F.col("start_pos") + F.col("end_pos") + 1) / 2).cast("bigint")
-    d = windows.select(*keys, "end_pos", mid.alias("mid"), F.floor(F.lit(100.0) * F.col("mean") + 0.5).cast("bigint").alias("value"))
+    d = windows.select(*keys, "end_pos", mid.alias("mid"), F.floor(F.round(F.lit(100.0) * F.col("mean"), 9) + 0.5).cast("bigint").alias("value"))
     halo = row_halo(d, keys, "end_pos", 1, 1)
     w = tile_window(keys, "end_pos")
     half = lambda other: F.floor((F.col("mid") + other) / 2)

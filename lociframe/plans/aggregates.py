@@ -8,7 +8,7 @@ from lociframe.functions import methylation as M
 from lociframe.operators import aggregates as A
 from lociframe.operators import joins as J
 from lociframe.plans.joins import CALLS_SQL, calls, typed
-from lociframe.plans.registry import question
+from lociframe.plans.registry import near, question
 
 C, FEAT, BOTH = "v_cytosine", "v_feature", "v_cytosine v_feature"
 FM = "c_reads / CAST(nullif(c_reads + t_reads, 0) AS DOUBLE)"
@@ -19,7 +19,7 @@ BIG = lambda e: f"CAST(SUM({e}) AS BIGINT)"
 
 
 def rounded(df, *cols, digits=6):
-    return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in cols})
+    return df.withColumns({c: near(F.col(c), digits) for c in cols})
 
 
 @question("a_meth_by_feature", BOTH, f"""
@@ -252,7 +252,7 @@ def _cells():
 SELECT chrom, chrom_pos, allele_pos, ROUND(coalesce(pow(a_c_reads * w - b_c_reads / w, 2) / nullif(a_c_reads + b_c_reads, 0), 0) + coalesce(pow(a_t_reads * w - b_t_reads / w, 2) / nullif(a_t_reads + b_t_reads, 0), 0), 6) AS stat FROM w""")
 def asm_chisq(v):
     k = A.contingency(v.allele, min_allele=1)
-    return k.select("chrom", "chrom_pos", "allele_pos", F.round(A.chi_square_stat(*_cells()), 6).alias("stat"))
+    return k.select("chrom", "chrom_pos", "allele_pos", near(A.chi_square_stat(*_cells()), 6).alias("stat"))
 
 
 @question("a_asm_chisq_p")

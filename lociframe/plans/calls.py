@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lociframe.operators import genotype as G
 from lociframe.operators import sets as U
 from lociframe.plans.aggregates import rounded
-from lociframe.plans.registry import question
+from lociframe.plans.registry import near, question
 from lociframe.sources import converters as K
 
 
@@ -47,7 +47,7 @@ def likelihoods(v):
 @question("g_priors", "v_base", "WITH r AS (SELECT DISTINCT chrom, pos, ref_base FROM v_base) SELECT chrom, pos, " + ", ".join(f'ROUND({prior_sql(g)}, 6) AS "{g}"' for g in G.GENOTYPES) + " FROM r")
 def priors(v):
     p = G.prior_columns(F.col("ref_base"))
-    return v.base.select("chrom", "pos", "ref_base").distinct().select("chrom", "pos", *[F.round(c, 6).alias(g) for g, c in p.items()])
+    return v.base.select("chrom", "pos", "ref_base").distinct().select("chrom", "pos", *[near(c, 6).alias(g) for g, c in p.items()])
 
 
 @question("g_calls", "v_base", f"WITH {like_sql()}, {call_sql()} SELECT chrom, pos, depth, genotype, ROUND(ratio, 4) AS ratio FROM cl")

@@ -8,7 +8,7 @@ from lociframe.functions import intervals as I
 from lociframe.functions import methylation as M
 from lociframe.functions import sequence as Q
 from lociframe.operators import lookups
-from lociframe.plans.registry import question
+from lociframe.plans.registry import near, question
 from lociframe.sources import cytosines
 
 FM = "c_reads / CAST(nullif(c_reads + t_reads, 0) AS DOUBLE)"
@@ -158,7 +158,7 @@ SELECT sample, chrom, chrom_pos, ROUND(c_reads / CAST(nullif(c_reads + t_reads,
   ROUND((c_reads + c_reads_nonconv + t_reads) / CAST(nullif(c_reads + c_reads_nonconv + t_reads + ag_reads, 0) AS DOUBLE), 6) AS frac_ct
 FROM v_cytosine""")
 def p_frac_meth(v):
-    r = lambda c, n: F.round(c, 6).alias(n)
+    r = lambda c, n: near(c, 6).alias(n)
     return v.cytosine.select("sample", "chrom", "chrom_pos", r(M.frac_meth(), "frac_meth"),
                              r(M.frac_meth(False), "frac_meth_all"), r(M.frac_c_or_t(), "frac_ct"))
 
@@ -167,8 +167,8 @@ def p_frac_meth(v):
 SELECT sample, chrom, chrom_pos, ROUND(a_reads_opp / CAST(nullif(total_reads_opp, 0) AS DOUBLE), 6) AS of_total,
   ROUND(a_reads_opp / CAST(nullif(a_reads_opp + total_reads_opp, 0) AS DOUBLE), 6) AS of_sum FROM v_cytosine""")
 def p_opp_a(v):
-    return v.cytosine.select("sample", "chrom", "chrom_pos", F.round(M.opp_a_of_total(), 6).alias("of_total"),
-                             F.round(M.opp_a_of_sum(), 6).alias("of_sum"))
+    return v.cytosine.select("sample", "chrom", "chrom_pos", near(M.opp_a_of_total(), 6).alias("of_total"),
+                             near(M.opp_a_of_sum(), 6).alias("of_sum"))
 
 
 @question("p_context_call", "v_base", """
@@ -284,7 +284,7 @@ SELECT feat_id, ROUND(ov / CAST(a AS DOUBLE), 6) AS of_first, ROUND(ov / CAST(a
 def p_frac_overlap(v):
     s, e = F.col("start_pos"), F.col("end_pos")
     s2, e2 = s + F.col("feat_id") % 9, e + 9 + F.col("feat_id") % 23
-    return v.feature.select("feat_id", *[F.round(I.frac_overlap(s, e, s2, e2, d), 6).alias(f"of_{d}") for d in ("first", "union", "smaller", "larger")])
+    return v.feature.select("feat_id", *[near(I.frac_overlap(s, e, s2, e2, d), 6).alias(f"of_{d}") for d in ("first", "union", "smaller", "larger")])
 
 
 def _sizes(v):

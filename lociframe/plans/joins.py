@@ -8,7 +8,7 @@ from lociframe.functions import methylation as M
 from lociframe.functions import sequence as Q
 from lociframe.operators import joins as J
 from lociframe.operators import rangejoin as R
-from lociframe.plans.registry import question
+from lociframe.plans.registry import near, question
 from lociframe.plans.scans import READS_SQL, read_cytosines
 
 C, FEAT = "v_cytosine", "v_feature"
@@ -115,7 +115,7 @@ ON e.c_nationkey = f.feat_id % 30""")
 def expression_mean(v):
     f = v.feature.withColumn("refseq_id", F.col("feat_id") % 30)
     e = v.customer.select(F.col("c_nationkey").cast("bigint").alias("refseq_id"), "c_acctbal")
-    return J.with_expression(f, e, "c_acctbal").select("feat_id", F.round("expression", 4).alias("expression"))
+    return J.with_expression(f, e, "c_acctbal").select("feat_id", near(F.col("expression"), 4).alias("expression"))
 
 
 @question("j_merge_by_id", "", """

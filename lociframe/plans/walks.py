@@ -9,7 +9,7 @@ from lociframe.operators import joins as J
 from lociframe.operators import walks as W
 from lociframe.plans.aggregates import rounded
 from lociframe.plans.joins import typed
-from lociframe.plans.registry import question
+from lociframe.plans.registry import near, question
 
 C, FEAT = "v_cytosine", "v_feature"
 FM = "c_reads / CAST(nullif(c_reads + t_reads, 0) AS DOUBLE)"
@@ -96,7 +96,7 @@ def diff_domains(v):
 WITH {PAIRED}, {windows_sql(100, 3, "ab", extra=", avg(w.ma) AS ma, avg(w.mb) AS mb")} SELECT chrom, start_pos, end_pos, n, ROUND(ma, 6) AS mean_a, ROUND(mb, 6) AS mean_b FROM win""")
 def window_means(v):
     win = W.scan_windows(paired(v), 100, 3, {"sa": F.col("m_A"), "sb": F.col("m_B")}, ["chrom"])
-    return win.select("chrom", "start_pos", "end_pos", "n", F.round(F.col("sa") / F.col("n"), 6).alias("mean_a"), F.round(F.col("sb") / F.col("n"), 6).alias("mean_b"))
+    return win.select("chrom", "start_pos", "end_pos", "n", near(F.col("sa") / F.col("n"), 6).alias("mean_a"), near(F.col("sb") / F.col("n"), 6).alias("mean_b"))
 
 
 @question("w_multisample_range", C, f"""
@@ -119,7 +119,7 @@ def phasing(v):
 
 
 @question("w_window_track", C, f"""
-WITH {windows_sql(60, 4)}, k AS (SELECT sample, chrom, end_pos, (start_pos + end_pos + 1) // 2 AS mid, CAST(FLOOR(100.0 * mean + 0.5) AS BIGINT) AS value FROM win),
+WITH {windows_sql(60, 4)}, k AS (SELECT sample, chrom, end_pos, (start_pos + end_pos + 1) // 2 AS mid, CAST(FLOOR(round(100.0 * mean, 9) + 0.5) AS BIGINT) AS value FROM win),
 n AS (SELECT *, (lag(mid) OVER w + mid) // 2 + 1 AS span_start, (lead(mid) OVER w + mid) // 2 AS span_end FROM k WINDOW w AS (PARTITION BY sample, chrom ORDER BY end_pos))
 SELECT sample, chrom, CAST(span_start AS BIGINT) AS span_start, CAST(span_end AS BIGINT) AS span_end, value FROM n WHERE span_start IS NOT NULL AND span_end IS NOT NULL""")
 def window_track(v):
@@ -226,7 +226,7 @@ def clusters_capped(v):
 
 @question("w_paired_delta", C, f"WITH {PAIRED} SELECT chrom, chrom_pos, ROUND(mb - ma, 6) AS delta FROM ab")
 def paired_delta(v):
-    return paired(v).select("chrom", "chrom_pos", F.round(F.col("m_B") - F.col("m_A"), 6).alias("delta"))
+    return paired(v).select("chrom", "chrom_pos", near(F.col("m_B") - F.col("m_A"), 6).alias("delta"))
 
 
 @question("w_multi_meth", C, f"WITH {PAIRED} SELECT chrom, chrom_pos, ROUND(ma, 6) AS \"m_A\", ROUND(mb, 6) AS \"m_B\" FROM ab")
