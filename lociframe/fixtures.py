@@ -110,11 +110,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SMALL_INPUT = 1 << 30
+
+
+def _source(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Table reference. A small single-file text table sits in one row group and would feed one
+    task; its rows are spread first. Larger inputs keep the splits of their scan."""
+    path = f"parquet.`{sf_dir}/{name}.parquet`"
+    if name != "documents":
+        return path
+    plan = spark.read.parquet(f"{sf_dir}/{name}.parquet")._jdf.queryExecution().optimizedPlan()
+    if int(str(plan.stats().sizeInBytes())) > SMALL_INPUT:
+        return path
+    return f"(SELECT /*+ REPARTITION({spark.sparkContext.defaultParallelism * 4}) */ doc_id, lang, text FROM {path})"
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """DataFrame of one fixture view over the tables in `sf_dir`."""
     parts = _with_needs([name])
     text = VIEWS[parts[-1]]
-    used = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
+    needed = [t for t in TABLES if any("{" + t + "}" in VIEWS[p] for p in parts)]
+    used = {t: _source(spark, sf_dir, t) if t in needed else t for t in TABLES}
     ctes = ", ".join(f"{p} AS ({VIEWS[p].format(**SPARK, **used)})" for p in parts[:-1])
     body = text.format(**SPARK, **used)
     return spark.sql(f"WITH {ctes} {body}" if ctes else body)

@@ -403,7 +403,7 @@ def log_expectation(a: Column, b: Column, c: Column, d: Column) -> tuple[Column,
 def snp_calls(bases: DataFrame, min_freq: float = 0.2, min_count: int = 2) -> DataFrame:
     """Two most frequent bases per position and whether the position is called heterozygous."""
     n = bases.groupBy("chrom", "pos").agg(*[F.sum((F.col("base") == b).cast("bigint")).alias(b) for b in "ACGT"])
-    ranked = F.reverse(F.array_sort(F.array(*[F.struct(F.col(b).alias("n"), (-F.ascii(F.lit(b))).alias("o"), F.lit(b).alias("b")) for b in "ACGT"])))
+    ranked = F.sort_array(F.array(*[F.struct(F.col(b).alias("n"), (-F.ascii(F.lit(b))).alias("o"), F.lit(b).alias("b")) for b in "ACGT"]), asc=False)
     n = n.withColumn("_r", ranked).select(
         "chrom", "pos", sum(F.col(b) for b in "ACGT").alias("depth"), F.col("_r")[0]["b"].alias("base_1"), F.col("_r")[0]["n"].alias("n_1"),
         F.col("_r")[1]["b"].alias("base_2"), F.col("_r")[1]["n"].alias("n_2"))

@@ -45,20 +45,13 @@ def likelihood_columns(meth: Column | float, conversion: float, over: float) ->
 
 def genotype_likelihoods(bases: DataFrame, meth: Column | float = 0.5, conversion: float = CONVERSION, over: float = OVER_CONVERSION,
                          by_strand: bool = False) -> DataFrame:
-    """Ten log10 likelihoods per position.
-
-    Equal (base, quality, strand) observations collapse first, so depth costs no more than the
-    number of distinct observations; the ten sums share one aggregation.
-    """
-    extra = ["_m"] if isinstance(meth, Column) else []
-    src = bases.withColumn("_m", meth) if extra else bases
-    cells = src.groupBy("chrom", "pos", "ref_base", "strand", "base", "qual", *extra).agg(F.count(F.lit(1)).alias("_n"))
-    like = likelihood_columns(F.col("_m") if extra else meth, conversion, over)
-    sums = [F.sum(c * F.col("_n")).alias(g) for g, c in like.items()]
+    """Ten log10 likelihoods per position: ten sums in one aggregation, combined map-side."""
+    rows = bases.select("chrom", "pos", "ref_base", "strand", *[c.alias(g) for g, c in likelihood_columns(meth, conversion, over).items()])
+    sums = [F.sum(g).alias(g) for g in GENOTYPES]
     if by_strand:
         for s, name in (("+", "fw"), ("-", "rev")):
-            sums += [F.coalesce(F.sum(F.when(F.col("strand") == s, c * F.col("_n"))), F.lit(0.0)).alias(f"{g}_{name}") for g, c in like.items()]
-    return cells.groupBy("chrom", "pos", "ref_base").agg(F.sum("_n").alias("depth"), *sums)
+            sums += [F.coalesce(F.sum(F.when(F.col("strand") == s, F.col(g))), F.lit(0.0)).alias(f"{g}_{name}") for g in GENOTYPES]
+    return rows.groupBy("chrom", "pos", "ref_base").agg(F.count(F.lit(1)).alias("depth"), *sums)
 
 
 def prior_value(ref: str, genotype: str, het: float, ti_tv: float, ref_error: float = REFERENCE_ERROR) -> float:
@@ -95,13 +88,13 @@ def prior_columns(ref: Column, het: float = HETEROZYGOSITY, ti_tv: float = TI_TV
 def call_genotypes(likelihoods: DataFrame, het: float = HETEROZYGOSITY, ti_tv: float = TI_TV, known: Column | None = None) -> DataFrame:
     """Best and second genotype by posterior, their phred ratio and the normalised best posterior."""
     prior = prior_columns(F.col("ref_base"), het, ti_tv, known)
-    ranked = F.array_sort(F.array(*[F.struct((-(F.col(g) + prior[g])).alias("neg"), F.lit(i).alias("i"), F.lit(g).alias("g")) for i, g in enumerate(GENOTYPES)]))
-    d = likelihoods.withColumn("_r", ranked)
-    best, second = F.col("_r")[0], F.col("_r")[1]
-    top = -best["neg"]
-    total = F.aggregate("_r", F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), -x["neg"] - top))
-    return d.withColumns({"genotype": best["g"], "runner_up": second["g"], "ratio": 10.0 * (second["neg"] - best["neg"]),
-                          "log10_posterior": -F.log10(total)}).drop("_r")
+    d = likelihoods.withColumns({f"_p{g}": F.col(g) + prior[g] for g in GENOTYPES})
+    entry = lambda i, g: F.struct(F.col(f"_p{g}").alias("p"), F.lit(-i).alias("i"), F.lit(g).alias("g"))
+    d = d.withColumn("_b", F.greatest(*[entry(i, g) for i, g in enumerate(GENOTYPES)]))
+    d = d.withColumn("_s", F.greatest(*[F.when(F.col("_b.i") != -i, entry(i, g)) for i, g in enumerate(GENOTYPES)]))
+    total = sum(F.pow(F.lit(10.0), F.col(f"_p{g}") - F.col("_b.p")) for g in GENOTYPES)
+    return d.withColumns({"genotype": F.col("_b.g"), "runner_up": F.col("_s.g"), "ratio": 10.0 * (F.col("_b.p") - F.col("_s.p")),
+                          "log10_posterior": -F.log10(total)}).drop("_b", "_s", *[f"_p{g}" for g in GENOTYPES])
 
 
 def confident(calls: DataFrame, min_ratio: float = 30.0, variants_only: bool = False) -> DataFrame:
