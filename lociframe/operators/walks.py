@@ -290,7 +290,8 @@ def cluster(features: DataFrame, max_dist: int, min_members: int = 1, min_score:
     """Chains of features closer than `max_dist` (start minus cluster end), merged into one record each.
 
     Features below `min_score` break a chain and do not enter. With `max_size` a chain is also cut
-    when a member would end further than that from the cluster start.
+    when a member would end further than that from the cluster start (copies of one span stay
+    together).
     """
     score = F.col("score").cast("double") if "score" in features.columns else F.lit(0.0)
     ok = F.lit(True) if min_score is None else score >= min_score
@@ -305,7 +306,7 @@ def cluster(features: DataFrame, max_dist: int, min_members: int = 1, min_score:
         keys = ["chrom", "_brk"]
     lab = islands(spans, keys, "start_pos", "end_pos", gap=max_dist + 1)
     if max_size > 0:
-        lab = _cut_by_size(lab, [*keys, "island"], max_size)
+        lab = _cut_by_size(lab, [*keys, "island"], max_dist, max_size)
         keys = [*keys, "island", "_cut"]
     else:
         keys = [*keys, "island"]
@@ -314,18 +315,19 @@ def cluster(features: DataFrame, max_dist: int, min_members: int = 1, min_score:
     return out.filter(F.col("n") >= min_members).select("chrom", "start_pos", "end_pos", "n", "score")
 
 
-def _cut_by_size(spans: DataFrame, keys: list[str], max_size: int) -> DataFrame:
+def _cut_by_size(spans: DataFrame, keys: list[str], max_dist: int, max_size: int) -> DataFrame:
     """Greedy cut inside each chain. The cut depends on the one before it, so a chain is walked in
-    order: rows stream through sorted, the state is one start coordinate."""
+    order: distinct spans stream through sorted, the state is one pair of coordinates."""
     schema = spans.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chain, begin = None, 0
+        chain, begin, reach = None, 0, 0
         for pdf in batches:
             cut = []
             for key, s, e in zip(pdf[keys].itertuples(index=False, name=None), pdf["start_pos"], pdf["end_pos"]):
-                if key != chain or e - begin > max_size:
-                    chain, begin = key, s
+                if key != chain or e - begin > max_size or s - reach > max_dist:
+                    chain, begin, reach = key, s, e
+                reach = max(reach, e)
                 cut.append(begin)
             yield pdf.assign(_cut=cut)
 

@@ -10,9 +10,6 @@ MODULES = ["scans", "columns", "joins", "aggregates", "readlevel", "walks", "ali
 
 
 def load() -> dict:
-    import os
     for name in MODULES:
-        if not os.path.exists(os.path.join(os.path.dirname(__file__), name + ".py")):
-            continue
         importlib.import_module(f"lociframe.plans.{name}")
     return QUESTIONS
