@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociframe.functions import intervals as I
+from lociframe.session import settle
 from lociframe.operators.lookups import cap_identical
 from lociframe.operators.rangejoin import (
     flanked, overlap_pairs, pairs_within, points_in_intervals, within,
@@ -109,15 +110,19 @@ def nearest(targets: DataFrame, features: DataFrame, max_dist: int | None = None
     ordered lookups; no pairs are formed. Targets without a feature in reach get NULLs.
     """
     info = features.select("chrom", "start_pos", "end_pos", "strand", "feat_id")
+    spans = settle(targets.select("chrom", "start_pos", "end_pos").distinct())
     by_end = info.groupBy("chrom", F.col("end_pos").alias("p")).agg(
         F.min(F.struct("start_pos", "feat_id", "strand", "end_pos")).alias("x")).select("chrom", "p", "x.*")
     by_start = info.groupBy("chrom", F.col("start_pos").alias("p")).agg(
         F.min(F.struct((-F.col("end_pos")).alias("o"), "feat_id", "strand", "end_pos", "start_pos")).alias("x")).select("chrom", "p", "x.*").drop("o")
     over = first_covering(info).withColumn("p", F.col("end_pos"))
     cols = ["feat_id", "start_pos", "end_pos", "strand"]
-    out = asof(targets, by_end, ["chrom"], F.col("start_pos") - 1, "p", cols, prefix="_l_")
-    out = asof(out, by_start, ["chrom"], F.col("end_pos") + 1, "p", cols, forward=True, prefix="_r_")
-    out = asof(out, over, ["chrom"], F.col("start_pos"), "p", ["feat_id", "start_pos", "end_pos"], forward=True, prefix="_o_")
+    find = lambda right, at, forward, c, prefix: asof(spans, right, ["chrom"], at, "p", c, forward, prefix)
+    key = ["chrom", "start_pos", "end_pos"]
+    out = find(by_end, F.col("start_pos") - 1, False, cols, "_l_")
+    out = out.join(find(by_start, F.col("end_pos") + 1, True, cols, "_r_"), key)
+    out = out.join(find(over, F.col("start_pos"), True, ["feat_id", "start_pos", "end_pos"], "_o_"), key)
+    out = targets.join(out, key)
     left_d, right_d = F.col("start_pos") - F.col("_l_end_pos"), F.col("_r_start_pos") - F.col("end_pos")
     meets = F.coalesce(F.col("_o_start_pos") <= F.col("end_pos"), F.lit(False))
     use_left = left_d.isNotNull() & (right_d.isNull() | (left_d <= right_d))

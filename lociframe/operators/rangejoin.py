@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.operators.tiles import cover_pieces, running
+from lociframe.session import settle
 
 BIN = 256
 
@@ -124,7 +125,8 @@ def overlap_count(
         .unionByName(asks.select(*keys, "p", F.lit(0).alias("s"), F.lit(0).alias("e")))
         .groupBy(*keys, "p").agg(F.sum("s").alias("s"), F.sum("e").alias("e"))
     )
-    run = running(spots, keys, "p", sums={"ns": F.col("s"), "ne": F.col("e")}).select(*keys, "p", "ns", "ne")
+    run = running(spots, keys, "p", sums={"ns": F.col("s"), "ne": F.col("e")})
+    run = settle(run.join(asks, [*keys, "p"], "left_semi").select(*keys, "p", "ns", "ne"))
     at_end = run.select(*keys, F.col("p").alias("_hi"), F.col("ns").alias("_ns"))
     at_start = run.select(*keys, F.col("p").alias("_lo"), F.col("ne").alias("_ne"))
     out = targets.withColumn("_lo", lo).withColumn("_hi", hi)
@@ -158,10 +160,10 @@ def interval_sums(
         asks = asks.withColumn(per, each)
         spans = intervals.withColumn(per, each)
     data = points.groupBy(*grp, F.col(pos).alias("_p")).agg(*[F.sum(c).alias(n) for n, c in values.items()])
-    spots = data.unionByName(asks, allowMissingColumns=True).groupBy(*grp, "_p").agg(
-        *[F.sum(n).alias(n) for n in values]
-    )
+    spots = data.withColumn("_ask", F.lit(False)).unionByName(asks.withColumn("_ask", F.lit(True)), allowMissingColumns=True)
+    spots = spots.groupBy(*grp, "_p").agg(F.max("_ask").alias("_ask"), *[F.sum(n).alias(n) for n in values])
     run = running(spots, grp, "_p", sums={f"_s_{n}": F.col(n) for n in values})
+    run = settle(run.filter("_ask").select(*grp, "_p", *[f"_s_{n}" for n in values]))
     hi = run.select(*grp, F.col("_p").alias("_hi"), *[F.col(f"_s_{n}").alias(f"_h_{n}") for n in values])
     lo = run.select(*grp, F.col("_p").alias("_lo"), *[F.col(f"_s_{n}").alias(f"_l_{n}") for n in values])
     out = spans.withColumn("_hi", F.col(end)).withColumn("_lo", F.col(start) - 1)

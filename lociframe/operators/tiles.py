@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociframe.session import settle
+
 TILE = 1 << 14
 
 
@@ -141,18 +143,38 @@ def islands(
     Adds `island` (start of the island). Hot starts collapse before the ordered pass and
     the label returns through an equi-join on (keys, start).
     """
-    spots = df.groupBy(*keys, start).agg(F.max(end).alias("_e"))
+    spots = settle(df.groupBy(*keys, start).agg(F.max(end).alias("_e")))
     seen = running(spots, keys, start, inclusive=False, width=width, maxes={"_prev": F.col("_e")})
     fresh = F.when(F.col("_prev").isNull() | (F.col(start) > F.col("_prev") + (gap - 1)), F.col(start))
     labels = running(seen.withColumn("_new", fresh), keys, start, width=width, maxes={"island": F.col("_new")})
     return df.join(labels.select(*keys, start, "island"), [*keys, start])
 
 
+def local_chains(
+    df: DataFrame, keys: Sequence[str], start: str, end: str, gap: int = 1, width: int = TILE, **payload: Column
+) -> DataFrame:
+    """Intervals chained within the tile of their start: one row per local chain, in one shuffle.
+
+    `payload` columns are aggregated along (map-side by start first, so they must be mergeable:
+    min, max and sum of themselves).
+    """
+    spots = df.groupBy(*keys, tile_of(start, width).alias("_tile"), start).agg(
+        F.max(end).alias(end), *[c.alias(n) for n, c in payload.items()])
+    w = tile_window(keys, start)
+    far = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(far.isNull() | (F.col(start) > far + (gap - 1)), 1).otherwise(0)
+    marked = spots.withColumn("_new", fresh).withColumn("_isl", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy(*keys, "_tile", "_isl").agg(
+        F.min(start).alias(start), F.max(end).alias(end),
+        *[(F.sum(n) if n.startswith("n_") else F.min(n)).alias(n) for n in payload]).drop("_tile", "_isl")
+
+
 def merge_intervals(
     df: DataFrame, keys: Sequence[str], start: str = "start_pos", end: str = "end_pos", gap: int = 1
 ) -> DataFrame:
     """Disjoint union of the intervals per `keys`."""
-    spots = df.groupBy(*keys, start).agg(F.max(end).alias(end))
+    # chains inside a tile merge first: what is left is disjoint but for tile borders
+    spots = settle(local_chains(df, keys, start, end, gap).groupBy(*keys, start).agg(F.max(end).alias(end)))
     return (
         islands(spots, keys, start, end, gap)
         .groupBy(*keys, "island")

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from lociframe.functions import methylation as M
 from lociframe.operators.aggregates import FRACTION, neighbour_spans
 from lociframe.operators.rangejoin import flanked, interval_sums, pairs_within
+from lociframe.session import settle
 from lociframe.operators.tiles import (
-    TILE, islands, merge_intervals, position_halo, row_halo, running, tile_of, tile_window,
+    TILE, islands, local_chains, merge_intervals, position_halo, row_halo, running, tile_of, tile_window,
 )
 
 KEYS = ("sample", "chrom")
@@ -128,12 +129,11 @@ def find_domains(windows: DataFrame, passes: Column, score: Column, keys: Sequen
     """Passing windows merged while they overlap; the score is that of the first window."""
     keys = list(keys)
     good = windows.filter(passes).withColumn("_score", score)
-    spots = good.groupBy(*keys, "start_pos").agg(
-        F.max("end_pos").alias("end_pos"), F.min(F.struct("end_pos", "_score")).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    out = islands(spots, keys, "start_pos", "end_pos").groupBy(*keys, F.col("island").alias("start_pos")).agg(
-        F.max("end_pos").alias("end_pos"), F.min("_first").alias("_first"), F.sum("_n").alias("n_windows"))
+    chains = local_chains(good, keys, "start_pos", "end_pos", first=F.min(F.struct("end_pos", "_score")), n_windows=F.count(F.lit(1)))
+    out = islands(settle(chains), keys, "start_pos", "end_pos").groupBy(*keys, F.col("island").alias("start_pos")).agg(
+        F.max("end_pos").alias("end_pos"), F.min("first").alias("first"), F.sum("n_windows").alias("n_windows"))
     return out.filter(F.col("end_pos") - F.col("start_pos") + 1 >= min_len).select(
-        *keys, "start_pos", "end_pos", F.col("_first._score").alias("score"), "n_windows")
+        *keys, "start_pos", "end_pos", F.col("first._score").alias("score"), "n_windows")
 
 
 def methylation_windows(df: DataFrame, span: int, min_count: int, weighted: bool = False, keys: Sequence[str] = KEYS) -> DataFrame:

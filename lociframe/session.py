@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -12,6 +12,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -26,10 +27,21 @@ def get_session(app: str = "lociframe", master: str | None = None, **extra: str)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a local one only when none is set."""
+    """Shared folder named by the cluster in spark.checkpoint.dir; a local one only when none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         folder = tempfile.mkdtemp(prefix="lociframe-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
-    spark.sparkContext.setCheckpointDir(folder)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute an intermediate once and keep it in the shared folder.
+
+    For reduced tables that several branches of a plan read; without it each branch would run
+    everything below again. The files survive lost executors.
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint()
