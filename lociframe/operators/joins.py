@@ -327,3 +327,23 @@ def island_flag(points: DataFrame, islands: DataFrame, pos: str = "chrom_pos") -
     return out.withColumn("in_island", F.col("_s").isNotNull()).drop("_s", "_e")
 
 
+
+
+def mismatches_between(a: DataFrame, b: DataFrame, key: str, first: int, last: int) -> DataFrame:
+    """Differing bases of two read sets inside a cycle range, per read present in both."""
+    from lociframe.functions.sequence import hamming
+
+    cut = lambda d, n: d.select(key, F.substring("seq", first, last - first + 1).alias(n))
+    return cut(a, "_a").join(cut(b, "_b"), key).select(key, hamming(F.col("_a"), F.col("_b")).alias("mismatches"))
+
+
+def cpg_pairs(cytosines: DataFrame, keys: Sequence[str] = ("sample", "chrom")) -> DataFrame:
+    """Both strands of a CpG (plus at p, minus at p + 1) side by side with depths and methylation."""
+    m = F.col("c_reads") / F.nullif(F.col("c_reads") + F.col("t_reads"), F.lit(0))
+    side = lambda s, off, tag: cytosines.filter(F.col("strand") == s).select(
+        *keys, (F.col("chrom_pos") - off).alias("chrom_pos"), (F.col("c_reads") + F.col("t_reads")).alias(f"depth_{tag}"), m.alias(f"meth_{tag}"))
+    j = side("+", 0, "fw").join(side("-", 1, "rev"), [*keys, "chrom_pos"])
+    total = F.col("depth_fw") + F.col("depth_rev")
+    both = F.coalesce(F.col("meth_fw") * F.col("depth_fw"), F.lit(0.0)) + F.coalesce(F.col("meth_rev") * F.col("depth_rev"), F.lit(0.0))
+    return j.withColumns({"depth": total, "meth": both / F.nullif(total, F.lit(0)), "strand_diff": F.abs(F.col("meth_fw") - F.col("meth_rev")),
+                          "min_depth": F.least("depth_fw", "depth_rev")})

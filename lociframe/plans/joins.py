@@ -282,3 +282,20 @@ def orient_by_motif(v):
     f = v.feature.withColumn("seq_id", F.col("feat_id") % 1000).join(v.seq.select("seq_id", "seq"), "seq_id")
     sub = F.substring(F.col("seq"), 1 + F.col("start_pos") % 40, F.lit(19))
     return f.select("feat_id", Q.strand_by_evidence(sub, margin=2).alias("new_strand"))
+
+
+@question("p_mismatch_cycles", "v_alignment", """
+SELECT read_id, CAST(hamming(substring(seq, 11, 30), substring(ref, 11, 30)) AS INT) AS mismatches FROM v_alignment WHERE read_id % 3 <> 0""")
+def mismatch_cycles(v):
+    other = v.alignment.filter(F.col("read_id") % 3 != 0).select("read_id", F.col("ref").alias("seq"))
+    return J.mismatches_between(v.alignment, other, "read_id", 11, 40)
+
+
+@question("j_cpg_pairs", C, """
+WITH f AS (SELECT *, c_reads / CAST(nullif(c_reads + t_reads, 0) AS DOUBLE) AS m, c_reads + t_reads AS d FROM v_cytosine)
+SELECT a.sample, a.chrom, a.chrom_pos, a.d AS depth_fw, b.d AS depth_rev, a.d + b.d AS depth, least(a.d, b.d) AS min_depth, ROUND(a.m, 6) AS meth_fw, ROUND(b.m, 6) AS meth_rev,
+  ROUND((a.c_reads + b.c_reads) / CAST(nullif(a.d + b.d, 0) AS DOUBLE), 6) AS meth, ROUND(abs(a.m - b.m), 6) AS strand_diff
+FROM f a JOIN f b ON a.sample = b.sample AND a.chrom = b.chrom AND b.chrom_pos = a.chrom_pos + 1 AND a.strand = '+' AND b.strand = '-'""")
+def cpg_pairs(v):
+    out = J.cpg_pairs(v.cytosine)
+    return out.withColumns({c: near(F.col(c)) for c in ("meth_fw", "meth_rev", "meth", "strand_diff")})
