@@ -42,6 +42,8 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 SHORT_FORMS = "stmd"
 LONG_FORMS = ("re", "ve", "ll")
 MAX_CACHED = 200_000
+LONG_PIECE = 256  # bytes; longer pieces are merged one by one with a heap
+NONE = np.int64(1 << 40)
 
 
 @lru_cache(1)
@@ -174,42 +176,83 @@ class Merger:
                 if a is not None and b is not None:
                     self.pairs[a << 20 | b] = rank
         self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.single_ids = np.array(self.single, np.int64)
+        order = sorted(self.pairs)
+        self.keys = np.array(order or [-1], np.int64)
+        self.joined = np.array([self.pairs[k] for k in order] or [NONE], np.int64)
+        self.byte_pairs = self.rank_of(*(x.ravel() for x in np.meshgrid(self.single_ids, self.single_ids, indexing="ij"))).reshape(256, 256)
         self.young: dict[bytes, tuple[int, ...]] = {}
         self.old: dict[bytes, tuple[int, ...]] = {}
         self.bytes_of = pa.array(self.vocab, pa.large_binary())
 
-    def ids(self, piece: bytes) -> tuple[int, ...]:
-        """Ids of a piece; at most 2 * MAX_CACHED spellings are remembered."""
-        found = self.young.get(piece)
-        if found is None:
-            found = self.old.get(piece)
-            if found is None:
-                whole = self.ranks.get(piece)
-                found = (whole,) if whole is not None else tuple(self.merge(piece))
-            if len(piece) <= 64:
-                if len(self.young) >= MAX_CACHED:
-                    self.old, self.young = self.young, {}
-                self.young[piece] = found
-        return found
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Join neighbours, lowest rank first, leftmost first among equals."""
-        ids, get, none = [self.single[b] for b in piece], self.pairs.get, 1 << 40
-        if len(ids) > 256:
-            return self.merge_long(ids)
-        ranks = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
-        while ranks:
-            best = min(ranks)
-            if best == none:
-                break
-            i = ranks.index(best)
-            ids[i : i + 2] = [best]
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = get(best << 20 | ids[i + 1], none)
-            if i:
-                ranks[i - 1] = get(ids[i - 1] << 20 | best, none)
-        return ids
+    def ids(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of distinct pieces; at most 2 * MAX_CACHED spellings are remembered."""
+        young, old, whole = self.young, self.old, self.ranks
+        out = [young.get(p) or old.get(p) or ((whole[p],) if p in whole else None) for p in pieces]
+        missing = [i for i, found in enumerate(out) if found is None]
+        short = [i for i in missing if len(pieces[i]) <= LONG_PIECE]
+        for i, found in zip(short, self.merge([pieces[i] for i in short])):
+            out[i] = found
+        for i in missing:
+            if out[i] is None:
+                out[i] = tuple(self.merge_long([self.single[b] for b in pieces[i]]))
+            elif len(pieces[i]) <= 64:
+                young[pieces[i]] = out[i]
+        if len(young) >= MAX_CACHED:
+            self.old, self.young = young, {}
+        return out
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the joined token of each pair, NONE if there is none."""
+        key = left << 20 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.joined[at], NONE)
+
+    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Join neighbours, lowest rank first, leftmost first among equals; all pieces in step.
+
+        Each round joins one pair of every piece that still has one and looks up only the two pairs
+        that this changes.
+        """
+        if not pieces:
+            return []
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        ids, who = self.single_ids[data], np.arange(len(pieces))
+        rank = np.full(len(data), NONE)
+        rank[:-1] = self.byte_pairs[data[:-1], data[1:]]
+        rank[np.cumsum(size) - 1] = NONE
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(who):
+            starts = np.cumsum(size) - size
+            best = np.minimum.reduceat(rank, starts)
+            over = best == NONE
+            if over.any():
+                gone = np.repeat(over, size)
+                done.append((who[over], size[over], ids[gone]))
+                ids, rank, who, size, best = ids[~gone], rank[~gone], who[~over], size[~over], best[~over]
+                if not len(who):
+                    break
+                starts = np.cumsum(size) - size
+            owner = np.repeat(np.arange(len(who)), size)
+            hits = np.flatnonzero(rank == best[owner])
+            at = hits[np.append(True, owner[hits][1:] != owner[hits][:-1])]
+            ids[at] = best
+            left = np.ones(len(ids), bool)
+            left[at + 1] = False
+            ids, rank, size = ids[left], rank[left], size - 1
+            at, starts = at - np.arange(len(at)), starts - np.arange(len(at))
+            last = at == starts + size - 1
+            after = np.minimum(at + 1, len(ids) - 1)
+            rank[at] = np.where(last, NONE, self.rank_of(ids[at], ids[after]))
+            inner = at[at > starts]
+            rank[inner - 1] = self.rank_of(ids[inner - 1], ids[inner])
+        out: list[tuple[int, ...]] = [()] * len(pieces)
+        for owners, sizes, flat in done:
+            values, ends = flat.tolist(), np.cumsum(sizes).tolist()
+            for w, a, b in zip(owners.tolist(), [0, *ends], ends):
+                out[w] = tuple(values[a:b])
+        return out
 
     def merge_long(self, ids: list[int]) -> list[int]:
         """The same for long pieces: a heap of pairs over a linked list."""
@@ -270,7 +313,7 @@ def encode_column(column: pa.Array, how: Merger) -> tuple[np.ndarray, np.ndarray
     """Token ids of all rows, tokens before each row (n + 1), byte offset of each token in its row."""
     data, begins, piece_at, at = pieces(column)
     found = binary_of(data, begins).dictionary_encode()
-    ids = [how.ids(p) for p in found.dictionary.to_pylist()]
+    ids = how.ids(found.dictionary.to_pylist())
     lengths = np.fromiter(map(len, ids), np.int64, len(ids))
     flat = np.fromiter((i for p in ids for i in p), np.int64, int(lengths.sum()))
     which = found.indices.to_numpy(zero_copy_only=False)
