@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lociframe.llm import bpe, quality
+from lociframe.llm import bpe, linedup, minhash, mixing, quality, urlrules
 
-MODULES = (quality, bpe)
+MODULES = (urlrules, quality, bpe, mixing, linedup, minhash)
 
 
 def queries() -> dict:
