@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lociframe.llm import bpe, quality
+from lociframe.llm import bpe, linedup, minhash, mixing, quality
 from lociframe.llm.common import table
 
 
@@ -16,12 +16,29 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of three-line windows go; the documents stay."""
+    return linedup.remove(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return minhash.keep(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are repeated to their target weights; the rows come in a seeded random order."""
+    return mixing.mix(docs, mixing.WEIGHTS)
+
+
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every remaining row."""
     return bpe.digests(docs, bpe.default_ranks())
 
 
-STAGES = [("quality_rules", quality_rules), ("byte_bpe", byte_bpe)]
+STAGES = [
+    ("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("byte_bpe", byte_bpe),
+]
 
 #: SQL can express neither the trees nor the merges; tests/llm holds run() against brute force
 ORACLE_SQL = None
