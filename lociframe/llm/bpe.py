@@ -11,7 +11,7 @@ Pieces are slices of the byte array. Equal slices are numbered together, each sp
 once and remembered in a cache of bounded size, and the ids are spread back by array indexing.
 `encode` keeps the byte offset of every token; `decode` turns ids to bytes and checks the offsets.
 
-Nothing is shuffled; a task holds one slice of texts (4 MB, or one longer text). Defined results:
+Nothing is shuffled; a task holds one slice of texts (1 MB, or one longer text). Defined results:
 null and empty texts have no tokens and decode to empty; malformed UTF-8 is read with U+FFFD in its
 place; other columns stay, and one named like a result column is replaced; empty tables give empty
 results.
@@ -41,7 +41,8 @@ CLASSES = 7
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SHORT_FORMS = "stmd"
 LONG_FORMS = ("re", "ve", "ll")
-MAX_CACHED = 200_000
+MAX_CACHED = 60_000
+TEXT_SLICE, TOKEN_SLICE = 1 << 20, 1 << 18  # bytes encoded and tokens decoded at a time
 LONG_PIECE = 256  # bytes; longer pieces are merged one by one with a heap
 NONE = np.int64(1 << 40)
 
@@ -183,7 +184,7 @@ class Merger:
         self.byte_pairs = self.rank_of(*(x.ravel() for x in np.meshgrid(self.single_ids, self.single_ids, indexing="ij"))).reshape(256, 256)
         self.young: dict[bytes, tuple[int, ...]] = {}
         self.old: dict[bytes, tuple[int, ...]] = {}
-        self.bytes_of = pa.array(self.vocab, pa.large_binary())
+        self.sizes = np.fromiter(map(len, self.vocab), np.int64, len(self.vocab))
 
     def ids(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of distinct pieces; at most 2 * MAX_CACHED spellings are remembered."""
@@ -276,11 +277,25 @@ class Merger:
         return [x for x in ids if x >= 0]
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
+
+
 @lru_cache(2)
 def merger(path: str) -> Merger:
     """Rank file at a local path, read once per Python worker."""
-    with open(path, "rb") as lines:
-        return Merger({base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())})
+    return Merger(read_ranks(path))
+
+
+@lru_cache(2)
+def vocabulary(path: str) -> pa.Array:
+    """Bytes of every id, all that decoding needs."""
+    ranks = read_ranks(path)
+    out = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return pa.array(out, pa.large_binary())
 
 
 def clean(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -320,7 +335,7 @@ def encode_column(column: pa.Array, how: Merger) -> tuple[np.ndarray, np.ndarray
     counts = lengths[which]
     tokens = flat[spread((np.cumsum(lengths) - lengths)[which], counts)]
     token_at = np.append(0, np.cumsum(counts))[piece_at]
-    size = np.fromiter(map(len, how.vocab), np.int64, len(how.vocab))[tokens]
+    size = how.sizes[tokens]
     ends = np.cumsum(size)
     return tokens, token_at, ends - size - np.repeat(at[:-1], np.diff(token_at))
 
@@ -344,7 +359,7 @@ def encode(docs: DataFrame, ranks: str, text_col: str = "text", drop: tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         how = merger(ranks)
-        for b in slices(batches, text_col):
+        for b in slices(batches, text_col, TEXT_SLICE):
             tokens, token_at, starts = encode_column(b.column(text_col), how)
             at = pa.array(token_at, pa.int32())
             lists = [pa.ListArray.from_arrays(at, pa.array(x, pa.int32())) for x in (tokens, starts)]
@@ -354,17 +369,28 @@ def encode(docs: DataFrame, ranks: str, text_col: str = "text", drop: tuple[str,
     return source.mapInArrow(run, f"{schema}token_ids array<int>, token_starts array<int>")
 
 
+def token_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut batches at TOKEN_SLICE tokens, or after a single row."""
+    for batch in batches:
+        ends, start = batch.column("token_ids").offsets.to_numpy(), 0
+        while start < batch.num_rows:
+            stop = int(np.searchsorted(ends, ends[start] + TOKEN_SLICE, "right")) - 1
+            stop = min(max(stop, start + 1), batch.num_rows)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def decode(tokens: DataFrame, ranks: str) -> DataFrame:
     """Add `decoded`, the bytes of token_ids; offsets in token_starts that don't fit raise an error."""
     source = _without(tokens, ("decoded",))
     names = source.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        how = merger(ranks)
-        for b in batches:
+        vocab = vocabulary(ranks)
+        for b in token_slices(batches):
             ids, starts = b.column("token_ids"), b.column("token_starts")
             at = ids.offsets.to_numpy()
-            out = how.bytes_of.take(ids.flatten())
+            out = vocab.take(ids.flatten())
             data, ends = raw(out)
             row_ends = ends[at - at[0]]
             if (np.repeat(row_ends[:-1], np.diff(at)) + starts.flatten().to_numpy() != ends[:-1]).any():

@@ -13,9 +13,11 @@ their similarity, with the concentration of independent bins.
 3. Every bucket of a band proposes links between its smallest representative and the others (no
    pairs inside the bucket), confirmed on the full sets. Components of the confirmed links follow by
    alternating star contractions.
-4. Buckets that still hold several components propose the pairs between members of different
-   components that step 3 has not tried. After they are confirmed too, every pair that shares a
-   bucket is linked, in one component, or refuted: nothing is capped.
+4. Buckets that still hold several components (one bucket of each set of members) compare what lies
+   outside their largest component with all their members, in blocks of about 512 by 512: the
+   intersections of a block come from one product of its membership matrices, and a task gives
+   back one link for a document and a component it reaches, never the pairs. After that every
+   pair that shares a bucket is linked, in one component, or refuted: nothing is capped.
 
 With 4 coordinates in each of 32 bands a pair at similarity 0.75 shares no bucket with chance
 0.000005, at 0.8 with 0.00000005.
@@ -41,7 +43,9 @@ from lociframe.llm.common import Words, mix64, raw, settle, slices, table
 
 WIDTH, COORDS, BANDS = 5, 128, 32
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+ROUND_SEEDS = np.arange(1, 2 * COORDS + 1, dtype=np.uint64) * GOLDEN
 LEAST = 75  # per cent
+BLOCK, STRIPE = 512, 4096  # documents in a block, elements in a stripe of its matrices
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +85,7 @@ def fill(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     for i in range(2 * COORDS):
         if not len(x):
             break
-        v = mix64(x + GOLDEN * np.uint64(i + 1))
+        v = mix64(x + ROUND_SEEDS[i])
         slot = row * COORDS + (v >> np.uint64(57)).astype(np.int64) if i < COORDS else row * COORDS + i - COORDS
         free = ~filled[slot]
         np.minimum.at(out, slot[free], v[free])
@@ -168,6 +172,66 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def meet(queries: list[np.ndarray], members: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all queries with all members, by products over shared elements."""
+    sets = [*queries, *members]
+    sizes = np.array([len(x) for x in sets])
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shared = np.bincount(at, minlength=len(values)) > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[at]
+    column, owner = number[at[keep]], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((len(queries), len(members)), np.float32)
+    for low in range(0, int(shared.sum()), STRIPE):
+        a, b = np.searchsorted(column, [low, low + STRIPE])
+        grid = np.zeros((len(sets), STRIPE), np.float32)
+        grid[owner[a:b], column[a:b] - low] = 1
+        out += grid[: len(queries)] @ grid[len(queries) :].T
+    return out.astype(np.int64)
+
+
+def across(named: DataFrame, texts: DataFrame, least: int = LEAST) -> DataFrame:
+    """Links (a, b) between components that meet in a bucket. named: rep, key, component of every bucket row."""
+    mixed = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
+    rows = settle(named.join(mixed, "key").select("key", "rep", "component"))
+    marks = [F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit("y"))).alias("y")]
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("n"), *marks)
+    keys = parts.groupBy("key").agg(F.sum("n").alias("size"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.max(F.struct("n", "component")).alias("main"))
+    keys = keys.groupBy("size", "x", "y", "main").agg(F.min("key").alias("key"))  # buckets of the same members once
+    blocks = keys.select("key", F.col("main.component").alias("main"), F.ceil(F.col("size") / BLOCK).alias("nm"), F.ceil((F.col("size") - F.col("main.n")) / BLOCK).alias("nq"))
+    placed = rows.join(blocks, "key").withColumn("q", F.col("component") != F.col("main")).withColumn("own", F.pmod(F.xxhash64("rep"), "nm")).withColumn("own_q", F.pmod(F.xxhash64("rep", F.lit("q")), "nq"))
+    columns = ["key", "mb", "qb", "rep", "component", "member", "q"]
+    as_member = placed.withColumn("qb", F.explode(F.expr("sequence(0L, nq - 1)"))).withColumn("mb", F.col("own")).withColumn("member", F.lit(True)).withColumn("q", F.col("q") & (F.col("qb") == F.col("own_q")))
+    as_query = placed.where("q and nm > 1").withColumn("mb", F.explode(F.expr("sequence(0L, nm - 1)"))).where("mb <> own").withColumn("qb", F.col("own_q")).withColumn("member", F.lit(False))
+    spread = as_member.select(columns).unionByName(as_query.select(columns))
+    grouped = spread.join(texts.select(F.col("id").alias("rep"), "text"), "rep").groupBy("key", "mb", "qb")
+    kind = named.schema["rep"].dataType.simpleString()
+
+    def run(group: pa.Table) -> pa.Table:
+        found = group.column("text").combine_chunks().dictionary_encode()
+        flat, at = shingle_sets(found.dictionary)
+        sets = [flat[at[k] : at[k + 1]] for k in found.indices.to_pylist()]
+        rep, component = group.column("rep").to_pylist(), group.column("component").to_pylist()
+        qs = np.flatnonzero(group.column("q").to_numpy())
+        ms = np.flatnonzero(group.column("member").to_numpy())
+        links: dict[tuple, tuple] = {}
+        if len(qs) and len(ms):
+            sizes = np.array([len(x) for x in sets])
+            shared = meet([sets[i] for i in qs], [sets[i] for i in ms])
+            hits = 100 * shared >= least * (sizes[qs][:, None] + sizes[ms][None, :] - shared)
+            for i, j in zip(*np.nonzero(hits & (shared > 0))):
+                a, b = qs[i], ms[j]
+                if component[a] != component[b]:
+                    links.setdefault((rep[a], component[b]), (rep[a], rep[b]))
+        kinds = group.schema.field("rep").type
+        return pa.table({"a": pa.array([x for x, _ in links.values()], kinds), "b": pa.array([y for _, y in links.values()], kinds)})
+
+    return grouped.applyInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """id, n_shingles, component_id and kept of every row."""
     all_rows = settle(sketch(docs, id_col, text_col))
@@ -186,14 +250,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = settle(links.unionByName(members.join(several, "id").where("rep <> a").select(F.col("rep").alias("b"), "a").select("a", "b")))
     found = components(links)
 
-    # buckets that hold several components: the pairs between them
-    named = bucketed.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
-    open_ = settle(named.join(mixed, "key"))
-    other = open_.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    fits = (100 * F.least("n", "m") >= least * F.greatest("n", "m")) & (F.col("component") != F.col("other")) & (F.col("rep") > F.col("b"))
-    pairs = open_.join(other, "key").where(fits).select(F.col("rep").alias("a"), "b").distinct().join(edges, ["a", "b"], "left_anti")
-    more = settle(confirm(pairs, texts, least))
+    more = settle(across(bucketed.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), texts, least))
     if not more.isEmpty():
         found = components(links.unionByName(more))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lociframe.llm import bpe, linedup, minhash, mixing, quality, urlrules
+from lociframe.llm import bpe, edits, fingerprint, linedup, minhash, mixing, quality, surrogates, urlrules, warc
 
-MODULES = (urlrules, quality, bpe, mixing, linedup, minhash)
+MODULES = (urlrules, quality, bpe, surrogates, fingerprint, warc, mixing, edits, linedup, minhash)
 
 
 def queries() -> dict:
