@@ -101,7 +101,7 @@ def features(data: np.ndarray, at: np.ndarray, ranks: np.ndarray) -> tuple[np.nd
     """Start of every feature of the rows, and features before each row (n + 1)."""
     found = steps(data)
     m = len(found)
-    if not m:
+    if m < WINDOW:
         return np.zeros(0, np.int64), np.zeros(len(at), np.int64)
     inside = _inside(at, m, WINDOW)
     rank = np.where(inside, ranks[found], 0)

@@ -75,7 +75,7 @@ def entities(text: Column) -> Column:
     raw = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     before = F.split(text, ANY, -1)
     n = F.size(raw)
-    found = F.arrays_zip(raw.alias("raw"), F.slice(before, 1, n).alias("before"), F.slice(before, 2, n).alias("after"), F.concat(F.array(F.lit("")), F.slice(before, 1, n)).alias("earlier"))
+    found = F.arrays_zip(raw.alias("raw"), F.slice(before, 1, n).alias("before"), F.slice(before, 2, n).alias("after"), F.slice(F.concat(F.array(F.lit("")), before), 1, n).alias("earlier"))
 
     def one(x: Column) -> Column:
         # a name right after a title, or one blank behind the name that follows it
@@ -148,34 +148,39 @@ def _name(kind: Column, stream: Column, attempt: Column) -> Column:
     return out
 
 
-def candidate(key: str, kind: Column, text: Column, attempt: Column) -> Column:
-    """Surrogate of a canonical form."""
-    stream = _stream(key, kind, text, attempt, F.length(text))
-    domain = F.substring_index(text, "@", -1)
-    at = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain), 256)
-    mail = F.concat(_alike(F.substring_index(text, "@", 1), stream, F.lit(False)), F.lit("@m"), F.substring(at, 1, 10), F.lit(".example."), _pick(["com", "net", "org"], F.conv(F.substring(at, 11, 2), 16, 10).cast("int")))
-    octets = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda j: (1 + _byte(stream, j) % 254).cast("string")), ".")
+def candidates(forms: DataFrame, key: str, attempt: int) -> DataFrame:
+    """Add s, the surrogate of every canonical form (kind, text) at an attempt.
+
+    Built column by column: a later one reads the earlier ones instead of repeating them.
+    """
+    kind, text, stream, digits = F.col("kind"), F.col("text"), F.col("stream"), F.col("digits")
+    mail = kind == "email"
+    rows = forms.withColumn("stream", _stream(key, kind, text, F.lit(attempt), F.length(text)))
+    rows = rows.withColumn("digits", _alike(F.when(mail, F.substring_index(text, "@", 1)).otherwise(text), stream, (kind == "secret") & text.rlike("^[0-9a-f]+$")))
+    rows = rows.withColumn("domain", F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), F.substring_index(text, "@", -1)), 256))
+    rows = rows.withColumn("body", F.when(kind == "card", F.concat(F.substr(digits, F.lit(1), F.length(text) - 1), F.lit("0"))))
+    address = F.concat(digits, F.lit("@m"), F.substring("domain", 1, 10), F.lit(".example."), _pick(["com", "net", "org"], F.conv(F.substring("domain", 11, 2), 16, 10).cast("int")))
     private = F.regexp_extract(text, r"^(?:10\.|192\.168\.|127\.|172\.(?:1[6-9]|2\d|3[01])\.)", 0)
     skip = F.length(F.regexp_replace(private, "[^.]", ""))
-    ip = F.concat(private, F.array_join(F.slice(F.split(octets, r"\."), skip + 1, 4 - skip), "."))
-    digits = _alike(text, stream, F.lit(False))
-    body = F.concat(F.substr(digits, F.lit(1), F.length(text) - 1), F.lit("0"))
-    card = F.concat(F.substr(body, F.lit(1), F.length(text) - 1), ((luhn(text) - luhn(body) + 10) % 10).cast("string"))
+    octets = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda j: (1 + _byte(stream, j) % 254).cast("string"))
+    ip = F.concat(private, F.array_join(F.slice(octets, skip + 1, 4 - skip), "."))
+    card = F.concat(F.substr("body", F.lit(1), F.length(text) - 1), F.pmod(luhn(text) - luhn(F.col("body")), F.lit(10)).cast("string"))
     phone = F.when(text.startswith("+"), F.concat(F.substring(text, 1, 3), F.substr(digits, F.lit(4), F.length(text)))).otherwise(digits)
     iban = F.concat(F.substring(text, 1, 2), F.substr(digits, F.lit(3), F.length(text)))
-    return (F.when(kind == "email", mail).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", iban).when(kind == "phone", phone)
-            .when(kind.startswith("name"), _name(kind, stream, attempt)).when(kind == "secret", _alike(text, stream, text.rlike("^[0-9a-f]+$"))).otherwise(digits))
+    made = (F.when(mail, address).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", iban).when(kind == "phone", phone)
+            .when(kind.startswith("name"), _name(kind, stream, F.lit(attempt))).otherwise(digits))
+    return rows.select("kind", "text", made.alias("s"))
 
 
 def assign(forms: DataFrame, key: str) -> DataFrame:
     """kind, text (canonical, distinct) and surrogate: distinct among each other and from all texts of the kind."""
     spark = forms.sparkSession
-    open_ = settle(forms.select("kind", "text").distinct())
+    open_ = settle(forms.select("kind", "text").where("kind is not null and text is not null").distinct())
     known = open_.select("kind", F.lower("text").alias("s"))
     done = spark.createDataFrame([], "kind string, text string, s string")
     attempt = 0
     while not open_.isEmpty():
-        made = settle(open_.withColumn("s", candidate(key, F.col("kind"), F.col("text"), F.lit(attempt))))
+        made = settle(candidates(open_, key, attempt))
         fold = F.lower("s").alias("s")  # names are compared without case
         first = made.groupBy("kind", fold).agg(F.min("text").alias("text"))
         taken = done.select("kind", fold).unionByName(known)

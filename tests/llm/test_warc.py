@@ -24,7 +24,7 @@ DATA = [
 
 def test_round_trip(spark, tmp_path):
     folder = str(tmp_path / "w")
-    files, got = rows_of(spark, DATA, folder, roll_bytes=3000)
+    files, got = rows_of(spark, DATA, folder, roll_bytes=300)
     assert len(files.collect()) > 2 and sum(r.records for r in files.collect()) == len(got) == len(DATA)
     heads = {}
     for i, _, h, _ in DATA:
