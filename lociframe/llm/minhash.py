@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from lociframe.llm.common import Words, mix64, raw, settle, slices, table
+from lociframe.llm.common import Words, fresh, mix64, raw, settle, slices, table
 
 WIDTH, COORDS, BANDS = 5, 128, 32
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -263,8 +263,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """One document of each group, with all its columns: the one with the smallest id."""
-    gone = near_duplicates(docs, id_col, text_col, least).where("not kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    (other,) = fresh(docs, "gone")
+    gone = near_duplicates(docs, id_col, text_col, least).where("not kept").select(F.col(id_col).alias(other)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(other), "left_anti")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
