@@ -13,7 +13,8 @@ that two forms share goes to the smaller one; it is refused to all if it is take
 has it as an entity of that type. Refused forms try again with the next attempt number until none is
 left, so distinct entities stay distinct. Only these short rows move, and once the texts that have
 entities; texts without any never leave their task. A hot entity is one row on its side of the
-joins, so adaptive execution splits it.
+joins, so adaptive execution splits it. The patterns run only over texts that pass a cheap test,
+which every text with an entity passes.
 
 Defined results: null and empty texts and texts without entities stay as they are; rows with equal
 id and text are replaced alike; null ids are ids; an input column named like a result column is
@@ -57,6 +58,18 @@ SYLLABLES = {
 }
 
 
+def may_hold(text: Column) -> Column:
+    """Cheap test that every text with an entity passes: a sign, a telling word, digits or a title."""
+    low = F.lower(text)
+    tests = [text.contains("@"), text.rlike(r"[0-9][0-9 .()-]{6}"), text.rlike("[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}")]
+    tests += [low.contains(w) for w in ("token", "secret", "passwd", "password", "api_key", "api-key", "apikey")]
+    tests += [text.contains(t + end) for t in f"{MALE}|{FEMALE}|{NEUTRAL}".split("|") for end in (" ", ". ")]
+    out = tests[0]
+    for test in tests[1:]:
+        out = out | test
+    return F.coalesce(out, F.lit(False))
+
+
 def _kind(entity: Column) -> Column:
     """Kind of an entity by its form; what has no other form is a name or, if long, a secret."""
     digits = F.length(F.regexp_replace(entity, r"\D", ""))
@@ -210,7 +223,7 @@ def replace(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: s
     kept = [c for c in docs.columns if c.lower() != (count or "").lower()]
     k, outs, where, found = fresh(docs, "row_key", "row_out", "row_k", "row_found")
     mine = F.struct(F.col(id_col).alias("id"), F.md5(text_col).alias("t"))
-    has = F.coalesce(F.col(text_col).rlike(ANY), F.lit(False))
+    has = may_hold(F.col(text_col))
     rows = docs.where(has).select(mine.alias("k"), F.posexplode(entities(F.col(text_col))).alias("i", "e"))
     seen = settle(rows.select("k", "i", F.col("e.raw").alias("raw"), F.col("e.kind").alias("kind")).distinct())
     forms = seen.select("kind", "raw").distinct().withColumn("text", canonical(F.col("kind"), F.col("raw")))
@@ -218,10 +231,11 @@ def replace(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: s
     put = seen.join(made, ["kind", "raw"]).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "new"))).alias(outs)).withColumnRenamed("k", where)
 
     cut = F.split(text_col, ANY, -1)
-    text = F.concat(F.array_join(F.zip_with(F.slice(cut, 1, F.size(outs)), outs, lambda a, b: F.concat(a, b["new"])), ""), F.element_at(cut, -1))
+    joined = F.concat(F.array_join(F.zip_with(F.slice(cut, 1, F.size(outs)), outs, lambda a, b: F.concat(a, b["new"])), ""), F.element_at(cut, -1))
+    text = F.when(F.col(outs).isNull(), F.col(text_col)).otherwise(joined)
     columns = [F.col(f"`{c}`") for c in kept]
-    touched = docs.where(has).withColumn(k, mine).join(put, F.col(k).eqNullSafe(F.col(where)))
-    touched = touched.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept], F.size(outs).alias(found))
+    touched = docs.where(has).withColumn(k, mine).join(put, F.col(k).eqNullSafe(F.col(where)), "left")
+    touched = touched.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept], F.when(F.col(outs).isNull(), 0).otherwise(F.size(outs)).alias(found))
     out = docs.where(~has).select(*columns, F.lit(0).alias(found)).unionByName(touched)
     return out.select(*columns, *([F.col(found).cast("long").alias(count)] if count else []))
 
