@@ -58,16 +58,11 @@ SYLLABLES = {
 }
 
 
-def may_hold(text: Column) -> Column:
-    """Cheap test that every text with an entity passes: a sign, a telling word, digits or a title."""
-    low = F.lower(text)
-    tests = [text.contains("@"), text.rlike(r"[0-9][0-9 .()-]{6}"), text.rlike("[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}")]
-    tests += [low.contains(w) for w in ("token", "secret", "passwd", "password", "api_key", "api-key", "apikey")]
-    tests += [text.contains(t + end) for t in f"{MALE}|{FEMALE}|{NEUTRAL}".split("|") for end in (" ", ". ")]
-    out = tests[0]
-    for test in tests[1:]:
-        out = out | test
-    return F.coalesce(out, F.lit(False))
+#: every text with an entity has one of these: a sign, digits, an account number, a title, a telling name
+TRACES = "|".join((
+    "@", r"[0-9][0-9 .()-]{6}", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", rf"(?=[DFHMPSг])(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}",
+    r"[tTsSpPaA](?i:oken|ecret|asswd|assword|pi[_-]?key)[\"']?\s{0,3}[=:]",
+))
 
 
 def _kind(entity: Column) -> Column:
@@ -83,10 +78,12 @@ def _script(text: Column) -> Column:
     return F.when(text.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(text.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def entities(text: Column) -> Column:
-    """Array of the entities of a text: raw, kind and, for names, role (given or family), gender and script."""
-    raw = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    before = F.split(text, ANY, -1)
+def entities(raw: Column, before: Column) -> Column:
+    """Array of the entities of a text: raw, kind and, for names, role (given or family), gender and script.
+
+    raw: all matches; before: the text cut at them. Both have to be columns, not expressions, since
+    they are read several times.
+    """
     n = F.size(raw)
     found = F.arrays_zip(raw.alias("raw"), F.slice(before, 1, n).alias("before"), F.slice(before, 2, n).alias("after"), F.slice(F.concat(F.array(F.lit("")), before), 1, n).alias("earlier"))
 
@@ -223,18 +220,21 @@ def replace(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: s
     kept = [c for c in docs.columns if c.lower() != (count or "").lower()]
     k, outs, where, found = fresh(docs, "row_key", "row_out", "row_k", "row_found")
     mine = F.struct(F.col(id_col).alias("id"), F.md5(text_col).alias("t"))
-    has = may_hold(F.col(text_col))
-    rows = docs.where(has).select(mine.alias("k"), F.posexplode(entities(F.col(text_col))).alias("i", "e"))
+    has = F.coalesce(F.col(text_col).rlike(TRACES), F.lit(False))
+    rows = docs.where(has).select(mine.alias("k"), F.regexp_extract_all(text_col, F.lit(ANY), F.lit(0)).alias("raw"), F.split(text_col, ANY, -1).alias("before"))
+    rows = rows.where(F.size("raw") > 0).select("k", F.posexplode(entities(F.col("raw"), F.col("before"))).alias("i", "e"))
     seen = settle(rows.select("k", "i", F.col("e.raw").alias("raw"), F.col("e.kind").alias("kind")).distinct())
     forms = seen.select("kind", "raw").distinct().withColumn("text", canonical(F.col("kind"), F.col("raw")))
     made = forms.join(assign(forms, key), ["kind", "text"]).select("kind", "raw", _render(F.col("kind"), F.col("raw"), F.col("s")).alias("new"))
     put = seen.join(made, ["kind", "raw"]).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "new"))).alias(outs)).withColumnRenamed("k", where)
 
-    cut = F.split(text_col, ANY, -1)
+    (pieces,) = fresh(docs, "row_pieces")
+    cut = F.col(pieces)
     joined = F.concat(F.array_join(F.zip_with(F.slice(cut, 1, F.size(outs)), outs, lambda a, b: F.concat(a, b["new"])), ""), F.element_at(cut, -1))
     text = F.when(F.col(outs).isNull(), F.col(text_col)).otherwise(joined)
     columns = [F.col(f"`{c}`") for c in kept]
     touched = docs.where(has).withColumn(k, mine).join(put, F.col(k).eqNullSafe(F.col(where)), "left")
+    touched = touched.withColumn(pieces, F.when(F.col(outs).isNotNull(), F.split(text_col, ANY, -1)))
     touched = touched.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept], F.when(F.col(outs).isNull(), 0).otherwise(F.size(outs)).alias(found))
     out = docs.where(~has).select(*columns, F.lit(0).alias(found)).unionByName(touched)
     return out.select(*columns, *([F.col(found).cast("long").alias(count)] if count else []))
