@@ -43,6 +43,7 @@ SHORT_FORMS = "stmd"
 LONG_FORMS = ("re", "ve", "ll")
 MAX_CACHED = 60_000
 TEXT_SLICE, TOKEN_SLICE = 1 << 20, 1 << 18  # bytes encoded and tokens decoded at a time
+FEW = 64  # pieces from which merging in step pays
 LONG_PIECE = 256  # bytes; longer pieces are merged one by one with a heap
 NONE = np.int64(1 << 40)
 
@@ -192,12 +193,13 @@ class Merger:
         out = [young.get(p) or old.get(p) or ((whole[p],) if p in whole else None) for p in pieces]
         missing = [i for i, found in enumerate(out) if found is None]
         short = [i for i in missing if len(pieces[i]) <= LONG_PIECE]
-        for i, found in zip(short, self.merge([pieces[i] for i in short])):
-            out[i] = found
+        if len(short) > FEW:
+            for i, found in zip(short, self.merge([pieces[i] for i in short])):
+                out[i] = found
         for i in missing:
             if out[i] is None:
                 out[i] = tuple(self.merge_long([self.single[b] for b in pieces[i]]))
-            elif len(pieces[i]) <= 64:
+            if len(pieces[i]) <= 64:
                 young[pieces[i]] = out[i]
         if len(young) >= MAX_CACHED:
             self.old, self.young = young, {}

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
@@ -180,6 +180,17 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def pack(fingerprint: str) -> bytes:
+    """Number of features in four bytes, then the filters; half the size of the text."""
+    count, _, filters = fingerprint.partition(":")
+    return int(count).to_bytes(4, "big") + bytes.fromhex(filters)
+
+
+def unpacked(packed: Column) -> Column:
+    """The text of a packed fingerprint."""
+    return F.concat(F.conv(F.hex(F.substring(packed, 1, 4)), 16, 10), F.lit(":"), F.lower(F.hex(F.substring(packed, 5, 2**31 - 1))))
+
+
 _FOUND = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -215,18 +226,22 @@ def compare_with_next(docs: DataFrame, ranks: np.ndarray, id_col: str = "doc_id"
             first = first or (ids[0], texts[0], prints[0])
             held = (ids[-1], texts[-1], prints[-1])
             out = _compared(ids, texts, prints, ranks)
+            for name in ("fingerprint", "edited_fingerprint"):
+                out[name] = list(map(pack, out[name]))
             n = len(ids) - 1
             nothing = [pa.nulls(n, t) for t in (id_type, text_type, text_type) * 2]
-            yield pa.RecordBatch.from_arrays([pa.array(out["id"], id_type), *(pa.array(out[c]) if n else pa.nulls(0, t) for c, t in zip(names, (pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()))), *nothing, pa.array([False] * n, pa.bool_())], columns)
+            yield pa.RecordBatch.from_arrays([pa.array(out["id"], id_type), *(pa.array(out[c]) if n else pa.nulls(0, t) for c, t in zip(names, kinds)), *nothing, pa.array([False] * n, pa.bool_())], columns)
         if first:
-            empty = [pa.nulls(1, t) for t in (id_type, pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64())]
+            empty = [pa.nulls(1, t) for t in (id_type, *kinds)]
             yield pa.RecordBatch.from_arrays([*empty, *(pa.array([v], t) for v, t in zip((*first, *held), (id_type, text_type, text_type) * 2)), pa.array([True])], columns)
 
+    kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
+    packed = _FOUND.replace("fingerprint string", "fingerprint binary")
     columns = ["id", *names, *(x.split()[0] for x in edge.split(", ")), "edge"]
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, F.col("id").desc_nulls_last()).sortWithinPartitions(F.col("id").desc_nulls_last(), F.md5("text"))
-    found = settle(ordered.mapInArrow(run, f"id {kind}, {_FOUND}, {edge}, edge boolean"))
+    found = settle(ordered.mapInArrow(run, f"id {kind}, {packed}, {edge}, edge boolean"))
 
     # one row per partition: its last row meets the first of the next one
     edges = found.where("edge").select("first_id", "first_text", "first_print", "last_id", "last_text", "last_print")
@@ -244,7 +259,8 @@ def compare_with_next(docs: DataFrame, ranks: np.ndarray, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([pa.array(out["id"], b.schema.field("last_id").type), *(pa.array(out[c]) for c in names)], ["id", *names])
 
     last = met.mapInArrow(finish, f"id {kind}, {_FOUND}")
-    return found.where("not edge").select("id", *names).unionByName(last).withColumnRenamed("id", id_col)
+    whole = found.where("not edge").withColumns({c: unpacked(F.col(c)) for c in ("fingerprint", "edited_fingerprint")})
+    return whole.select("id", *names).unionByName(last).withColumnRenamed("id", id_col)
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
