@@ -110,19 +110,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-SMALL_INPUT = 1 << 30
-
-
-def _source(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """Table reference. A small single-file text table sits in one row group and would feed one
-    task; its rows are spread first. Larger inputs keep the splits of their scan."""
+def _source(sf_dir: str, name: str) -> str:
+    """Table reference. Texts are spread evenly before they are cut into many rows: a few long ones,
+    or one row group with all of them, would else decide the width of the job."""
     path = f"parquet.`{sf_dir}/{name}.parquet`"
-    if name != "documents":
-        return path
-    plan = spark.read.parquet(f"{sf_dir}/{name}.parquet")._jdf.queryExecution().optimizedPlan()
-    if int(str(plan.stats().sizeInBytes())) > SMALL_INPUT:
-        return path
-    return f"(SELECT /*+ REPARTITION({spark.sparkContext.defaultParallelism * 4}) */ doc_id, lang, text FROM {path})"
+    return f"(SELECT /*+ REBALANCE */ doc_id, lang, text FROM {path})" if name == "documents" else path
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -130,7 +122,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     parts = _with_needs([name])
     text = VIEWS[parts[-1]]
     needed = [t for t in TABLES if any("{" + t + "}" in VIEWS[p] for p in parts)]
-    used = {t: _source(spark, sf_dir, t) if t in needed else t for t in TABLES}
+    used = {t: _source(sf_dir, t) if t in needed else t for t in TABLES}
     ctes = ", ".join(f"{p} AS ({VIEWS[p].format(**SPARK, **used)})" for p in parts[:-1])
     body = text.format(**SPARK, **used)
     return spark.sql(f"WITH {ctes} {body}" if ctes else body)
@@ -140,7 +132,7 @@ def oracle(names: str | list[str], body: str) -> str:
     """Oracle text: fixture views as CTEs in front of `body` (which may have its own WITH)."""
     wanted = names.split() if isinstance(names, str) else names
     ident = {t: t for t in TABLES}
-    ctes = [f"{n} AS ({VIEWS[n].format(**DUCK, **ident)})" for n in _with_needs(wanted)]
+    ctes = [f"{n} AS MATERIALIZED ({VIEWS[n].format(**DUCK, **ident)})" for n in _with_needs(wanted)]
     text = body.strip()
     if not ctes:
         return text

@@ -5,8 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -355,37 +353,56 @@ def chi_square_stat(a: Column, b: Column, c: Column, d: Column) -> Column:
     return term(a, c) + term(b, d)
 
 
-def chi_square_p(stat: Column) -> Column:
-    """Upper tail for one degree of freedom (no such function on the JVM side), an Arrow batch at a time."""
+def chi_square_log10_p(stat: Column) -> Column:
+    """log10 of the upper tail for one degree of freedom; never underflows.
 
-    @F.pandas_udf("double")
-    def tail(x: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None or np.isnan(v) else math.erfc(math.sqrt(v / 2)) for v in x], dtype="float64")
-
-    return tail(stat)
-
-
-MAX_FISHER = 100
-
-
-def _log_factorial(n: Column, size: int = MAX_FISHER) -> Column:
-    return F.get(F.array(*[F.lit(math.lgamma(i + 1)) for i in range(size + 1)]), n.cast("int"))
-
-
-def fisher_two_tailed(a: Column, b: Column, c: Column, d: Column, size: int = MAX_FISHER) -> Column:
-    """Two-tailed exact p of a 2 x 2 table; NULL above `size` observations.
-
-    Sums the tables with the same margins that are no more likely than the observed one.
+    Below z = 2 the series of the error function, beyond it the continued fraction of its
+    complement, both nested, so the logarithm needs no small number to be formed.
+    """
+    z = F.sqrt(stat / 2)
+    series = F.lit(1.0)
+    for k in range(40, 0, -1):
+        series = 1 + series * (stat / (2 * k + 1))  # 2 z^2 = stat
+    body = 1 - F.exp(-stat / 2) * z * series * (2 / math.sqrt(math.pi))
+    fraction = z
+    for k in range(60, 0, -1):
+        fraction = z + (k / 2) / fraction
+    far = (-stat / 2 - F.log(fraction) - math.log(math.pi) / 2) / math.log(10)
+    return F.when(z < 2, F.log10(body)).otherwise(far)
+
+
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x >= 1: Stirling's series at x + 8, shifted back."""
+    y = x.cast("double") + 8
+    shift = F.log(y - 8)
+    for k in range(1, 8):
+        shift = shift + F.log(y - 8 + k)
+    r = 1 / y
+    tail = r * (1 / 12 - r * r * (1 / 360 - r * r * (1 / 1260 - r * r / 1680)))
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + tail - shift
+
+
+def fisher_two_tailed(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Two-tailed exact p of a 2 x 2 table of any size.
+
+    Sums the tables with the same margins that are no more likely than the observed one: log
+    factorials give the first of them, ratios of neighbours the rest.
     """
     n = a + b + c + d
     r1, r2, c1 = a + b, c + d, a + c
-    lf = lambda x: _log_factorial(x, size)
+    lf = lambda x: log_gamma(x + 1)
     fixed = lf(r1) + lf(r2) + lf(c1) + lf(n - c1) - lf(n)
     logp = lambda k: fixed - lf(k) - lf(r1 - k) - lf(c1 - k) - lf(r2 - c1 + k)
-    ks = F.sequence(F.greatest(F.lit(0), c1 - r2), F.least(r1, c1))
+    low, high = F.greatest(F.lit(0), c1 - r2), F.least(r1, c1)
     base = logp(a) + 1e-9
-    tail = F.aggregate(F.transform(ks, logp), F.lit(0.0), lambda acc, p: acc + F.when(p <= base, F.exp(p)).otherwise(0.0))
-    return F.when(n <= size, tail)
+
+    def step(acc: Column, k: Column) -> Column:
+        ratio = (r1 - k).cast("double") * (c1 - k) / ((k + 1).cast("double") * (r2 - c1 + k + 1))
+        following = F.when(k < high, acc["p"] + F.log(ratio)).otherwise(acc["p"])
+        return F.struct(following.alias("p"), (acc["s"] + F.when(acc["p"] <= acc["base"], F.exp(acc["p"])).otherwise(0.0)).alias("s"), acc["base"].alias("base"))
+
+    start = F.struct(logp(low).alias("p"), F.lit(0.0).alias("s"), base.alias("base"))
+    return F.aggregate(F.sequence(low, high), start, step)["s"]
 
 
 def log_expectation(a: Column, b: Column, c: Column, d: Column) -> tuple[Column, Column]:

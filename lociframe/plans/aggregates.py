@@ -255,10 +255,15 @@ def asm_chisq(v):
     return k.select("chrom", "chrom_pos", "allele_pos", near(A.chi_square_stat(*_cells()), 6).alias("stat"))
 
 
-@question("a_asm_chisq_p")
+# the tail as an integral over an angle, by the trapezoid rule; independent of the series in the library
+@question("a_asm_chisq_p", "v_allele", ASM.format(m=1) + """, w AS (SELECT *, sqrt((b_c_reads + b_t_reads) / CAST(nullif(a_c_reads + a_t_reads, 0) AS DOUBLE)) AS w FROM k),
+s AS (SELECT chrom, chrom_pos, allele_pos, coalesce(pow(a_c_reads * w - b_c_reads / w, 2) / nullif(a_c_reads + b_c_reads, 0), 0) + coalesce(pow(a_t_reads * w - b_t_reads / w, 2) / nullif(a_t_reads + b_t_reads, 0), 0) AS stat FROM w),
+u AS MATERIALIZED (SELECT DISTINCT stat FROM s),
+p AS (SELECT stat, CASE WHEN stat < 1e-9 THEN -sqrt(2 * stat / pi()) / ln(10) ELSE (-stat / 2 + ln((0.5 + list_sum(list_transform(range(1, 6000), lambda i: exp(-stat / 2 * pow(tan(i * pi() / 12000), 2))))) / 6000)) / ln(10) END AS lp FROM u)
+SELECT chrom, chrom_pos, allele_pos, ROUND(s.stat, 6) AS stat, ROUND(lp, 6) AS log10_p FROM s JOIN p ON p.stat = s.stat""")
 def asm_chisq_p(v):
     k = A.contingency(v.allele, min_allele=1).withColumn("stat", A.chi_square_stat(*_cells()))
-    return k.select("chrom", "chrom_pos", "allele_pos", "stat", F.log10(F.nullif(A.chi_square_p(F.col("stat")), F.lit(0.0))).alias("log10_p"))
+    return k.select("chrom", "chrom_pos", "allele_pos", near(F.col("stat"), 6).alias("stat"), near(A.chi_square_log10_p(F.col("stat")), 6).alias("log10_p"))
 
 
 LF = "lgamma(CAST({x} + 1 AS DOUBLE))"
@@ -271,7 +276,7 @@ def _lp(k):
 
 @question("a_asm_fisher", "v_allele", ASM.format(m=1) + f""", n AS (SELECT chrom, chrom_pos, allele_pos, a_c_reads AS a, a_t_reads AS b, b_c_reads AS c, b_t_reads AS d FROM k),
 e AS (SELECT *, unnest(generate_series(greatest(0, a + c - (c + d)), least(a + b, a + c))) AS i FROM n),
-s AS (SELECT chrom, chrom_pos, allele_pos, a, b, c, d, CASE WHEN max(a + b + c + d) <= 100 THEN SUM(CASE WHEN {_lp('i')} <= {_lp('a')} + 1e-9 THEN exp({_lp('i')}) ELSE 0 END) END AS p FROM e GROUP BY chrom, chrom_pos, allele_pos, a, b, c, d)
+s AS (SELECT chrom, chrom_pos, allele_pos, a, b, c, d, SUM(CASE WHEN {_lp('i')} <= {_lp('a')} + 1e-9 THEN exp({_lp('i')}) ELSE 0 END) AS p FROM e GROUP BY chrom, chrom_pos, allele_pos, a, b, c, d)
 SELECT chrom, chrom_pos, allele_pos, ROUND(p, 6) AS p, ROUND(-log2(p), 5) AS neg_log2_p, ROUND(log2(greatest(a, c) / nullif(CASE WHEN a > c THEN a + b ELSE c + d END * (a + c) / CAST(a + b + c + d AS DOUBLE), 0)), 5) AS log_c,
   ROUND(log2(greatest(b, d) / nullif(CASE WHEN b > d THEN a + b ELSE c + d END * (b + d) / CAST(a + b + c + d AS DOUBLE), 0)), 5) AS log_t FROM s""")
 def asm_fisher(v):

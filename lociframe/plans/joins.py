@@ -95,8 +95,7 @@ EXPR_SQL = """SELECT CAST(c_nationkey AS BIGINT) AS refseq_id, avg(c_acctbal) AS
 
 
 def expression(v):
-    v.customer.createOrReplaceTempView("lociframe_customer")
-    return v.spark.sql(EXPR_SQL.format(customer="lociframe_customer"))
+    return v.spark.sql(EXPR_SQL, customer=v.customer)
 
 
 @question("j_feature_expression", FEAT, "WITH e AS (" + EXPR_SQL.format(customer="customer") + """),
@@ -132,10 +131,11 @@ def merge_by_id(v):
 
 
 @question("j_scores_default", FEAT, """
-SELECT f.feat_id, coalesce(s.c_acctbal, -1.0) AS score FROM (SELECT feat_id, concat('customer#', lpad(CAST(feat_id % 3000 AS VARCHAR), 9, '0')) AS name FROM v_feature) f
+SELECT f.feat_id, coalesce(s.c_acctbal, -1.0) AS score FROM (SELECT feat_id, concat('customer#', lpad(CAST(feat_id % (SELECT 2 * COUNT(*) FROM customer) AS VARCHAR), 9, '0')) AS name FROM v_feature) f
 LEFT JOIN customer s ON upper(s.c_name) = upper(f.name)""")
 def scores_default(v):
-    f = v.feature.select("feat_id", F.concat(F.lit("customer#"), F.lpad((F.col("feat_id") % 3000).cast("string"), 9, "0")).alias("name"))
+    n = v.customer.agg(2 * F.count(F.lit(1))).scalar()  # half of the names are known
+    f = v.feature.select("feat_id", F.concat(F.lit("customer#"), F.lpad((F.col("feat_id") % n).cast("string"), 9, "0")).alias("name"))
     s = v.customer.select(F.col("c_name").alias("name"), "c_acctbal")
     return J.scores_or_default(f, s, "name", "c_acctbal", -1.0).select("feat_id", "score")
 
@@ -234,8 +234,7 @@ ts AS (SELECT *, (log2_ratio IN ('NA', 'Inf', '-Inf') OR abs(TRY_CAST(log2_ratio
 SELECT chrom, snp_pos, CASE WHEN ns.sig AND ts.sig THEN 'overlap' WHEN ns.sig THEN 'normal_only' WHEN ts.sig THEN 'tumor_only' ELSE 'none' END AS kind
 FROM ns JOIN ts USING (chrom, snp_pos)""")
 def asm_overlap(v):
-    v.cytosine.createOrReplaceTempView("lociframe_cytosine")
-    side = lambda s: v.spark.sql(BLOCK_SQL.format(S="STRING", src="lociframe_cytosine", s=s))
+    side = lambda s: v.spark.sql(BLOCK_SQL.format(S="STRING", src="{src}", s=s), src=v.cytosine)
     return J.block_overlap(side("A"), side("B"), 2, 0.01, 2.0)
 
 
@@ -273,13 +272,15 @@ def island_flag(v):
 
 
 @question("j_orient_by_motif", f"{FEAT} v_seq", """
-WITH s AS (SELECT f.feat_id, substring(q.seq, 1 + f.start_pos % 40, 19) AS sub FROM v_feature f JOIN v_seq q ON q.seq_id = f.feat_id % 1000),
+WITH s AS (SELECT f.feat_id, substring(q.seq, 1 + f.start_pos % 40, 19) AS sub FROM v_feature f JOIN v_seq q ON q.seq_id = f.feat_id % (SELECT COUNT(*) FROM documents)),
 r AS (SELECT feat_id, sub, reverse(translate(sub, 'ACGT', 'TGCA')) AS rc FROM s),
 m AS (SELECT * FROM (VALUES (5, 'CA'), (9, 'AG'), (15, 'CA')) AS m(p, b)),
 n AS (SELECT feat_id, SUM(CASE WHEN substring(sub, p, 2) = b THEN 2 ELSE 0 END) - SUM(CASE WHEN substring(rc, p, 2) = b THEN 2 ELSE 0 END) AS d FROM r, m GROUP BY 1)
 SELECT feat_id, CASE WHEN d >= 2 THEN '+' WHEN d <= -2 THEN '-' ELSE '.' END AS new_strand FROM n""")
 def orient_by_motif(v):
-    f = v.feature.withColumn("seq_id", F.col("feat_id") % 1000).join(v.seq.select("seq_id", "seq"), "seq_id")
+    n = v.documents.agg(F.count(F.lit(1))).scalar()
+    head = v.seq.select("seq_id", F.substring("seq", 1, 58).alias("seq"))  # all that the pieces reach
+    f = v.feature.withColumn("seq_id", F.col("feat_id") % n).join(head, "seq_id")
     sub = F.substring(F.col("seq"), 1 + F.col("start_pos") % 40, F.lit(19))
     return f.select("feat_id", Q.strand_by_evidence(sub, margin=2).alias("new_strand"))
 

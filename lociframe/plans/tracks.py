@@ -149,19 +149,20 @@ def cse_line(v):
 
 
 @question("s_array_matrix", C, """
-WITH a AS (SELECT sample, chrom_pos % 50 AS x, chrom_pos % 40 AS y, c_reads AS value FROM v_cytosine), p AS (SELECT DISTINCT chrom_pos % 50 AS x, chrom_pos % 40 AS y FROM v_cytosine WHERE chrom = 'chr1')
+WITH a AS (SELECT sample, chrom_pos % 50 AS x, chrom_pos % 40 AS y, c_reads AS value FROM v_cytosine), p AS (SELECT DISTINCT chrom_pos % 50 AS x, chrom_pos % 40 AS y FROM v_cytosine)
 SELECT p.x * 100 + p.y AS probe, 'chr1' AS chrom, p.x AS pos, ROUND(avg(value) FILTER (WHERE sample = 'A'), 6) AS "A", ROUND(avg(value) FILTER (WHERE sample = 'B'), 6) AS "B" FROM a JOIN p ON p.x = a.x AND p.y = a.y GROUP BY 1, 2, 3""")
 def array_matrix(v):
     xy = [(F.col("chrom_pos") % 50).alias("x"), (F.col("chrom_pos") % 40).alias("y")]
-    p = v.cytosine.filter(F.col("chrom") == "chr1").select(*xy).distinct()
+    p = v.cytosine.select(*xy).distinct()
     p = p.select("x", "y", (F.col("x") * 100 + F.col("y")).alias("probe"), F.lit("chr1").alias("chrom"), F.col("x").alias("pos"))
     return rounded(K.array_matrix(v.cytosine.select("sample", *xy, F.col("c_reads").alias("value")), p, ["A", "B"]), "A", "B")
 
 
 @question("p_remap_ids", FEAT, """
-SELECT f.feat_id, coalesce(c.c_name, f.name) AS name FROM (SELECT feat_id, concat('id', CAST(feat_id % 2000 AS VARCHAR)) AS name FROM v_feature) f LEFT JOIN customer c ON concat('id', CAST(c.c_custkey AS VARCHAR)) = f.name AND c.c_custkey % 2 = 0""")
+SELECT f.feat_id, coalesce(c.c_name, f.name) AS name FROM (SELECT feat_id, concat('id', CAST(feat_id % (SELECT 2 * COUNT(*) FROM customer) AS VARCHAR)) AS name FROM v_feature) f LEFT JOIN customer c ON concat('id', CAST(c.c_custkey AS VARCHAR)) = f.name AND c.c_custkey % 2 = 0""")
 def remap_ids(v):
-    f = v.feature.select("feat_id", F.concat(F.lit("id"), (F.col("feat_id") % 2000).cast("string")).alias("name"))
+    n = v.customer.agg(2 * F.count(F.lit(1))).scalar()
+    f = v.feature.select("feat_id", F.concat(F.lit("id"), (F.col("feat_id") % n).cast("string")).alias("name"))
     t = v.customer.filter(F.col("c_custkey") % 2 == 0).select(F.concat(F.lit("id"), F.col("c_custkey").cast("string")).alias("old_id"), F.col("c_name").alias("new_id"))
     return K.remap_ids(f, t, "name").select("feat_id", "name")
 

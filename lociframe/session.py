@@ -27,9 +27,12 @@ def get_session(app: str = "lociframe", master: str | None = None, **extra: str)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder named by the cluster in spark.checkpoint.dir; a local one only when none is set."""
+    """Shared folder named by the cluster in spark.checkpoint.dir; a local one only when none is set
+    and driver and executors are one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="lociframe-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
