@@ -33,7 +33,7 @@ def test_mined_rules(spark):
     data = [(i, f"http://{'win' if i % 2 else 'news'}.site{i % 7}.org/{'bonus' if i % 3 == 0 else 'read'}/{i}") for i in range(1200)]
     docs = spark.createDataFrame(data, "page_id long, url string")
     labels = spark.createDataFrame([(i, int(not (i % 2 and i % 3 == 0)), 0 if i % 5 else None) for i in range(600)] + [(3, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
-    mined = urlrules.mine(docs, labels, **urlrules.MINING)
+    mined = urlrules.mine(docs, labels, **{**urlrules.MINING, "max_share": 0.9})  # win is on more than half of the labelled pages
     rules = {tuple(r.terms): (r.confidence, r.term) for r in mined.collect()}
     assert rules[("h:win", "p:bonus")][0] == 1.0 and ("h:win",) not in rules and ("p:bonus",) not in rules
     for r in urlrules.judge(docs, mined, ()).collect():
