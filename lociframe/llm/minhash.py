@@ -196,7 +196,8 @@ def meet(queries: list[np.ndarray], members: list[np.ndarray]) -> np.ndarray:
 def across(named: DataFrame, texts: DataFrame, least: int = LEAST) -> DataFrame:
     """Links (a, b) between components that meet in a bucket. named: rep, key, component of every bucket row."""
     mixed = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
-    rows = settle(named.join(mixed, "key").select("key", "rep", "component"))
+    # a repeated row, or a text of the same id in the same bucket, must not cancel the marks; dealt by both columns, so a hot bucket spreads
+    rows = settle(named.join(mixed, "key").select("key", "rep", "component").repartition("key", "rep").distinct())
     marks = [F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit("y"))).alias("y")]
     parts = rows.groupBy("key", "component").agg(F.count("*").alias("n"), *marks)
     keys = parts.groupBy("key").agg(F.sum("n").alias("size"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.max(F.struct("n", "component")).alias("main"))

@@ -79,6 +79,17 @@ def test_small_blocks(spark, monkeypatch):
     check(spark, [(i, " ".join(edit(rng, base, rng.choice((0, 0.01, 0.03, 0.05, 0.08)), vocab))) for i in range(90)])
 
 
+def test_repeated_rows_do_not_hide_buckets(spark):
+    """Both buckets hold documents 1 to 3 and one more; with every row twice they still have different members."""
+    words = [f"w{i}" for i in range(60)]
+    texts = {1: words, 2: words[:-1], 3: words + ["x1", "x2"], 4: ["other"] * 3 + [f"o{i}" for i in range(60)], 5: words[8:] + ["x1", "x2"]}
+    rows = [(rep, key, 1 if rep < 4 else rep) for key, reps in ((10, (1, 2, 3, 4)), (20, (1, 2, 3, 5))) for rep in reps]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "id long, text string")
+    for times in (1, 2, 3):
+        named = spark.createDataFrame(rows * times, "rep long, key long, component long")
+        assert {r.a for r in minhash.across(named, docs).collect()} == {5}, times
+
+
 def test_sketch_estimates_and_never_leaves_gaps():
     rng = np.random.default_rng(1)
     errors = []
