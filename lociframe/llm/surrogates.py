@@ -11,7 +11,8 @@ gender of the form of address.
 Collision check: candidates of all distinct canonical forms meet in a grouped minimum. A candidate
 that two forms share goes to the smaller one; it is refused to all if it is taken, or if the corpus
 has it as an entity of that type. Refused forms try again with the next attempt number until none is
-left, so distinct entities stay distinct. Only these short rows move, and once the texts that have
+left, so distinct entities stay distinct. The first attempts keep the form; later ones have more
+characters or a wider block of addresses, so a small or full pool ends in longer surrogates. Only these short rows move, and once the texts that have
 entities; texts without any never leave their task. A hot entity is one row on its side of the
 joins, so adaptive execution splits it. The patterns run only over texts that pass a cheap test,
 which every text with an entity passes.
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from lociframe.llm.common import fresh, settle, table
 
+STAY = 8  # attempts within the form of the original; each further one widens the pool
 KEY = "surrogate-key-1"  # a production run passes its own
 
 # fixed values: forms of address by the gender they tell
@@ -158,6 +160,19 @@ def _name(kind: Column, stream: Column, attempt: Column) -> Column:
     return out
 
 
+def _ip(text: Column, stream: Column, attempt: int) -> Column:
+    """An address of the same private block; then one of 10.*, then any, then one of the private IPv6 block."""
+    octets = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda j: (1 + _byte(stream, j) % 254).cast("string"))
+    if attempt >= 3 * STAY:
+        groups = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.substr(stream, 4 * i + 3, F.lit(4)))
+        return F.concat(F.lit("fd"), F.substring(stream, 1, 2), F.lit(":"), F.array_join(groups, ":"))
+    private = F.regexp_extract(text, r"^(?:10\.|192\.168\.|127\.|172\.(?:1[6-9]|2\d|3[01])\.)", 0)
+    if attempt >= STAY:
+        private = F.when(private != "", F.lit("10." if attempt < 2 * STAY else "")).otherwise("")
+    skip = F.length(F.regexp_replace(private, "[^.]", ""))
+    return F.concat(private, F.array_join(F.slice(octets, skip + 1, 4 - skip), "."))
+
+
 def candidates(forms: DataFrame, key: str, attempt: int) -> DataFrame:
     """Add s, the surrogate of every canonical form (kind, text) at an attempt.
 
@@ -165,19 +180,18 @@ def candidates(forms: DataFrame, key: str, attempt: int) -> DataFrame:
     """
     kind, text, stream, digits = F.col("kind"), F.col("text"), F.col("stream"), F.col("digits")
     mail = kind == "email"
+    more = max(0, attempt + 1 - STAY)  # characters that the original doesn't have, so that no pool runs out
     rows = forms.withColumn("stream", _stream(key, kind, text, F.lit(attempt), F.length(text)))
-    rows = rows.withColumn("digits", _alike(F.when(mail, F.substring_index(text, "@", 1)).otherwise(text), stream, (kind == "secret") & text.rlike("^[0-9a-f]+$")))
+    rows = rows.withColumn("more", F.substr(_stream(key, kind, F.concat(F.lit("more|"), text), F.lit(attempt), F.lit(more)), F.lit(1), F.lit(more)))
+    tail = F.when(mail, F.translate("more", "0123456789", "ghijklmnop")).when(kind == "secret", F.col("more")).otherwise(F.translate("more", "abcdef", "012345"))
+    rows = rows.withColumn("digits", F.concat(_alike(F.when(mail, F.substring_index(text, "@", 1)).otherwise(text), stream, (kind == "secret") & text.rlike("^[0-9a-f]+$")), tail))
     rows = rows.withColumn("domain", F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), F.substring_index(text, "@", -1)), 256))
-    rows = rows.withColumn("body", F.when(kind == "card", F.concat(F.substr(digits, F.lit(1), F.length(text) - 1), F.lit("0"))))
+    rows = rows.withColumn("body", F.when(kind == "card", F.concat(F.substr(digits, F.lit(1), F.length(text) - 1), tail, F.lit("0"))))
     address = F.concat(digits, F.lit("@m"), F.substring("domain", 1, 10), F.lit(".example."), _pick(["com", "net", "org"], F.conv(F.substring("domain", 11, 2), 16, 10).cast("int")))
-    private = F.regexp_extract(text, r"^(?:10\.|192\.168\.|127\.|172\.(?:1[6-9]|2\d|3[01])\.)", 0)
-    skip = F.length(F.regexp_replace(private, "[^.]", ""))
-    octets = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda j: (1 + _byte(stream, j) % 254).cast("string"))
-    ip = F.concat(private, F.array_join(F.slice(octets, skip + 1, 4 - skip), "."))
-    card = F.concat(F.substr("body", F.lit(1), F.length(text) - 1), F.pmod(luhn(text) - luhn(F.col("body")), F.lit(10)).cast("string"))
-    phone = F.when(text.startswith("+"), F.concat(F.substring(text, 1, 3), F.substr(digits, F.lit(4), F.length(text)))).otherwise(digits)
-    iban = F.concat(F.substring(text, 1, 2), F.substr(digits, F.lit(3), F.length(text)))
-    made = (F.when(mail, address).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", iban).when(kind == "phone", phone)
+    card = F.concat(F.substr("body", F.lit(1), F.length("body") - 1), F.pmod(luhn(text) - luhn(F.col("body")), F.lit(10)).cast("string"))
+    phone = F.when(text.startswith("+"), F.concat(F.substring(text, 1, 3), F.substr(digits, F.lit(4), F.length(digits)))).otherwise(digits)
+    iban = F.concat(F.substring(text, 1, 2), F.substr(digits, F.lit(3), F.length(digits)))
+    made = (F.when(mail, address).when(kind == "ip", _ip(text, stream, attempt)).when(kind == "card", card).when(kind == "iban", iban).when(kind == "phone", phone)
             .when(kind.startswith("name"), _name(kind, stream, F.lit(attempt))).otherwise(digits))
     return rows.select("kind", "text", made.alias("s"))
 
@@ -210,7 +224,8 @@ def _render(kind: Column, raw: Column, s: Column) -> Column:
         taken = F.struct(F.concat(a["t"], F.substr(plain, a["k"], F.lit(1))).alias("t"), (a["k"] + 1).alias("k"))
         return F.when(c.rlike("[0-9A-Za-z]"), taken).otherwise(F.struct(F.concat(a["t"], c).alias("t"), a["k"].alias("k")))
 
-    spread = F.aggregate(F.transform(F.sequence(F.lit(1), F.length(raw)), lambda j: F.substr(raw, j, F.lit(1))), start, put)["t"]
+    spread = F.aggregate(F.transform(F.sequence(F.lit(1), F.length(raw)), lambda j: F.substr(raw, j, F.lit(1))), start, put)
+    spread = F.concat(spread["t"], F.substr(plain, spread["k"], F.length(plain)))  # surrogates of late attempts are longer
     name = F.when((raw == F.upper(raw)) & (F.length(raw) > 1), F.upper(s)).otherwise(s)
     return F.when(kind.isin("card", "ssn", "iban", "phone"), spread).when(kind.startswith("name"), name).otherwise(s)
 

@@ -48,6 +48,25 @@ def test_collisions_are_settled(spark):
     assert all(re.fullmatch(r"192\.168\.\d+\.\d+", t) for t in new)
 
 
+def test_full_pools_end(spark):
+    """More forms than half of their pool: later attempts leave it."""
+    phones = [f"+12{i:03}" for i in range(700)]
+    blocks = [f"192.168.{i // 254 + 1}.{i % 254 + 1}" for i in range(40_000)]
+    mails = [f"{c}@x.org" for c in "abcdefghijklmnopqrstuvwxyz"]
+    cards = ["4111111111111111", "378282246310005"]
+    rows = [("phone", t) for t in phones] + [("ip", t) for t in blocks] + [("email", t) for t in mails] + [("card", t) for t in cards] + [("secret", "-" * 16)]
+    got = {(r.kind, r.text): r.s for r in surrogates.assign(spark.createDataFrame(rows, "kind string, text string"), "k").collect()}
+    assert got.keys() == set(rows)
+    assert len({(k, s) for (k, _), s in got.items()}) == len(rows) and not {(k, s) for (k, _), s in got.items()} & set(rows)
+    assert all(re.fullmatch(r"\+12\d{3,}", got["phone", t]) for t in phones) and any(len(got["phone", t]) > 6 for t in phones)
+    assert all(re.fullmatch(r"192\.168\.\d+\.\d+|10\.\d+\.\d+\.\d+", got["ip", t]) for t in blocks)
+    one = spark.createDataFrame([("phone", "+12 34 5", "+1267890")], "kind string, raw string, s string")
+    assert one.select(surrogates._render(*map(one.__getitem__, ("kind", "raw", "s")))).first()[0] == "+12 67 890"
+    late = surrogates.candidates(spark.createDataFrame([("ip", "10.0.0.1"), ("card", cards[0])], "kind string, text string"), "k", 30).collect()
+    assert re.fullmatch(r"fd[0-9a-f]{2}(:[0-9a-f]{4}){7}", late[0].s) and len(late[1].s) == 16 + 31 - surrogates.STAY
+    assert spark.range(1).select(*[surrogates.luhn(surrogates.F.lit(c)) for c in (late[1].s, cards[0])]).first() == (0, 0)
+
+
 def test_repeated_rows_and_nulls(spark):
     docs = spark.createDataFrame([(None, TEXTS[0]), (None, TEXTS[0]), (1, TEXTS[0]), (1, TEXTS[1]), (2, "x" * 200_000 + " a@b.co")], "doc_id long, text string").repartition(3)
     rows = surrogates.replace(docs).collect()
