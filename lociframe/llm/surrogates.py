@@ -19,8 +19,9 @@ which every text with an entity passes.
 
 Defined results: null and empty texts and texts without entities stay as they are; rows with equal
 id and text are replaced alike; null ids are ids; an input column named like a result column is
-replaced; empty tables give empty results. A name is replaced after each form of address; a bare
-mention elsewhere is not taken for a name.
+replaced; empty tables give empty results. A name is all parts that follow a form of address:
+names, initials and, kept as they are, particles. The names found so are replaced wherever they
+stand in the same text as a whole word with a capital; bare mentions in other texts stay.
 """
 
 from __future__ import annotations
@@ -38,20 +39,28 @@ MALE = "Mr|Mister|Sir|Herr|Monsieur|Señor|Sr|Signor|г-н|господин"
 FEMALE = "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mlle|Señora|Sra|Señorita|Signora|г-жа|госпожа"
 NEUTRAL = "Dr|Prof"
 _TITLE = f"(?:{MALE}|{FEMALE}|{NEUTRAL})"
-_NAME = r"\p{Lu}[\p{L}'’-]{1,24}"
+_GAP = r"[ \u00a0]{1,2}"
+_WORD = r"(?:\p{Ll}{1,3}['’-])?\p{Lu}(?:[\p{L}\p{M}]|['’-](?!s\b)(?=\p{L}))*+"  # without the 's of a genitive
+_PARTICLES = f"(?:(?:von|vom|van|zu|zur|der|den|de|del|della|la|le|da|das|dos|du|di|ter|ten|bin|ibn|al|el|af|av|фон|де){_GAP})*"
+_PART = rf"(?!{_TITLE}\b)(?:\p{{Lu}}\.|{_WORD})"
+#: all parts of a name: initials, names and the particles between them
+_RUN = rf"{_PARTICLES}{_PART}(?:(?:{_GAP}|(?<=\.)-?){_PARTICLES}{_PART})*+"
+_BOUND = r"[\p{L}\p{M}\p{N}]"
 #: kind, pattern; the first that fits at a place counts
 PATTERNS = (
-    ("email", r"(?<![\p{L}\p{N}_.+-])[\p{L}\p{N}_.+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,5}[A-Za-z]{2,24}(?![\w-])"),
+    ("email", r"(?<![\p{L}\p{N}_.+-])[\p{L}\p{N}_.+-]++@(?:[\p{L}\p{M}\p{N}-]{1,63}\.){1,126}(?:xn--[A-Za-z0-9-]{1,59}|\p{L}[\p{L}\p{M}]{1,62})(?![\p{L}\p{N}_-])"),
     # the cheap look ahead comes before the long look behind
     ("secret", r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z0-9_+/-]{16})(?i:(?<=(?:token|secret|passwd|password|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?))[A-Za-z0-9_+/-]{16,}"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("card", r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
-    ("phone", r"(?<![\w+])\+\d{1,3} ?\(\d{1,4}\) ?\d{3}[ .-]?\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?<sep>[ .-]?)\d{2,4}(?:\k<sep>\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)"),
-    ("name", rf"(?=\p{{Lu}})(?:(?<=\b{_TITLE}\.? )|(?<=\b{_TITLE}\.? {_NAME} )){_NAME}"),
+    ("phone", r"(?<![\w+])\+\d{1,3} ?\(\d{1,4}\) ?\d{3}[ .-]?\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?<sep>[ .-]?)\d{2,4}(?:\k<sep>\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)"
+     r"|(?<![\w.+(/-])\d{3}(?<gap>[ .-])\d{3}\k<gap>\d{4}(?![\w-])|(?<![\w.+(/-])(?=0\d(?:[ /-]?\d){7,10}(?![\w/-]))0\d{1,4}[ /-]\d{3,9}(?:[ -]\d{2,5})*(?![\w/-])"),
+    ("name", rf"(?<=[ \u00a0])(?=\p{{L}})(?<=\b{_TITLE}\.?{_GAP}){_RUN}"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
+NAMED = PATTERNS[-1][1]
 # syllables for surrogate names: script, first parts, inner parts, endings by gender
 SYLLABLES = {
     "latin": ("Al Be Co Da El Fi Ga Ha Jo Ka Le Mi No Pe Ri So".split(), "bar den fel gor lan mer nis pol ran sel tor ven wik zan dim kor".split(), ("o", "a", "e")),
@@ -60,9 +69,11 @@ SYLLABLES = {
 }
 
 
+#: every text with a name after a title has this
+TITLES = rf"(?=[DFHMPSг])(?:{MALE}|{FEMALE}|{NEUTRAL})\.?[ \u00a0]{{1,2}}\p{{L}}"
 #: every text with an entity has one of these: a sign, digits, an account number, a title, a telling name
 TRACES = "|".join((
-    "@", r"[0-9][0-9 .()-]{6}", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", rf"(?=[DFHMPSг])(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}",
+    "@", r"[0-9][0-9 .()/-]{6}", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", TITLES,
     r"[tTsSpPaA](?i:oken|ecret|asswd|assword|pi[_-]?key)[\"']?\s{0,3}[=:]",
 ))
 
@@ -72,7 +83,7 @@ def _kind(entity: Column) -> Column:
     digits = F.length(F.regexp_replace(entity, r"\D", ""))
     return (F.when(entity.contains("@"), "email").when(entity.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
             .when(entity.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(entity.rlike(r"^\d[\d -]*$") & (digits >= 13) & (digits <= 19), "card")
-            .when(entity.rlike(r"^[+(]\d"), "phone").when(entity.rlike(rf"^{_NAME}$") & ~entity.rlike(r"\d"), "name")
+            .when(entity.rlike(r"^[+(]\d|^\d{3}[ .-]\d{3}[ .-]\d{4}$|^0\d{1,4}[ /-]\d"), "phone")
             .when(entity.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]{8,}$"), "iban").otherwise("secret"))
 
 
@@ -80,32 +91,54 @@ def _script(text: Column) -> Column:
     return F.when(text.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(text.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def entities(raw: Column, before: Column) -> Column:
-    """Array of the entities of a text: raw, kind and, for names, role (given or family), gender and script.
+def entities(raw: Column, before: Column, names: Column) -> Column:
+    """The entities of a text by match, each an array of its parts: lead and tail (kept text around it), raw and kind.
 
-    raw: all matches; before: the text cut at them. Both have to be columns, not expressions, since
-    they are read several times.
+    Kinds of names tell role (given or family), gender and script; initials are a kind of their own.
+    raw: all matches; before: the text cut at them; names: (word, kind) known in this text. They have
+    to be columns, not expressions, since they are read several times.
     """
     n = F.size(raw)
-    found = F.arrays_zip(raw.alias("raw"), F.slice(before, 1, n).alias("before"), F.slice(before, 2, n).alias("after"), F.slice(F.concat(F.array(F.lit("")), before), 1, n).alias("earlier"))
+    found = F.arrays_zip(raw.alias("raw"), F.slice(before, 1, n).alias("before"))
+    more = rf"\.?{_GAP}(?:(?:{NEUTRAL})\.?{_GAP})*$"  # Herr Prof. Dr. X
+
+    def part(lead: Column, text: Column, tail: Column, kind: Column) -> Column:
+        return F.struct(lead.alias("lead"), text.alias("raw"), tail.alias("tail"), kind.alias("kind"))
 
     def one(x: Column) -> Column:
-        # a name right after a title, or one blank behind the name that follows it
-        second = x["before"] == " "
-        title = F.when(second, x["earlier"]).otherwise(x["before"])
-        gender = F.when(title.rlike(rf"\b(?:{MALE})\.? $"), 0).when(title.rlike(rf"\b(?:{FEMALE})\.? $"), 1).otherwise(2)
-        kind = _kind(x["raw"])
-        after_title = title.rlike(rf"\b{_TITLE}\.? $")
-        kind = F.when((kind == "secret") & after_title, "name").otherwise(F.when((kind == "name") & ~after_title, "secret").otherwise(kind))
-        given = ~second & (x["after"] == " ")
-        script = _script(x["raw"])
-        told = F.when(~given & (script == "latin"), 2).otherwise(gender)  # Latin family names have no gender
-        sort = F.when(kind == "name", F.concat_ws("/", F.lit("name"), F.when(given, "given").otherwise("family"), told.cast("string"), script)).otherwise(kind)
-        return F.struct(x["raw"].alias("raw"), sort.alias("kind"))
+        title = x["before"]
+        gender = F.when(title.rlike(rf"\b(?:{MALE}){more}"), 0).when(title.rlike(rf"\b(?:{FEMALE}){more}"), 1).otherwise(2)
+        words, gaps = F.regexp_extract_all(x["raw"], F.lit(_WORD), F.lit(0)), F.split(x["raw"], _WORD, -1)
+        last = F.size(words) - 1
+
+        def named(word: Column, i: Column) -> Column:
+            script = _script(word)
+            told = F.when((i == last) & (script == "latin"), 2).otherwise(gender)  # Latin family names have no gender
+            sort = F.concat_ws("/", F.lit("name"), F.when(i == last, "family").otherwise("given"), told.cast("string"), script)
+            return part(F.get(gaps, i), word, F.when(i == last, F.get(gaps, i + 1)).otherwise(""), F.when(F.length(word) == 1, "initial").otherwise(sort))
+
+        known = F.get(F.filter(names, lambda y: y["word"] == F.lower(x["raw"])), F.lit(0))["kind"]
+        alone = F.array(part(F.lit(""), x["raw"], F.lit(""), F.coalesce(known, _kind(x["raw"]))))
+        after_title = title.rlike(rf"\b{_TITLE}\.?{_GAP}$") & x["raw"].rlike(rf"^{_RUN}$") & ~x["raw"].rlike(r"[\d@]")
+        return F.when(after_title, F.transform(words, named)).otherwise(alone)
 
     return F.transform(found, one)
 
 
+def known_names(rows: DataFrame) -> DataFrame:
+    """k, names (word, kind) and pattern of every text (k, text) that has names after titles; the pattern finds them anywhere in it."""
+    cut = rows.where(F.col("text").rlike(TITLES)).select("k", F.regexp_extract_all("text", F.lit(NAMED), F.lit(0)).alias("raw"), F.split("text", NAMED, -1).alias("before"))
+    none = F.array().cast("array<struct<word:string,kind:string>>")
+    parts = cut.where(F.size("raw") > 0).withColumn("names", none).select("k", F.explode(F.flatten(entities(F.col("raw"), F.col("before"), F.col("names")))).alias("e"))
+    parts = parts.where("e.kind like 'name/%'").select("k", F.col("e.raw").alias("raw"), F.lower("e.raw").alias("word"), F.col("e.kind").alias("kind"))
+    # one kind for a word; spelled as found, in capitals, or with one
+    words = parts.groupBy("k", "word").agg(F.min("kind").alias("kind"), F.collect_set("raw").alias("raw"))
+    spelled = F.array_distinct(F.concat("raw", F.array(F.upper("word"), F.concat(F.upper(F.substring("word", 1, 1)), F.substr("word", F.lit(2))))))
+    out = words.groupBy("k").agg(F.collect_list(F.struct("word", "kind")).alias("names"), F.flatten(F.collect_list(spelled)).alias("spelled"))
+    pattern = F.concat(F.lit(f"{ANY}|(?<!{_BOUND})(?:"), F.array_join("spelled", "|"), F.lit(f")(?!{_BOUND})"))
+    return out.select(F.col("k").alias("k_of"), "names", pattern.alias("pattern"))
+
+
 def canonical(kind: Column, raw: Column) -> Column:
     """The form that all spellings of one entity share."""
     return (F.when(kind == "phone", F.regexp_replace(raw, r"[^+\d]", "")).when(kind.isin("card", "ssn"), F.regexp_replace(raw, r"\D", "")).when(kind == "iban", F.replace(raw, F.lit(" "), F.lit("")))
@@ -123,13 +156,34 @@ def _byte(stream: Column, j: Column) -> Column:
     return F.conv(F.substr(stream, 2 * j - 1, F.lit(2)), 16, 10).cast("int")
 
 
+LATIN, CYRILLIC, GREEK = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"
+
+
+def _cased(c: Column, letters: str, v: Column) -> Column:
+    """A letter of an alphabet in the case of c."""
+    found = F.substr(F.lit(letters), v % len(letters) + 1, F.lit(1))
+    return F.when(c.rlike(r"\p{Lu}"), F.upper(found)).otherwise(found)
+
+
+def _initial(raw: Column, key: str) -> Column:
+    """Another capital of the same script; initials stand for too many names to be distinct."""
+    v, out = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("initial"), raw), 256), 1, 4), 16, 10).cast("int"), None
+    for letters, script in ((CYRILLIC, "cyrillic"), (GREEK, "greek"), (LATIN, "latin")):
+        at = F.instr(F.lit(letters), F.lower(raw))
+        made = F.upper(F.substr(F.lit(letters), (at + v % (len(letters) - 1)) % len(letters) + 1, F.lit(1)))
+        out = F.when(_script(raw) == script, made) if out is None else out.when(_script(raw) == script, made)
+    return out
+
+
 def _alike(text: Column, stream: Column, hexed: Column) -> Column:
     """Characters replaced by others of their class; hexadecimal texts stay hexadecimal."""
     def one(j: Column) -> Column:
         c, v = F.substr(text, j, F.lit(1)), _byte(stream, j)
         return (F.when(hexed & c.rlike("[0-9a-f]"), F.substr(F.lit("0123456789abcdef"), v % 16 + 1, F.lit(1)))
                 .when(c.rlike("[0-9]"), F.substr(F.lit("0123456789"), v % 10 + 1, F.lit(1)))
-                .when(c.rlike("[a-z]"), F.char(v % 26 + 97)).when(c.rlike("[A-Z]"), F.char(v % 26 + 65)).otherwise(c))
+                .when(c.rlike("[a-z]"), F.char(v % 26 + 97)).when(c.rlike("[A-Z]"), F.char(v % 26 + 65)).when(c.rlike(r"[\x00-\x7f]"), c)
+                .when(c.rlike(r"\p{IsCyrillic}"), _cased(c, CYRILLIC, v)).when(c.rlike(r"\p{IsGreek}"), _cased(c, GREEK, v))
+                .when(c.rlike(r"\p{L}"), _cased(c, LATIN, v)).when(c.rlike(r"\p{N}"), (v % 10).cast("string")).otherwise(c))
 
     return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), one), "")
 
@@ -233,15 +287,24 @@ def _render(kind: Column, raw: Column, s: Column) -> Column:
 def replace(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text", count: str | None = None) -> DataFrame:
     """Every row with the entities of its text replaced; `count` names a column for their number."""
     kept = [c for c in docs.columns if c.lower() != (count or "").lower()]
-    k, outs, where, found = fresh(docs, "row_key", "row_out", "row_k", "row_found")
+    k, outs, where, found, pattern = fresh(docs, "row_key", "row_out", "row_k", "row_found", "row_pattern")
     mine = F.struct(F.col(id_col).alias("id"), F.md5(text_col).alias("t"))
     has = F.coalesce(F.col(text_col).rlike(TRACES), F.lit(False))
-    rows = docs.where(has).select(mine.alias("k"), F.regexp_extract_all(text_col, F.lit(ANY), F.lit(0)).alias("raw"), F.split(text_col, ANY, -1).alias("before"))
-    rows = rows.where(F.size("raw") > 0).select("k", F.posexplode(entities(F.col("raw"), F.col("before"))).alias("i", "e"))
-    seen = settle(rows.select("k", "i", F.col("e.raw").alias("raw"), F.col("e.kind").alias("kind")).distinct())
+    names = settle(known_names(docs.where(has).select(mine.alias("k"), F.col(text_col).alias("text"))))
+    rows = docs.where(has).select(mine.alias("k"), F.col(text_col).alias("text")).join(names, F.col("k").eqNullSafe(F.col("k_of")), "left")
+    rows = rows.withColumn("pattern", F.coalesce("pattern", F.lit(ANY)))
+    rows = rows.select("k", "names", F.regexp_extract_all("text", F.col("pattern"), F.lit(0)).alias("raw"), F.split("text", F.col("pattern"), -1).alias("before"))
+    rows = rows.where(F.size("raw") > 0).select("k", F.posexplode(entities(F.col("raw"), F.col("before"), F.col("names"))).alias("i", "parts"))
+    rows = rows.select("k", "i", F.posexplode("parts").alias("j", "e"))
+    seen = settle(rows.select("k", "i", "j", "e.lead", "e.raw", "e.tail", "e.kind").distinct())
     forms = seen.select("kind", "raw").distinct().withColumn("text", canonical(F.col("kind"), F.col("raw")))
-    made = forms.join(assign(forms, key), ["kind", "text"]).select("kind", "raw", _render(F.col("kind"), F.col("raw"), F.col("s")).alias("new"))
-    put = seen.join(made, ["kind", "raw"]).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "new"))).alias(outs)).withColumnRenamed("k", where)
+    initials = forms.where("kind = 'initial'").select("kind", "raw", _initial(F.col("raw"), key).alias("new"))
+    forms = forms.where("kind <> 'initial'")
+    made = forms.join(assign(forms, key), ["kind", "text"]).select("kind", "raw", _render(F.col("kind"), F.col("raw"), F.col("s")).alias("new")).unionByName(initials)
+    put = seen.join(made, ["kind", "raw"]).groupBy("k", "i").agg(F.array_sort(F.collect_list(F.struct("j", F.concat("lead", "new", "tail").alias("new")))).alias("new"))
+    put = put.select("k", "i", F.array_join("new.new", "").alias("new"), F.size("new").alias("n"))
+    put = put.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "new"))).alias(outs), F.sum("n").alias(found)).withColumnRenamed("k", where)
+    put = put.join(names.select("k_of", F.col("pattern").alias(pattern)), F.col(where).eqNullSafe(F.col("k_of")), "left").drop("k_of")
 
     (pieces,) = fresh(docs, "row_pieces")
     cut = F.col(pieces)
@@ -249,8 +312,8 @@ def replace(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: s
     text = F.when(F.col(outs).isNull(), F.col(text_col)).otherwise(joined)
     columns = [F.col(f"`{c}`") for c in kept]
     touched = docs.where(has).withColumn(k, mine).join(put, F.col(k).eqNullSafe(F.col(where)), "left")
-    touched = touched.withColumn(pieces, F.when(F.col(outs).isNotNull(), F.split(text_col, ANY, -1)))
-    touched = touched.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept], F.when(F.col(outs).isNull(), 0).otherwise(F.size(outs)).alias(found))
+    touched = touched.withColumn(pieces, F.when(F.col(outs).isNotNull(), F.split(text_col, F.coalesce(pattern, F.lit(ANY)), -1)))
+    touched = touched.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept], F.coalesce(found, F.lit(0)).alias(found))
     out = docs.where(~has).select(*columns, F.lit(0).alias(found)).unionByName(touched)
     return out.select(*columns, *([F.col(found).cast("long").alias(count)] if count else []))
 

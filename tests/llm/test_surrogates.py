@@ -48,6 +48,26 @@ def test_collisions_are_settled(spark):
     assert all(re.fullmatch(r"192\.168\.\d+\.\d+", t) for t in new)
 
 
+def test_whole_names_and_mentions(spark):
+    texts = [
+        "Frau Anna Maria Schmidt kam. Later Schmidt's dog met SCHMIDT and Anna; schmidtlike Schmidts stay.",
+        "Mr John P. Smith and Dr. J. Smith, Herr Dr. Karl von der Heide. Then Heide left.",
+        "иван.петров@почта.рф, " + "q" * 70 + "@x.org; call 555-123-4567, 0171 2345678 or 0171/234567 99.",
+        "Schmidt alone stays. Order 12-345-6789 of 01/2019.",
+    ]
+    got = run(spark, texts)
+    t = got[0].text
+    m = re.fullmatch(r"Frau (\w+) (\w+) (\w+) kam\. Later (\w+)'s dog met (\w+) and (\w+); schmidtlike Schmidts stay\.", t)
+    assert m and m[4] == m[3] and m[5] == m[3].upper() and m[6] == m[1] and not {"Anna", "Maria", "Schmidt", "SCHMIDT"} & set(m.groups()), t
+    t = got[1].text
+    m = re.fullmatch(r"Mr (\w+) ([A-Z])\. (\w+) and Dr\. ([A-Z])\. (\w+), Herr Dr\. (\w+) von der (\w+)\. Then (\w+) left\.", t)
+    assert m and m[3] == m[5] and m[7] == m[8] and m[2] != "P" and m[4] != "J" and not {"John", "Smith", "Karl", "Heide"} & set(m.groups()), t
+    t = got[2].text
+    assert not any(x in t for x in ("иван", "петров", "почта", "q" * 20, "555-123-4567", "2345678", "234567")), t
+    assert re.match(r"[а-я]{4}\.[а-я]{6}@m", t)
+    assert got[3].text == texts[3]
+
+
 def test_full_pools_end(spark):
     """More forms than half of their pool: later attempts leave it."""
     phones = [f"+12{i:03}" for i in range(700)]
