@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lociframe.llm import bpe, edits, fingerprint, linedup, minhash, mixing, quality, surrogates, urlrules, warc
+from lociframe.llm import bpe, edits, fingerprint, linedup, minhash, mixing, quality, surrogates, urlrules, variants, warc
 
-MODULES = (urlrules, quality, bpe, surrogates, fingerprint, warc, mixing, edits, linedup, minhash)
+MODULES = (urlrules, quality, bpe, surrogates, fingerprint, warc, mixing, edits, linedup, minhash, variants)
 
 
 def queries() -> dict:
