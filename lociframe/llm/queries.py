@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lociframe.llm import bpe, edits, fingerprint, lexical, linedup, minhash, mixing, quality, surrogates, urlrules, variants, warc
+from lociframe.llm import bpe, edits, fingerprint, lexical, linedup, minhash, mixing, quality, surrogates, toxicity, urlrules, variants, warc
 
-MODULES = (urlrules, quality, bpe, surrogates, fingerprint, warc, mixing, edits, linedup, minhash, lexical, variants)
+MODULES = (urlrules, quality, bpe, surrogates, fingerprint, warc, mixing, edits, linedup, minhash, lexical, toxicity, variants)
 
 
 def queries() -> dict:
