@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -385,24 +385,42 @@ def log_gamma(x: Column) -> Column:
 def fisher_two_tailed(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Two-tailed exact p of a 2 x 2 table of any size.
 
-    Sums the tables with the same margins that are no more likely than the observed one: log
-    factorials give the first of them, ratios of neighbours the rest.
+    Sums the tables with the same margins that are no more likely than the observed one. The walk
+    goes from the most likely table outwards, by ratios of neighbours, so errors don't add up to
+    more than a rounding per step and the tolerance for equally likely tables is relative. It ends
+    60 standard deviations beyond the observed table and its mirror, where nothing is left to add.
     """
     n = a + b + c + d
     r1, r2, c1 = a + b, c + d, a + c
     lf = lambda x: log_gamma(x + 1)
-    fixed = lf(r1) + lf(r2) + lf(c1) + lf(n - c1) - lf(n)
-    logp = lambda k: fixed - lf(k) - lf(r1 - k) - lf(c1 - k) - lf(r2 - c1 + k)
+    logw = lambda k: -lf(k) - lf(r1 - k) - lf(c1 - k) - lf(r2 - c1 + k)
     low, high = F.greatest(F.lit(0), c1 - r2), F.least(r1, c1)
-    base = logp(a) + 1e-9
-
-    def step(acc: Column, k: Column) -> Column:
-        ratio = (r1 - k).cast("double") * (c1 - k) / ((k + 1).cast("double") * (r2 - c1 + k + 1))
-        following = F.when(k < high, acc["p"] + F.log(ratio)).otherwise(acc["p"])
-        return F.struct(following.alias("p"), (acc["s"] + F.when(acc["p"] <= acc["base"], F.exp(acc["p"])).otherwise(0.0)).alias("s"), acc["base"].alias("base"))
-
-    start = F.struct(logp(low).alias("p"), F.lit(0.0).alias("s"), base.alias("base"))
-    return F.aggregate(F.sequence(low, high), start, step)["s"]
+    mode = F.greatest(low, F.least(high, F.floor((r1 + 1).cast("double") * (c1 + 1) / (n + 2)).cast("bigint")))
+    spread = F.sqrt(r1.cast("double") * r2 / n * c1 / n * (n - c1) / F.greatest(n - 1, F.lit(1)))
+    reach = 2 * F.abs(a - mode) + F.ceil(60 * spread) + 60
+    # weights are relative to the most likely table
+    limit = F.when(a == mode, 1.0).otherwise(F.exp(logw(a) - logw(mode))) * (1 + 1e-7)
+
+    def walk(v: Column, to: Column, sign: int, ratio: Callable[[Column], Column]) -> Column:
+        def step(acc: Column, j: Column) -> Column:
+            w, k = acc["w"], acc["k"]
+            return F.struct(
+                (w * ratio(k)).alias("w"), (k + sign).alias("k"), (acc["all"] + w).alias("all"),
+                (acc["tail"] + F.when(w <= acc["limit"], w).otherwise(0.0)).alias("tail"), acc["limit"].alias("limit"))
+
+        zero = F.struct(F.lit(1.0).alias("w"), v["mode"].alias("k"), F.lit(0.0).alias("all"), F.lit(0.0).alias("tail"), v["limit"].alias("limit"))
+        return F.aggregate(F.sequence(F.lit(0).cast("bigint"), to), zero, step)
+
+    def both(v: Column) -> Column:
+        rising = walk(v, v["up"], 1, lambda k: (v["r1"] - k).cast("double") * (v["c1"] - k) / ((k + 1).cast("double") * (v["gap"] + k + 1)))
+        falling = walk(v, v["down"], -1, lambda k: k.cast("double") * (v["gap"] + k) / ((v["r1"] - k + 1).cast("double") * (v["c1"] - k + 1)))
+        twice = F.when(v["limit"] >= 1, 1.0).otherwise(0.0)  # both walks begin with the most likely table
+        return F.struct((rising["tail"] + falling["tail"] - twice).alias("tail"), (rising["all"] + falling["all"] - 1).alias("all"))
+
+    facts = {"r1": r1, "c1": c1, "gap": r2 - c1, "mode": mode, "up": F.least(high - mode, reach), "down": F.least(mode - low, reach), "limit": limit}
+    # through an array of one, so that the walks read these values instead of computing them at every step
+    parts = F.transform(F.array(F.struct(*[x.alias(k) for k, x in facts.items()])), both)
+    return F.when(n > 0, F.get(F.transform(parts, lambda x: x["tail"] / x["all"]), F.lit(0))).when(n == 0, 1.0)
 
 
 def log_expectation(a: Column, b: Column, c: Column, d: Column) -> tuple[Column, Column]:

@@ -93,6 +93,23 @@ def cpg_coords(seqs: DataFrame) -> DataFrame:
     return words(seqs.select("seq_id", F.upper("seq").alias("seq")), 2).filter(F.col("word") == "CG").select("seq_id", "pos")
 
 
+def literal_starts(pieces: DataFrame, word: str, size: int, seq: str = "seq", offset: str = "offset") -> DataFrame:
+    """Add `pos` (1-based in the sequence): starts of a literal word in the first `size` bases of each piece.
+
+    One pass over a piece: the word's places follow from the lengths between its occurrences, so it
+    must not overlap itself.
+    """
+    if any(word.startswith(word[-k:]) for k in range(1, len(word))):
+        raise ValueError(f"{word} overlaps itself")
+    n = len(word)
+    gaps = F.transform(F.split(F.upper(seq), word), lambda x: F.length(x))
+    step = lambda acc, gap: F.struct((acc["at"] + gap + n).alias("at"), F.concat(acc["out"], F.array(acc["at"] + gap + 1)).alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    found = F.aggregate(F.slice(gaps, 1, F.size(gaps) - 1), zero, step)["out"]
+    rows = pieces.withColumn("_at", F.explode(found)).filter(F.col("_at") <= size)
+    return rows.withColumn("pos", F.col(offset) + F.col("_at")).drop("_at")
+
+
 def matches(seq: Column, regex: str) -> Column:
     """array<struct<pos, text>> of the non-overlapping matches, left to right (1-based)."""
     parts = F.split(F.regexp_replace(seq, f"({regex})", "<$1>"), "<")

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lociframe.functions.sequence import quality
+from lociframe.operators.tiles import running
 
+FASTA_PIECE = 1 << 14
 PILEUP_SCHEMA = ("chrom string, pos int, ref string, depth int, bases string, quals string, "
                  "mapquals string, cycles string")
 
@@ -69,15 +71,16 @@ def first_at_start(df: DataFrame) -> DataFrame:
     return df.filter(F.col("paired")).unionByName(keep)
 
 
-def number_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with their 0-based number per file, also when a file is read in several splits.
+def number_lines(spark: SparkSession, path: str | list[str], keep: Column | None = None) -> DataFrame:
+    """Text lines (those that `keep` wants) with their 0-based number per file, also when a file is read in several splits.
 
     Lines of one split are consecutive in `monotonically_increasing_id`; the splits of a file
     (few rows) are put in order by their byte offset and give each other their line counts.
     """
-    raw = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("id"))
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    if keep is not None:
+        raw = raw.filter(keep)
+    raw = raw.withColumn("id", F.monotonically_increasing_id())
     blocks = raw.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("skip", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
@@ -85,6 +88,15 @@ def number_lines(spark: SparkSession, path: str) -> DataFrame:
     return out.select("file", (F.col("id") - F.col("first") + F.col("skip")).alias("line"), "value")
 
 
+def carry_header(lines: DataFrame, header: Column, name: str = "header") -> DataFrame:
+    """Add to every line the last header at or above it in its file; `header` is a struct that begins with the line, or null.
+
+    Headers travel from tile to tile of the line numbers as one carry row, so a file with a single
+    header is worked on by as many tasks as it has tiles.
+    """
+    return running(lines.withColumn("_header", header), ["file"], "line", maxes={name: F.col("_header")}).drop("_header")
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """Four-line FASTQ records."""
     lines = number_lines(spark, path)
@@ -101,3 +113,39 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     head = F.regexp_extract("value", r"^([^\n]*)", 1)
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*", ""), r"\s+", "")
     return raw.select(F.regexp_extract(head, r"^(\S+)", 1).alias("seq_name"), body.alias("seq"))
+
+
+def read_fasta_pieces(spark: SparkSession, path: str | list[str], halo: int = 0, size: int = FASTA_PIECE) -> DataFrame:
+    """Sequences in pieces: file, record (line of the header), seq_name, offset (0-based) and seq.
+
+    A piece has `size` bases of its own and `halo` more of the next ones, so words of halo + 1 bases
+    that start in it are whole. The offset of a line is a running sum of lengths, so neither a
+    sequence nor a file becomes a row.
+    """
+    is_head = F.startswith(F.col("value"), F.lit(">"))
+    lines = number_lines(spark, path, F.trim("value") != "")
+    lines = lines.withColumn("bases", F.when(is_head, "").otherwise(F.regexp_replace("value", r"\s", "")))
+    lines = running(lines, ["file"], "line", sums={"upto": F.length("bases").cast("bigint")})
+    lines = carry_header(lines, F.when(is_head, F.struct("line", "upto", F.regexp_extract("value", r"^>\s*(\S*)", 1).alias("name"))))
+    n = F.length("bases")
+    rows = lines.filter(F.col("header").isNotNull() & (n > 0)).select(
+        "file", F.col("header.line").alias("record"), F.col("header.name").alias("seq_name"), (F.col("upto") - n - F.col("header.upto")).alias("at"), n.alias("n"), "bases")
+    first, last = F.floor(F.greatest(F.col("at") - halo, F.lit(0)) / size), F.floor((F.col("at") + F.col("n") - 1) / size)
+    rows = rows.withColumn("offset", F.explode(F.transform(F.sequence(first.cast("bigint"), last.cast("bigint")), lambda k: k * size)))
+    begin, end = F.greatest("at", "offset"), F.least(F.col("at") + F.col("n"), F.col("offset") + size + halo)
+    part = F.struct(begin.alias("p"), F.substring("bases", (begin - F.col("at") + 1).cast("int"), (end - begin).cast("int")).alias("b"))
+    parts = rows.filter(end > begin).groupBy("file", "record", "seq_name", "offset").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    return parts.select("file", "record", "seq_name", "offset", F.array_join(F.transform("parts", lambda x: x["b"]), "").alias("seq"))
+
+
+def fasta_lines(seqs: DataFrame, name: Column, seq: Column, width: int = 60) -> DataFrame:
+    """Columns record, ord and value: a header and lines of `width` bases for each sequence (write with `write_records`)."""
+    rows = seqs.select(name.cast("string").alias("record"), seq.alias("seq"))
+    starts = F.when(F.length("seq") > 0, F.sequence(F.lit(1), F.length("seq"), F.lit(width))).otherwise(F.array().cast("array<int>"))
+    lines = F.concat(F.array(F.concat(F.lit(">"), "record")), F.transform(starts, lambda i: F.substring("seq", i, F.lit(width))))
+    return rows.select("record", F.posexplode(lines).alias("ord", "value"))
+
+
+def write_records(lines: DataFrame, path: str, keys: list[str], order: list[str]) -> None:
+    """`value` lines in order; the lines of one key stay together in one file."""
+    lines.repartitionByRange(*keys).sortWithinPartitions(*keys, *order).select("value").write.text(path)

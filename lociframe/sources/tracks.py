@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lociframe.functions import intervals as I
 from lociframe.functions import methylation as M
+from lociframe.operators.tiles import tile_of, tile_window
+from lociframe.sources.reads import carry_header, number_lines, write_records
 
 
 def display_chrom(chrom: Column) -> Column:
@@ -92,25 +94,52 @@ def bedgraph_lines(df: DataFrame, start: str, end: str, value: Column) -> DataFr
         "\t", "chrom", (F.col(start) - 1).cast("string"), F.col(end).cast("string"), value.cast("string")).alias("value"))
 
 
-def read_wig(spark: SparkSession, path: str) -> DataFrame:
+WIG_DATA = r"^\s*-?[0-9.]"
+
+
+def read_wig(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """fixedStep / variableStep text to (chrom, pos, value, span).
 
-    Values belong to the last header above them, so blocks are cut at headers first:
-    the text is read with the header word as record separator and each block is one row.
+    A value belongs to the last header above it, which is carried over tiles of the numbers that
+    headers and values have in their file (track, browser and comment lines are not counted); a fixed
+    step's position follows from the distance to its header. A large file is read in many splits
+    and none of its blocks becomes a row. Values above the first header of a file are left out.
+    """
+    word = F.regexp_extract("value", r"^\s*(fixedStep|variableStep)\s", 1)
+    lines = number_lines(spark, path, (word != "") | F.col("value").rlike(WIG_DATA))
+    field = lambda k, d: F.coalesce(F.nullif(F.regexp_extract("value", rf"\b{k}=(\S+)", 1), F.lit("")), F.lit(d))
+    head = F.struct("line", (word == "fixedStep").alias("fixed"), field("chrom", "").alias("chrom"), *[field(k, "1").cast("bigint").alias(k) for k in ("start", "step", "span")])
+    rows = carry_header(lines, F.when(word != "", head)).filter(F.col("header").isNotNull() & (word == ""))
+    parts = F.split(F.trim("value"), r"\s+")
+    h = lambda k: F.col(f"header.{k}")
+    return rows.select(
+        h("chrom").alias("chrom"), F.when(h("fixed"), h("start") + h("step") * (F.col("line") - h("line") - 1)).otherwise(parts[0].cast("bigint")).alias("pos"),
+        F.when(h("fixed"), parts[0]).otherwise(F.get(parts, F.lit(1))).cast("double").alias("value"), h("span").cast("int").alias("span"))
+
+
+def wig_lines(df: DataFrame, pos: str, value: Column, step: int | None = None, span: int = 1) -> DataFrame:
+    """WIG lines as columns chrom, tile, ord and value (write with `write_wig`).
+
+    variableStep, or fixedStep blocks of positions that are `step` apart. Headers repeat at the
+    start of each tile, so every file of a distributed write begins with one.
     """
-    fixed = spark.read.text(path, lineSep="fixedStep").select(F.col("value").alias("blk"))
-    # the first piece of a fixedStep record is that block itself; later pieces are variableStep blocks
-    blocks = fixed.select(F.posexplode(F.split("blk", "variableStep")).alias("i", "b"))
-    blocks = blocks.withColumn("head", F.regexp_extract("b", r"^([^\n]*)", 1)).filter(F.col("head").contains("chrom="))
-    field = lambda k, d: F.coalesce(F.nullif(F.regexp_extract("head", rf"{k}=(\S+)", 1), F.lit("")), F.lit(d))
-    lines = blocks.select(
-        (F.col("i") == 0).alias("fixed"), field("chrom", "").alias("chrom"), field("start", "1").cast("int").alias("s"),
-        field("step", "1").cast("int").alias("step"), field("span", "1").cast("int").alias("span"),
-        F.posexplode(F.filter(F.split("b", "\n"), lambda x: x.rlike(r"^\s*-?[0-9.]"))).alias("n", "line"))
-    parts = F.split(F.trim("line"), r"\s+")
-    return lines.select(
-        "chrom", F.when(F.col("fixed"), F.col("s") + F.col("step") * F.col("n")).otherwise(parts[0].cast("int")).alias("pos"),
-        F.when(F.col("fixed"), parts[0]).otherwise(F.get(parts, F.lit(1))).cast("double").alias("value"), "span")
+    tiled = df.select("chrom", F.col(pos).cast("bigint").alias("pos"), value.cast("string").alias("v"), tile_of(pos).alias("_tile"))
+    ahead = F.lag("pos").over(tile_window(["chrom"], "pos"))
+    if step:
+        fresh = ahead.isNull() | (F.col("pos") - ahead != step)
+        head = F.concat(F.lit("fixedStep chrom="), "chrom", F.lit(" start="), F.col("pos").cast("string"), F.lit(f" step={step} span={span}"))
+        line = F.col("v")
+    else:
+        fresh, head = ahead.isNull(), F.concat(F.lit("variableStep chrom="), "chrom", F.lit(f" span={span}"))
+        line = F.concat_ws("\t", F.col("pos").cast("string"), "v")
+    each = lambda k, text: F.struct((F.col("pos") * 2 + k).alias("ord"), text.alias("value"))
+    lines = F.when(fresh, F.array(each(0, head), each(1, line))).otherwise(F.array(each(1, line)))
+    return tiled.withColumn("_lines", lines).select("chrom", F.col("_tile").alias("tile"), F.inline("_lines"))
+
+
+def write_wig(lines: DataFrame, path: str) -> None:
+    """Text files of whole tiles, each of which can be read on its own."""
+    write_records(lines, path, ["chrom", "tile"], ["ord"])
 
 
 def tag_align(df: DataFrame, min_mapq: int = 0) -> DataFrame:

@@ -1,8 +1,11 @@
 """Readers and writers on small files."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from lociframe.operators.sequences import literal_starts
 from lociframe.sources import converters as K
 from lociframe.sources import cytosines, reads, tracks
 
@@ -38,6 +41,60 @@ def test_wig(spark, tmp_path):
     assert got == [("chr1", 5, 2.5, 1), ("chr1", 9, 3.0, 1), ("chr2", 10, 1.0, 1), ("chr2", 15, 2.0, 1), ("chr3", 7, 8.0, 4)]
 
 
+@pytest.fixture
+def small_splits(spark):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_wig_of_many_splits(spark, tmp_path, small_splits):
+    """One header over thousands of values, then many short blocks; comments don't count as steps."""
+    rng = random.Random(1)
+    text, want = ["track type=wiggle_0", "# note", "7", "fixedStep chrom=chr1 start=101 step=3 span=2"], []
+    for k in range(40_000):
+        if k % 997 == 0:
+            text.append("# a comment")
+        text.append(f"{k % 50 / 2}")
+        want.append(("chr1", 101 + 3 * k, k % 50 / 2, 2))
+    for b in range(900):
+        start, fixed = rng.randrange(1, 10**6), b % 2
+        text.append(f"fixedStep chrom=c{b} start={start} step=10" if fixed else f"variableStep chrom=c{b} span=5")
+        for k in range(rng.randrange(4)):
+            text.append(str(k) if fixed else f"{start + k} {k}")
+            want.append((f"c{b}", start + (10 * k if fixed else k), float(k), 1 if fixed else 5))
+    path = put(tmp_path, "big.wig", "\n".join(text) + "\n")
+    got = tracks.read_wig(spark, path)
+    assert spark.read.text(path).rdd.getNumPartitions() > 20
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("step", [None, 1, 4])
+def test_wig_round_trip(spark, tmp_path, step):
+    rng = random.Random(2)
+    rows = sorted({(f"chr{rng.randrange(3)}", p, rng.randrange(9) / 4) for p in rng.sample(range(1, 120_000, 4), 900)} | {("chr9", p, 0.5) for p in range(16_300, 16_500, 4)})
+    rows = list({(c, p): (c, p, x) for c, p, x in rows}.values())
+    lines = tracks.wig_lines(spark.createDataFrame(rows, "chrom string, p int, x double"), "p", F.col("x"), step)
+    tracks.write_wig(lines, str(tmp_path / "out"))
+    assert sorted(map(tuple, tracks.read_wig(spark, str(tmp_path / "out")).collect())) == sorted((*r, 1) for r in rows)
+
+
+def test_fasta_in_pieces(spark, tmp_path, small_splits):
+    rng = random.Random(3)
+    seqs = {f"s{i}": "".join(rng.choices("ACGTcg", k=n)) for i, n in enumerate([0, 1, 2, 99, 100, 101, 5000, 60_000])}
+    text = "".join(f">{name} note\n" + "".join(s[i : i + w] + "\n" for i in range(0, len(s), w)) + "\n" * (w % 2) for (name, s), w in zip(seqs.items(), [60, 60, 1, 7, 50, 33, 61, 60]))
+    path = put(tmp_path, "a.fa", "stray\n" + text)
+    for size, halo in ((100, 0), (100, 1), (100, 250), (1 << 14, 3)):
+        got = {(r.seq_name, r.offset): r.seq for r in reads.read_fasta_pieces(spark, path, halo, size).collect()}
+        assert got == {(n, k): s[k : k + size + halo] for n, s in seqs.items() for k in range(0, len(s), size)}
+    found = literal_starts(reads.read_fasta_pieces(spark, path, 1, 100), "CG", 100)
+    want = {(n, i + 1) for n, s in seqs.items() for i in range(len(s)) if s[i : i + 2].upper() == "CG"}
+    assert sorted((r.seq_name, r.pos) for r in found.collect()) == sorted(want)
+    with pytest.raises(ValueError):
+        literal_starts(found, "CGC", 100)
+
+
 def test_bed_and_gff(spark, tmp_path):
     path = put(tmp_path, "a.bed", "track name=x\nchr1\t9\t20\tf1\t3\t+\nchr2\t0\t5\tf2\t1\t-\n")
     bed = tracks.read_bed(spark, path)

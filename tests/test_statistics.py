@@ -1,6 +1,7 @@
 """Fixed values and brute force for what SQL cannot say."""
 
 import math
+from decimal import Decimal, localcontext
 
 import numpy as np
 import pytest
@@ -13,16 +14,51 @@ from lociframe.operators import sets as U
 from lociframe.operators import walks as W
 
 
-def test_fisher_and_chi_square(spark):
-    rows = [(3, 1, 1, 3), (10, 2, 3, 15), (8, 2, 1, 5), (60, 30, 20, 10)]
+def plain_fisher(a, b, c, d):
+    """Exact, by ratios of neighbours in fractions of the observed table's weight."""
+    r1, r2, c1 = a + b, c + d, a + c
+    low, high = max(0, c1 - r2), min(r1, c1)
+    with localcontext() as how:
+        how.prec = 40
+        w, total, tail = Decimal(1), Decimal(0), Decimal(0)
+        least = w + Decimal("1e-25")
+        for k in range(a, high + 1):  # from the observed table to the upper end
+            total, tail = total + w, tail + (w if w <= least else 0)
+            w = w * (r1 - k) * (c1 - k) / ((k + 1) * (r2 - c1 + k + 1))
+            if w < Decimal("1e-35") * total:
+                break
+        w = Decimal(1)
+        for k in range(a, low, -1):
+            w = w * k * (r2 - c1 + k) / ((r1 - k + 1) * (c1 - k + 1))
+            total, tail = total + w, tail + (w if w <= least else 0)
+            if w < Decimal("1e-35") * total:
+                break
+        return float(tail / total)
+
+
+def test_fisher(spark):
+    rows = [(3, 1, 1, 3), (10, 2, 3, 15), (8, 2, 1, 5), (60, 30, 20, 10), (0, 0, 0, 0), (0, 5, 0, 7), (5, 0, 7, 0), (0, 9, 9, 0), (1, 0, 0, 0), (200, 1, 3, 4000),
+            (30, 70, 45, 55), (1000, 1100, 900, 1000), (2, 100_000, 15, 99_000), (50_500, 49_500, 49_500, 50_500), (500_500, 499_500, 499_500, 500_500)]
     d = spark.createDataFrame(rows, "a bigint, b bigint, c bigint, d bigint")
-    cells = [F.col(x) for x in "abcd"]
-    out = d.select(A.fisher_two_tailed(*cells).alias("p"), A.chi_square_p(A.chi_square_stat(*cells)).alias("q")).collect()
-    assert out[0].p == pytest.approx(0.4857142857, abs=1e-9)
-    assert out[1].p == pytest.approx(0.0005367241, abs=1e-6)
-    assert out[2].p == pytest.approx(0.0349650350, abs=1e-9)
-    assert out[3].p is None  # above the table size
-    assert out[0].q == pytest.approx(math.erfc(math.sqrt(2.0 / 2)), abs=1e-12)
+    got = {tuple(r)[:4]: r.p for r in d.select("*", A.fisher_two_tailed(*map(F.col, "abcd")).alias("p")).collect()}
+    for row in rows:
+        assert got[row] == pytest.approx(plain_fisher(*row), rel=1e-8), row
+    assert got[3, 1, 1, 3] == pytest.approx(0.4857142857, abs=1e-9)
+    assert got[8, 2, 1, 5] == pytest.approx(0.0349650350, abs=1e-9)
+    assert got[500_500, 499_500, 499_500, 500_500] == pytest.approx(0.157715, abs=1e-6)
+
+
+def test_chi_square(spark):
+    stats = [0.0, 1e-6, 0.5, 2.0, 3.841458820694124, 30.0, 700.0]
+    got = [r.q for r in spark.createDataFrame([(s,) for s in stats], "s double").select(A.chi_square_log10_p(F.col("s")).alias("q")).collect()]
+    assert got == pytest.approx([math.log10(math.erfc(math.sqrt(s / 2))) for s in stats], abs=1e-9)
+    far = spark.createDataFrame([(2000.0,), (None,)], "s double").select(A.chi_square_log10_p(F.col("s")).alias("q")).collect()
+    # the tail's asymptotic series; the number itself is below what a double holds
+    z = 2000.0
+    assert far[0].q == pytest.approx((-z / 2 + math.log(math.sqrt(2 / (math.pi * z)) * (1 - 1 / z + 3 / z**2))) / math.log(10), abs=1e-6)
+    assert far[1].q is None
+    stat = spark.createDataFrame([(3, 1, 1, 3)], "a bigint, b bigint, c bigint, d bigint").select(A.chi_square_stat(*map(F.col, "abcd")).alias("x")).first().x
+    assert stat == pytest.approx(2.0)
 
 
 def test_rank_tests():
