@@ -238,12 +238,19 @@ def shared_bases(features: DataFrame, feat_types: Sequence[str]) -> DataFrame:
 def cytosine_venn(cytosines: DataFrame, features: DataFrame, feat_types: Sequence[str]) -> DataFrame:
     """Cytosines per sample and exact combination of types that hold them (0 = none).
 
-    The sweep segments are disjoint, so each cytosine finds at most one.
+    Boundaries of features and cytosines run through one sweep, so every cytosine reads the types
+    that are open at its place; nothing is joined but one carry row per tile.
     """
-    seg = type_segments(features, feat_types)
-    rows = points_in_intervals(cytosines, seg, ["chrom"], "chrom_pos", "seg_start", "seg_end", "left")
-    return rows.groupBy("sample", F.coalesce("mask", F.lit(0)).alias("mask")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(M.ct_reads()).alias("ct_reads"))
+    each = range(len(feat_types))
+    delta = F.explode(F.array(F.struct(F.col("start_pos").cast("bigint").alias("p"), F.lit(1).alias("d")),
+                              F.struct((F.col("end_pos").cast("bigint") + 1).alias("p"), F.lit(-1).alias("d"))))
+    marks = features.filter(F.col("feat_type").isin(list(feat_types))).select("chrom", "feat_type", delta.alias("m"))
+    marks = marks.groupBy("chrom", F.col("m.p").alias("p")).agg(*[F.sum(F.when(F.col("feat_type") == t, F.col("m.d")).otherwise(0)).alias(f"_d{i}") for i, t in enumerate(feat_types)])
+    spots = cytosines.groupBy("chrom", F.col("chrom_pos").cast("bigint").alias("p"), "sample").agg(F.count(F.lit(1)).alias("n"), F.sum(M.ct_reads()).alias("ct_reads"))
+    rows = marks.unionByName(spots, allowMissingColumns=True)
+    run = running(rows, ["chrom"], "p", sums={f"_n{i}": F.col(f"_d{i}") for i in each}, peers=True)
+    mask = sum(F.when(F.col(f"_n{i}") > 0, 1 << i).otherwise(0) for i in each)
+    return run.filter(F.col("n").isNotNull()).groupBy("sample", mask.alias("mask")).agg(F.sum("n").alias("n"), F.sum("ct_reads").alias("ct_reads"))
 
 
 def overlap_type_counts(features: DataFrame, masters: Sequence[str], others: Sequence[str]) -> DataFrame:

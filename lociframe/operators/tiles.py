@@ -105,10 +105,12 @@ def running(
     width: int = TILE,
     sums: dict[str, Column] | None = None,
     maxes: dict[str, Column] | None = None,
+    peers: bool = False,
 ) -> DataFrame:
     """Running sums / maxima along `pos` inside `keys`, exact across tiles.
 
-    `inclusive=False` leaves the current row out (what has been seen before it).
+    `inclusive=False` leaves the current row out (what has been seen before it); `peers=True` takes
+    in all rows of the current position, so positions may repeat.
     """
     sums, maxes = sums or {}, maxes or {}
     order = list(order or [pos])
@@ -117,7 +119,8 @@ def running(
     totals = tiled.groupBy(*keys, "_tile").agg(*[fn(c).alias(f"_t_{n}") for n, c, fn in work])
     before = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*keys, "_tile", *[fn(f"_t_{n}").over(before).alias(f"_c_{n}") for n, _, fn in work])
-    local = tile_window(keys, *order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    local = tile_window(keys, *order)
+    local = local.rangeBetween(Window.unboundedPreceding, 0) if peers else local.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     out = tiled.join(carry, [*keys, "_tile"])
     for name, col, fn in work:
         here, ahead = fn(col).over(local), F.col(f"_c_{name}")
