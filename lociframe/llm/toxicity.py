@@ -149,7 +149,7 @@ def toxic_dictionary(pieces: list[tuple[str, int]], size: int = TOXIC_BYTES) ->
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: str, sample_rows: int) -> DataFrame:
     """key, text, label and half of the labelled texts that are learned from: `sample_rows` at most."""
     one = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("label"))
-    picked = one.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    picked = F.broadcast(one.orderBy(F.xxhash64("id"), "id").limit(sample_rows))  # bounded by sample_rows
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).join(picked, F.col("doc") == F.col("id"))
     once = rows.groupBy(F.sha2("text", 256).alias("key")).agg(F.first("text").alias("text"), F.max("label").alias("label"))
     return once.where("text is not null").withColumn("half", F.pmod(F.crc32("key"), F.lit(2)).cast("int"))
