@@ -17,7 +17,8 @@ begins; a longer word is cut by length. All windows of all texts are compressed.
 
 Bounded by parameters: the labelled rows that are learned from (`sample_rows`, chosen by a hash of
 their id), the pieces (`most_pieces`, the clearest) and
-the windows of ordinary rows (`train_windows`, by a hash) that reach the driver. Exact copies of a
+the windows of ordinary rows (about
+`train_windows`, by a hash) that reach the driver. Exact copies of a
 text count once.
 
 Defined results: null and empty texts and texts of white space have no windows and get the score of
@@ -187,8 +188,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             found = [whole[a : a + n] for a, n in zip(starts.tolist(), sizes.tolist())]
             yield pa.RecordBatch.from_arrays([b.column("half").take(pa.array(row)), pa.array(found, pa.binary())], ["half", "window"])
 
-    samples = rows.where("label = 0").select("half", "text").mapInArrow(cut, "half int, window binary").distinct()
-    samples = samples.orderBy(F.xxhash64("window"), "window", "half").limit(train_windows).collect()
+    found = settle(rows.where("label = 0").select("half", "text").mapInArrow(cut, "half int, window binary").distinct())
+    # a share of them by a hash, instead of an ordered limit, to which every task would send as many
+    share = min(train_windows / max(found.count(), 1), 1.0)
+    samples = found.where(F.pmod(F.xxhash64("window"), F.lit(1 << 20)) < round(share * (1 << 20))).collect()
+    samples.sort(key=lambda r: (bytes(r.window), r.half))
 
     def pair(halves: tuple[int, ...], z: str) -> Pair:
         chosen = [(r.piece, sum(r[f"c{h}1"] for h in halves)) for r in pieces if r[z] is not None and r[z] >= LEAST_Z]
