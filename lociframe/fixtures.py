@@ -136,6 +136,7 @@ def oracle(names: str | list[str], body: str) -> str:
     text = body.strip()
     if not ctes:
         return text
+    head = "WITH RECURSIVE " if text[:15].upper() == "WITH RECURSIVE " else "WITH "
     if text[:5].upper() == "WITH ":
-        text = ",\n" + text[5:]
-    return "WITH " + ",\n".join(ctes) + "\n" + text
+        text = ",\n" + text[len(head) :]
+    return head + ",\n".join(ctes) + "\n" + text

@@ -97,6 +97,16 @@ def call_genotypes(likelihoods: DataFrame, het: float = HETEROZYGOSITY, ti_tv: f
                           "log10_posterior": -F.log10(total)}).drop("_b", "_s", *[f"_p{g}" for g in GENOTYPES])
 
 
+def call_with_known(likelihoods: DataFrame, sites: DataFrame, het: float = HETEROZYGOSITY, ti_tv: float = TI_TV) -> DataFrame:
+    """Calls in which known variant sites (chrom, pos; repeats count once) have the prior of known variants; adds `known`.
+
+    The site list is a table of any size: it is joined by position, and Spark broadcasts it only if its size allows.
+    """
+    marks = sites.select("chrom", "pos").distinct().withColumn("_known", F.lit(True))
+    rows = likelihoods.join(marks, ["chrom", "pos"], "left").withColumn("known", F.coalesce("_known", F.lit(False))).drop("_known")
+    return call_genotypes(rows, het, ti_tv, known=F.col("known"))
+
+
 def confident(calls: DataFrame, min_ratio: float = 30.0, variants_only: bool = False) -> DataFrame:
     out = calls.filter(F.col("ratio") >= min_ratio)
     return out.filter(F.col("genotype") != F.concat("ref_base", "ref_base")) if variants_only else out

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -316,20 +316,82 @@ def cluster(features: DataFrame, max_dist: int, min_members: int = 1, min_score:
 
 
 def _cut_by_size(spans: DataFrame, keys: list[str], max_dist: int, max_size: int) -> DataFrame:
-    """Greedy cut inside each chain. The cut depends on the one before it, so a chain is walked in
-    order: distinct spans stream through sorted, the state is one pair of coordinates."""
-    schema = spans.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chain, begin, reach = None, 0, 0
-        for pdf in batches:
-            cut = []
-            for key, s, e in zip(pdf[keys].itertuples(index=False, name=None), pdf["start_pos"], pdf["end_pos"]):
-                if key != chain or e - begin > max_size or s - reach > max_dist:
-                    chain, begin, reach = key, s, e
-                reach = max(reach, e)
-                cut.append(begin)
-            yield pdf.assign(_cut=cut)
-
-    ordered = spans.repartition(*keys).sortWithinPartitions(*keys, "start_pos", "end_pos")
-    return ordered.mapInPandas(walk, schema + ", _cut int")
+    """Adds `_cut`, the first span of the cluster that a greedy walk of each chain puts a span into.
+
+    Where a cluster ends depends on its first span alone, so the walk is a path along links from
+    first span to first span. A task follows the links of a tile to the span by which the path
+    leaves it, for every span that it could enter by. Of the spans that are left, entries of a tile
+    that some path takes, a path of any length is found by doubling its steps; then tasks mark the
+    path inside their tiles. Neither a chain nor a chromosome is walked by one task. Chains that are
+    no longer than `max_size` stay whole.
+    """
+    span = F.struct("start_pos", "end_pos")
+    first = F.min(span)
+    sizes = spans.groupBy(*keys).agg(first.alias("_root"), F.max("end_pos").alias("_far"))
+    lab = settle(spans.join(sizes, keys))
+    whole = F.col("_far") - F.col("_root.start_pos") <= max_size
+    short = lab.filter(whole).withColumn("_cut", F.col("_root")).drop("_root", "_far")
+    long = lab.filter(~whole).drop("_far")
+
+    halo = row_halo(long.select(*keys, "start_pos", "end_pos", "_root"), keys, "start_pos", after=1, order=["start_pos", "end_pos"])
+    w = tile_window(keys, "start_pos", "end_pos")
+    rows = halo.withColumns({"_ns": F.lead("start_pos").over(w), "_ne": F.lead("end_pos").over(w)}).filter("_home").drop("_home", "_tile")
+    rows = position_halo(rows, "start_pos", 0, max_size + max_dist + 1)
+    kinds = ", ".join(f"{k} {spans.schema[k].dataType.simpleString()}" for k in keys)
+    width = max(TILE, max_size + max_dist + 2)
+
+    def links(group: pa.Table) -> pa.Table:
+        t = group.sort_by([(c, "ascending") for c in (*keys, "start_pos", "end_pos")])
+        chain = list(zip(*[t.column(k).to_pylist() for k in keys]))
+        s, e, ns, ne, home = (t.column(c).to_pylist() for c in ("start_pos", "end_pos", "_ns", "_ne", "_home"))
+        out: list[tuple | None] = [None] * len(s)  # next first span, span by which the path leaves the tile
+        for i in range(len(s) - 1, -1, -1):
+            if not home[i]:
+                continue
+            last, reach = i, e[i]
+            while last + 1 < len(s) and chain[last + 1] == chain[i] and e[last + 1] - s[i] <= max_size and s[last + 1] - reach <= max_dist:
+                last += 1
+                reach = max(reach, e[last])
+            at, follow = last + 1, (ns[last], ne[last])
+            inside = at < len(s) and home[at] and chain[at] == chain[i]
+            out[i] = (follow, out[at][1] if inside else follow)
+        kept = [i for i in range(len(s)) if home[i]]
+        whole = t.select([*keys, "start_pos", "end_pos", "_root"]).take(pa.array(kept, pa.int64()))
+        kind = t.schema.field("start_pos").type
+        for k, name in enumerate(("_ns", "_ne", "_xs", "_xe")):
+            whole = whole.append_column(name, pa.array([out[i][k // 2][k % 2] for i in kept], kind))
+        return whole
+
+    start_kind, end_kind = (spans.schema[c].dataType.simpleString() for c in ("start_pos", "end_pos"))
+    schema = f"{kinds}, start_pos {start_kind}, end_pos {end_kind}, _root struct<start_pos:{start_kind},end_pos:{end_kind}>, _ns {start_kind}, _ne {start_kind}, _xs {start_kind}, _xe {start_kind}"
+    linked = settle(rows.groupBy("chrom", "_tile").applyInArrow(links, schema))
+
+    # from tile to tile: the entries that the paths take
+    leaves = linked.filter(F.col("_xs").isNotNull())
+    seen = settle(leaves.filter(F.col("_root") == span).select(*keys, F.col("_xs").alias("s"), F.col("_xe").alias("e")))
+    targets = leaves.select(*keys, F.col("_xs").alias("start_pos"), F.col("_xe").alias("end_pos")).distinct()
+    hops = settle(leaves.join(targets, [*keys, "start_pos", "end_pos"], "left_semi").select(*keys, F.col("start_pos").alias("s"), F.col("end_pos").alias("e"), F.col("_xs").alias("s2"), F.col("_xe").alias("e2")))
+    while not hops.isEmpty():
+        seen = settle(seen.unionByName(seen.join(hops, [*keys, "s", "e"]).select(*keys, F.col("s2").alias("s"), F.col("e2").alias("e"))).distinct())
+        on = hops.select(*keys, F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("s2").alias("s3"), F.col("e2").alias("e3"))
+        hops = settle(hops.join(on, [*keys, "s2", "e2"]).select(*keys, "s", "e", F.col("s3").alias("s2"), F.col("e3").alias("e2")))
+
+    entries = seen.select(*keys, F.col("s").alias("start_pos"), F.col("e").alias("end_pos"), F.lit(True).alias("_entry"))
+    marked = linked.join(entries, [*keys, "start_pos", "end_pos"], "left").withColumn("_entry", F.coalesce("_entry", F.lit(False)) | (F.col("_root") == span))
+    marked = marked.select(*keys, "start_pos", "end_pos", "_ns", "_ne", "_entry", tile_of("start_pos", width).alias("_tile"))
+
+    def path(group: pa.Table) -> pa.Table:
+        chain = list(zip(*[group.column(k).to_pylist() for k in keys]))
+        s, e, ns, ne, entry = (group.column(c).to_pylist() for c in ("start_pos", "end_pos", "_ns", "_ne", "_entry"))
+        at = {(c, x, y): i for i, (c, x, y) in enumerate(zip(chain, s, e))}
+        on = [False] * len(s)
+        for i in range(len(s)):
+            k = i if entry[i] else None
+            while k is not None and not on[k]:
+                on[k] = True
+                k = at.get((chain[k], ns[k], ne[k]))
+        return group.select([*keys, "start_pos", "end_pos"]).append_column("_first", pa.array(on, pa.bool_()))
+
+    firsts = marked.groupBy("chrom", "_tile").applyInArrow(path, f"{kinds}, start_pos {start_kind}, end_pos {end_kind}, _first boolean")
+    cut = running(firsts, keys, "start_pos", order=["start_pos", "end_pos"], maxes={"_cut": F.when(F.col("_first"), span)}).drop("_first")
+    return short.unionByName(long.drop("_root").join(cut, [*keys, "start_pos", "end_pos"]))

@@ -6,7 +6,7 @@ import importlib
 
 from lociframe.plans.registry import QUESTIONS
 
-MODULES = ["scans", "columns", "joins", "aggregates", "readlevel", "walks", "aligned", "tracks", "calls", "streams", "files", "overlaps", "pairs"]
+MODULES = ["scans", "columns", "joins", "aggregates", "readlevel", "walks", "aligned", "tracks", "calls", "streams", "files", "overlaps", "pairs", "contexts"]
 
 
 def load() -> dict:

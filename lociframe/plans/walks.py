@@ -219,7 +219,13 @@ def clusters_scored(v):
     return W.cluster(typed(v, "5-LOW"), 5, min_score=300)
 
 
-@question("w_clusters_capped")
+# one step per span, in order
+@question("w_clusters_capped", "v_feature", """WITH RECURSIVE u AS MATERIALIZED (SELECT chrom, start_pos, end_pos, COUNT(*) AS n, SUM(score) AS score FROM v_feature GROUP BY ALL),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY start_pos, end_pos) AS rn FROM u),
+r AS (SELECT chrom, rn, start_pos AS b, end_pos AS reach, 1 AS cl FROM o WHERE rn = 1
+  UNION ALL SELECT o.chrom, o.rn, CASE WHEN o.end_pos - b > 120 OR o.start_pos - reach > 5 THEN o.start_pos ELSE b END, CASE WHEN o.end_pos - b > 120 OR o.start_pos - reach > 5 THEN o.end_pos ELSE greatest(reach, o.end_pos) END,
+    cl + CASE WHEN o.end_pos - b > 120 OR o.start_pos - reach > 5 THEN 1 ELSE 0 END FROM r JOIN o ON o.chrom = r.chrom AND o.rn = r.rn + 1)
+SELECT o.chrom, min(o.start_pos) AS start_pos, max(o.end_pos) AS end_pos, CAST(SUM(n) AS BIGINT) AS n, CAST(SUM(score) AS DOUBLE) AS score FROM o JOIN r ON r.chrom = o.chrom AND r.rn = o.rn GROUP BY o.chrom, cl""")
 def clusters_capped(v):
     return W.cluster(v.feature, 5, max_size=120)
 

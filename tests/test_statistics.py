@@ -1,6 +1,7 @@
 """Fixed values and brute force for what SQL cannot say."""
 
 import math
+from collections import Counter
 from decimal import Decimal, localcontext
 
 import numpy as np
@@ -76,21 +77,35 @@ def test_priors_sum_to_one():
         assert sum(G.prior_value(ref, g, 1e-3, 2.0) for g in known) < 1.01
 
 
-def test_capped_clusters(spark):
-    rng = np.random.default_rng(1)
-    rows = [(i, "chr1", int(s), int(s) + int(n)) for i, (s, n) in enumerate(zip(rng.integers(1, 3000, 400), rng.integers(1, 30, 400)))]
-    f = spark.createDataFrame(rows, "feat_id int, chrom string, start_pos int, end_pos int")
-    got = sorted((r.start_pos, r.end_pos, r.n) for r in W.cluster(f, 5, max_size=80).collect())
+def plain_clusters(rows, dist, size):
     want, cur = [], None
-    for _, _, s, e in sorted(rows, key=lambda r: (r[2], r[3])):
-        if cur and s - cur[1] <= 5 and e - cur[0] <= 80:
-            cur = [cur[0], max(cur[1], e), cur[2] + 1]
+    for (c, s, e), n in sorted(Counter((r[1], r[2], r[3]) for r in rows).items()):  # copies of a span stay together
+        if cur and c == cur[0] and s - cur[2] <= dist and e - cur[1] <= size:
+            cur = [c, cur[1], max(cur[2], e), cur[3] + n]
         else:
             if cur:
                 want.append(tuple(cur))
-            cur = [s, e, 1]
-    want.append(tuple(cur))
-    assert got == sorted(want)
+            cur = [c, s, e, n]
+    return sorted([*want, tuple(cur)] if cur else want)
+
+
+def capped(spark, rows, dist, size):
+    f = spark.createDataFrame(rows, "feat_id int, chrom string, start_pos int, end_pos int")
+    return sorted((r.chrom, r.start_pos, r.end_pos, r.n) for r in W.cluster(f, dist, max_size=size).collect())
+
+
+@pytest.mark.parametrize("seed, dist, size, span, length", [(1, 5, 80, 3000, 30), (2, 0, 1, 50, 4), (3, 40, 200, 400_000, 500), (4, 7, 40_000, 300_000, 9000), (5, 3, 60, 200, 90)])
+def test_capped_clusters(spark, seed, dist, size, span, length):
+    rng = np.random.default_rng(seed)
+    rows = [(i, f"chr{i % 2}", int(s), int(s) + int(n)) for i, (s, n) in enumerate(zip(rng.integers(1, span, 1500), rng.integers(1, length, 1500)))]
+    assert capped(spark, rows, dist, size) == plain_clusters(rows, dist, size)
+
+
+def test_one_chain_in_many_tiles(spark):
+    """Every span chains to the next one over 60 tiles; the walk is a path of ten thousand clusters."""
+    rows = [(i, "x", 1 + 10 * i, 1 + 10 * i + 9 + i * 7 % 13) for i in range(100_000)]
+    got = capped(spark, rows, 2, 95)
+    assert got == plain_clusters(rows, 2, 95) and len(got) > 10_000
 
 
 def test_read_lanes(spark):
