@@ -1,17 +1,22 @@
 """URL filters: a fixed list of host and path rules, then association rules mined from labels.
 
-Mining: a labelled page is a basket of URL tokens (host parts, path parts, parameter names) and, if
-its label is bad, one more item. FP-growth finds the frequent item sets with that item; a set is a
-rule if it has at most `max_terms` tokens, its support holds and bad / all reaches `confidence`.
-Tokens on more than `max_share` of the labelled pages are left out: they tell nothing and would
-multiply the sets. A support of s leaves at most (tokens per page) / s frequent tokens, so the rule
-table is bounded by the parameters, not by the corpus.
-
-Matching: every rule stands in an inverted index under its rarest token. Pages meet the index by
-their tokens, whole rules are then tested inside the row, and the best match of a URL goes back to
-its pages. Spark broadcasts the index or the matches if they are small; it may shuffle and split
-them otherwise. All is DataFrame work and Spark ML; the host of a third of all pages is a value in
-no join key but its own URL's.
+Mining: a labelled page is a basket of URL tokens (host parts, path parts, parameter names). Tokens
+that stand on the same labelled pages are one class, known by its least token: they change no count,
+and sets of them would only multiply. A class with `least_pages` bad pages, of which at least
+`confidence` of its pages are bad, is a rule alone. The others go to FP-growth over the bad pages: a
+set of classes on `least_pages` of them is a candidate, its confidence follows from the good pages
+that hold it (met through an inverted index), and a rule is a candidate that holds no smaller rule.
+Sets have any length and tokens any frequency; only classes on all labelled pages are left out, as
+they change no confidence. Larger rules than the minimal ones would match no further page. The least
+number of pages is absolute, so what is caught on a small table is caught in a larger one.
+FP-growth's item table is at most (tokens on bad labelled pages) / `least_pages` names; its sets
+grow with the combinations of classes that differ in their pages.
+
+Matching: every rule stands in an inverted index under its rarest class. Pages meet the index by
+the classes of their tokens (any token of a class stands for it), whole rules are then tested inside
+the row, and the best match of a URL goes back to its pages. Spark broadcasts the index or the
+matches if they are small; it may shuffle and split them otherwise. All is DataFrame work and Spark
+ML; the host of a third of all pages is a value in no join key but its own URL's.
 
 Defined results: a null URL or one without :// has empty host and path, no tokens, no rule and is
 allowed; pages with one URL are judged alike; a page id with several labels counts as bad if one is
@@ -22,18 +27,18 @@ there are no mined rules; empty tables give empty results.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lociframe.llm.common import settle, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BAD = "label=bad"
 #: host, path, verdict; the longest fitting rule wins
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-MINING = {"support": 0.002, "least_pages": 5, "confidence": 0.6, "max_terms": 3, "max_share": 0.5}
+MINING = {"least_pages": 5, "confidence": 0.6}
 
 
 def _rest(url: Column) -> Column:
@@ -72,40 +77,62 @@ def listed(host_col: Column, path_col: Column, rules: Sequence[tuple[str, str, s
     return rule, verdict
 
 
-def mine(pages: DataFrame, labels: DataFrame, support: float, least_pages: int, confidence: float, max_terms: int, max_share: float) -> DataFrame:
-    """Rules: terms (sorted), term (the rarest, for the index), confidence, pages.
+@dataclass
+class Rules:
+    """classes: item, term (the class). rules: terms (sorted classes), term (the rarest, for the index), confidence, pages."""
 
-    A rule's bad pages number at least `support` of the labelled pages, and `least_pages`.
-    """
+    classes: DataFrame
+    rules: DataFrame
+
+
+def _holding(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (with classes `held`) and sets (terms, term) that they hold, met by the sets' rarest class."""
+    return rows.withColumn("term", F.explode("held")).join(sets, "term").where(F.size(F.array_except("terms", "held")) == 0)
+
+
+def mine(pages: DataFrame, labels: DataFrame, least_pages: int, confidence: float) -> Rules:
+    """Minimal rules of at least `least_pages` bad pages and `confidence`."""
     bad = labels.groupBy(F.col("doc_id").alias("id")).agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad")).where("bad is not null")
     seen = pages.select(F.col("page_id").alias("id"), tokens(F.col("url")).alias("items")).join(bad, "id")
-    seen = settle(seen.select("items", "bad"))
+    seen = settle(seen.select(F.monotonically_increasing_id().alias("row"), "items", "bad"))
     n = seen.count()
-    empty = seen.select(F.col("items").alias("terms"), F.lit("").alias("term"), F.lit(0.0).alias("confidence"), F.lit(0).cast("long").alias("pages")).where("false")
-    if not n:
-        return empty
-    share = max(support, least_pages / n)
-    if share > 1:
-        return empty
-    often = seen.select(F.explode("items").alias("item")).groupBy("item").count().where((F.col("count") >= F.ceil(F.lit(share * n))) & (F.col("count") <= max_share * n))
-    # at most (tokens per page) / share names
-    useful = [r["item"] for r in often.select("item").collect()]
-    baskets = seen.select(F.array_intersect("items", F.array(*map(F.lit, useful)).cast("array<string>")).alias("items"), "bad")
-    baskets = baskets.select(F.when(F.col("bad") == 1, F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items"))
-    sets = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(baskets).freqItemsets
-    sets = settle(sets.select(F.array_sort("items").alias("items"), "freq").where(F.size("items") <= max_terms + 1))
-    with_bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_remove("items", BAD).alias("terms"), F.col("freq").alias("both"))
-    rules = with_bad.join(sets.select(F.col("items").alias("terms"), F.col("freq").alias("pages")), "terms")
-    rules = rules.withColumn("confidence", F.col("both") / F.col("pages")).where(F.col("confidence") >= confidence)
-    single = sets.where(F.size("items") == 1).select(F.col("items")[0].alias("term"), F.col("freq").alias("term_pages"))
-    rarest = rules.select("terms", F.explode("terms").alias("term")).join(single, "term").groupBy("terms").agg(F.min(F.struct("term_pages", "term"))["term"].alias("term"))
-    return settle(rules.join(rarest, "terms").select("terms", "term", "confidence", "pages"))
-
-
-def judge(pages: DataFrame, mined: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
+    each = seen.select("row", "bad", F.explode("items").alias("item"))
+    # the pages of a token are known by their number and 128 bits
+    cover = each.groupBy("item").agg(F.count("*").alias("pages"), F.sum("bad").alias("both"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit("y"))).alias("y"))
+    cover = cover.where((F.col("both") >= least_pages) & (F.col("pages") < n))
+    cover = settle(cover.withColumn("term", F.min("item").over(Window.partitionBy("pages", "both", "x", "y"))))
+    single = cover.where("item = term").select("term", "pages", (F.col("both") / F.col("pages")).alias("confidence"))
+    alone = single.where(F.col("confidence") >= confidence)
+    rules = alone.select(F.array("term").alias("terms"), "term", "confidence", "pages")
+
+    # sets of the other classes; a page holds a class once
+    rest = settle(single.where(F.col("confidence") < confidence).select("term", F.col("pages").alias("term_pages")))
+    open_classes = cover.select("item", "term").join(rest.select("term"), "term")
+    held = settle(each.join(open_classes, "item").groupBy("row", "bad").agg(F.array_sort(F.collect_set("term")).alias("held")))
+    baskets = held.where("bad = 1").select("held")
+    n_bad = baskets.count()
+    if n_bad >= least_pages:
+        found = FPGrowth(itemsCol="held", minSupport=(least_pages - 0.5) / n_bad).fit(baskets).freqItemsets
+        found = settle(found.where(F.size("items") > 1).select(F.array_sort("items").alias("terms"), F.col("freq").alias("both")))
+        rarest = found.select("terms", F.explode("terms").alias("term")).join(rest, "term").groupBy("terms").agg(F.min(F.struct("term_pages", "term"))["term"].alias("term"))
+        sets = settle(found.join(rarest, "terms"))
+        good = _holding(held.where("bad = 0").select("held"), sets.select("terms", "term")).groupBy("terms").agg(F.count("*").alias("good"))
+        sets = sets.join(good, "terms", "left").withColumn("pages", F.col("both") + F.coalesce("good", F.lit(0)))
+        sets = settle(sets.withColumn("confidence", F.col("both") / F.col("pages")).where(F.col("confidence") >= confidence).select("terms", "term", "confidence", "pages"))
+        smaller = sets.select(F.col("terms").alias("part"), "term")
+        within = sets.select(F.col("terms").alias("whole"), F.explode("terms").alias("term")).join(smaller, "term")
+        within = within.where((F.size("part") < F.size("whole")) & (F.size(F.array_except("part", "whole")) == 0)).select(F.col("whole").alias("terms")).distinct()
+        rules = rules.unionByName(sets.join(within, "terms", "left_anti").select("terms", "term", "confidence", "pages"))
+    rules = settle(rules)
+    used = rules.select(F.explode("terms").alias("term")).distinct()
+    return Rules(settle(cover.select("item", "term").join(used, "term")), rules)
+
+
+def judge(pages: DataFrame, mined: Rules, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """Every page with host, path, rule, verdict, and the best mined rule that fits its URL."""
-    urls = pages.where("url is not null").select("url").distinct().withColumn("items", tokens(F.col("url")))
-    hits = urls.select("url", "items", F.explode("items").alias("term")).join(mined, "term").where(F.size(F.array_except("terms", "items")) == 0)
+    urls = pages.where("url is not null").select("url").distinct()
+    held = urls.select("url", F.explode(tokens(F.col("url"))).alias("item")).join(mined.classes, "item").groupBy("url").agg(F.collect_set("term").alias("held"))
+    hits = _holding(held, mined.rules)
     best = hits.groupBy("url").agg(F.max(F.struct("confidence", F.size("terms").alias("n"), F.concat_ws(" ", "terms").alias("terms"))).alias("best"))
     out = pages.select("page_id", "url").join(best, "url", "left")
     out = out.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "best")
@@ -132,23 +159,23 @@ def _sql() -> str:
         best, verdict = f"CASE WHEN {fits} THEN '{h + p}' ELSE {best} END", f"CASE WHEN {fits} THEN '{v}' ELSE {verdict} END"
     m = MINING
     return f"""
-WITH u AS MATERIALIZED (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
+WITH RECURSIVE u AS MATERIALIZED (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_replace(regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1), '=[^&]*', '', 'g') AS names
   FROM (SELECT page_id, url, coalesce({rest}, '') AS rest FROM pages)),
 t AS MATERIALIZED (SELECT page_id, url, host, path, list_distinct(list_concat({parts('host', '[.:@]', 'h:')}, {parts('path', '[/._\\-]', 'p:')}, {parts('names', '&', 'q:')})) AS items FROM u),
 b AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NULL OR toxic IS NULL THEN NULL ELSE 0 END) AS bad FROM labels GROUP BY 1),
 s AS MATERIALIZED (SELECT row_number() OVER () AS r, items, bad FROM t JOIN b ON b.doc_id = t.page_id WHERE bad IS NOT NULL),
-z AS (SELECT count(*) AS n, greatest({m['support']}::DOUBLE, {m['least_pages']} / count(*)::DOUBLE) AS share FROM s),
 e AS MATERIALIZED (SELECT r, bad, unnest(items) AS item FROM s),
-o AS MATERIALIZED (SELECT item, count(*) AS pages FROM e GROUP BY item HAVING count(*) >= (SELECT ceil(share * n) FROM z) AND count(*) <= (SELECT {m['max_share']}::DOUBLE * n FROM z)),
-f AS MATERIALIZED (SELECT r, bad, item FROM e JOIN o USING (item)),
-c AS (SELECT [item] AS terms, bad FROM f
-  UNION ALL SELECT [x.item, y.item], x.bad FROM f x JOIN f y ON x.r = y.r AND x.item < y.item
-  UNION ALL SELECT [x.item, y.item, w.item], x.bad FROM f x JOIN f y ON x.r = y.r AND x.item < y.item JOIN f w ON w.r = x.r AND y.item < w.item),
-k AS MATERIALIZED (SELECT terms, sum(bad)::DOUBLE / count(*) AS confidence FROM c GROUP BY terms
-  HAVING sum(bad) >= (SELECT ceil(share * n) FROM z) AND sum(bad)::DOUBLE / count(*) >= {m['confidence']}::DOUBLE),
-h AS (SELECT url, max({{'confidence': confidence, 'n': len(terms), 'terms': array_to_string(terms, ' ')}}) AS best
-  FROM (SELECT DISTINCT url, items FROM t) d JOIN k ON list_has_all(d.items, k.terms) GROUP BY url)
+o AS MATERIALIZED (SELECT item, min(item) OVER (PARTITION BY cover) AS term, conf FROM (
+  SELECT item, list(r ORDER BY r) AS cover, sum(bad)::DOUBLE / count(*) AS conf FROM e GROUP BY item HAVING sum(bad) >= {m['least_pages']} AND count(*) < (SELECT count(*) FROM s))),
+f AS MATERIALIZED (SELECT DISTINCT r, bad, term FROM e JOIN o USING (item) WHERE conf < {m['confidence']}::DOUBLE),
+c AS (SELECT r, bad, [term] AS terms FROM f UNION ALL SELECT c.r, c.bad, list_append(terms, term) FROM c JOIN f ON f.r = c.r AND f.term > c.terms[-1]),
+k AS MATERIALIZED (SELECT terms, sum(bad)::DOUBLE / count(*) AS confidence FROM c WHERE len(terms) > 1 GROUP BY terms
+  HAVING sum(bad) >= {m['least_pages']} AND sum(bad)::DOUBLE / count(*) >= {m['confidence']}::DOUBLE),
+v AS MATERIALIZED (SELECT DISTINCT [term] AS terms, conf AS confidence FROM o WHERE conf >= {m['confidence']}::DOUBLE
+  UNION ALL SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM k p WHERE len(p.terms) < len(k.terms) AND list_has_all(k.terms, p.terms))),
+d AS (SELECT url, list(DISTINCT term) AS held FROM (SELECT DISTINCT url, unnest(items) AS item FROM t) JOIN o USING (item) GROUP BY url),
+h AS (SELECT url, max({{'confidence': confidence, 'n': len(terms), 'terms': array_to_string(terms, ' ')}}) AS best FROM d JOIN v ON list_has_all(d.held, v.terms) GROUP BY url)
 SELECT page_id, host, path, {best} AS rule, coalesce({verdict}, CASE WHEN best IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
   best.terms AS mined_rule, best.confidence AS mined_confidence FROM t LEFT JOIN h USING (url)"""
 
