@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lociframe.plans.aggregates import rounded
 from lociframe.plans.registry import question
+from lociframe.session import scratch, settle
 from lociframe.streaming import windows as W
 
 
@@ -78,3 +79,39 @@ WITH k AS (SELECT *, unnest(generate_series(0, 3)) AS j FROM v_read), w AS (SELE
 SELECT epoch_us(s) AS start_us, epoch_us(s + INTERVAL 24 HOUR) AS end_us, strand, COUNT(*) AS n, ROUND(avg(mapq), 6) AS mean, min(mapq) AS min, max(mapq) AS max FROM w GROUP BY 1, 2, 3""")
 def batch_sliding(v):
     return rounded(micros(W.sliding_stats(W.event_time(v.read), "24 hours", "6 hours", ["strand"], "mapq")), "mean")
+
+
+N_BATCHES = 4
+
+
+def plain_reads(v):
+    """The read view with zoned times."""
+    return W.event_time(v.read)
+
+
+@question("t_late_rows", "v_read", f"""
+WITH b AS (SELECT chrom, ts, CAST(read_id % {N_BATCHES} AS INTEGER) AS batch FROM v_read), m AS (SELECT chrom, batch, max(ts) AS newest FROM b GROUP BY 1, 2),
+p AS (SELECT x.chrom, x.batch, max(y.newest) AS newest FROM m x LEFT JOIN m y ON y.chrom = x.chrom AND y.batch < x.batch GROUP BY 1, 2)
+SELECT b.batch, b.chrom, COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE ts < newest - INTERVAL 6 HOUR) AS n_late, epoch_us(greatest(max(ts), max(newest))) AS newest_us FROM b JOIN p ON p.chrom = b.chrom AND p.batch = b.batch GROUP BY 1, 2""")
+def late_rows(v):
+    """Batches that mix all times: what comes later than six hours is counted batch by batch."""
+    with scratch(v.spark) as folder:
+        stream = W.batches_of(v.spark, plain_reads(v), (F.col("read_id") % N_BATCHES).cast("int"), N_BATCHES, f"{folder}/in")
+        W.listen(stream, f"{folder}/state", W.late_ledger(folder, ["chrom"], "6 HOURS"))
+        counts = v.spark.read.parquet(f"{folder}/counts")
+        return settle(counts.select("batch", "chrom", "n_rows", "n_late", F.unix_micros("newest").alias("newest_us")))
+
+
+@question("t_window_events", "v_read", f"""
+WITH w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS s, strand, COUNT(*) AS n, CAST(SUM(mapq) AS BIGINT) AS total FROM v_read GROUP BY 1, 2)
+SELECT epoch_us(s) AS start_us, epoch_us(s + INTERVAL 6 HOUR) AS end_us, strand, n, total FROM w WHERE s + INTERVAL 6 HOUR <= {CLOSED}""")
+def window_events(v):
+    """Batches in order of time: every finished window reaches the listeners once, in the batch after which it closed."""
+    reads = plain_reads(v)
+    span = reads.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(F.struct("a", "b")).scalar()
+    share = (F.unix_micros("ts") - F.unix_micros(F.col("_span.a"))) / (F.unix_micros(F.col("_span.b")) - F.unix_micros(F.col("_span.a")) + 1)
+    with scratch(v.spark) as folder:
+        numbered = reads.withColumn("_span", span).withColumn("_slice", F.floor(share * N_BATCHES).cast("int")).drop("_span")
+        stream = W.batches_of(v.spark, numbered, F.col("_slice"), N_BATCHES, f"{folder}/in")
+        W.listen(W.tumbling_counts(stream, "6 hours", ["strand"], "mapq"), f"{folder}/state", W.to_table(f"{folder}/windows"))
+        return settle(micros(v.spark.read.parquet(f"{folder}/windows").drop("batch")))

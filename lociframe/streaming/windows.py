@@ -69,18 +69,91 @@ def scored_domains(df: DataFrame, passes: Column, gap: str, by: list[str], value
     return out.select(F.col("s.start").alias("start"), F.col("s.end").alias("end"), *by, "n", F.col(f"f.{value}").alias("score"))
 
 
-def run_available(spark: SparkSession, df: DataFrame, name: str, each_batch: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+def run_available(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Run a stream over everything available into a parquet table in the shared folder."""
     root = f"{checkpoint_root(spark)}/stream-{name}-{uuid.uuid4().hex}"
     writer = df.writeStream.outputMode("append").option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
-    if each_batch is not None:
-        query = writer.foreachBatch(each_batch).start()
-    else:
-        query = writer.format("parquet").option("path", f"{root}/table").start()
+    _finish(writer.format("parquet").option("path", f"{root}/table").start())
+    return spark.read.schema(df.schema).parquet(f"{root}/table")
+
+
+def _finish(query) -> None:
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
-    return spark.read.schema(df.schema).parquet(f"{root}/table") if each_batch is None else df
+
+
+Listener = Callable[[DataFrame, int], None]
+
+
+def listen(df: DataFrame, state: str, *listeners: Listener) -> None:
+    """Run a stream over everything available and hand each batch of finished rows to the listeners, in order.
+
+    A batch comes again with the same number after a failure, so listeners that write should
+    overwrite what they keep under that number (`to_table` does). An error of a listener ends the
+    query. The batch is computed once for all of them.
+    """
+    def each(batch: DataFrame, number: int) -> None:
+        held = batch.persist()
+        try:
+            for listener in listeners:
+                listener(held, number)
+        finally:
+            held.unpersist()
+
+    _finish(df.writeStream.outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(each).start())
+
+
+def to_table(path: str) -> Listener:
+    """A listener that keeps batches as Parquet under batch=number, once however often they come."""
+    return lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+class OutOfOrder(RuntimeError):
+    """Rows came later than allowed."""
+
+
+def late_ledger(path: str, by: list[str], delay: str, fatal: bool = False, column: str = "ts") -> Listener:
+    """A listener that counts rows that come later than allowed: more than `delay` before the newest row of their key in earlier batches.
+
+    Per batch and key it keeps n_rows, n_late and the newest time so far under counts/batch=number;
+    the newest times of the batch before are read from there, so a batch that is run again gives the
+    same. Keys meet their rows by a join that Spark plans, no key is one task's. `fatal` raises
+    `OutOfOrder` on the first late row, after the counts are written.
+    """
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        own = batch.select(*by, F.col(column).cast("timestamp").alias("_at"))
+        kinds = ", ".join(f"{k} {own.schema[k].dataType.simpleString()}" for k in by)
+        before = spark.read.parquet(f"{path}/counts/batch={number - 1}").select(*by, "newest") if number else spark.createDataFrame([], f"{kinds}, newest timestamp")
+        seen = own.join(before.withColumnsRenamed({k: f"_k_{k}" for k in by}), _same(by), "left")
+        late = F.col("_at") < F.col("newest") - F.expr(f"INTERVAL {delay}")
+        counts = seen.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(late, 1)).alias("n_late"), F.max("_at").alias("_here"))
+        carried = before.withColumnsRenamed({k: f"_k_{k}" for k in by})
+        merged = counts.join(carried, _same(by), "full").select(
+            *[F.coalesce(k, f"_k_{k}").alias(k) for k in by], F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_late", F.lit(0)).alias("n_late"), F.greatest("_here", "newest").alias("newest"))
+        merged.write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
+        if fatal:
+            n = spark.read.parquet(f"{path}/counts/batch={number}").agg(F.sum("n_late")).first()[0] or 0
+            if n:
+                raise OutOfOrder(f"{n} rows of batch {number} are later than {delay}")
+
+    return each
+
+
+def _same(by: list[str]) -> Column:
+    out = F.lit(True)
+    for k in by:
+        out = out & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return out
+
+
+def batches_of(spark: SparkSession, df: DataFrame, number: Column, n: int, path: str) -> DataFrame:
+    """A stream that delivers the rows of a table in `n` batches, 0 first, by a number per row."""
+    numbered = df.withColumn("_batch", number)
+    for k in range(n):  # a file later than those before it, so the source takes them in this order
+        numbered.filter(F.col("_batch") == k).drop("_batch").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def read_events(spark: SparkSession, sf_dir: str, schema) -> DataFrame:
