@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-SPARK = {"S": "STRING", "G": "", "X": "explode", "Q": "sequence"}
-DUCK = {"S": "VARCHAR", "G": ", 'g'", "X": "unnest", "Q": "generate_series"}
+SPARK = {"S": "STRING", "G": "", "X": "explode", "Q": "sequence", "D": "array_distinct", "A": "concat", "L": "array(", "R": ")"}
+DUCK = {"S": "VARCHAR", "G": ", 'g'", "X": "unnest", "Q": "generate_series", "D": "list_distinct", "A": "list_concat", "L": "[", "R": "]"}
 
 READ_LEN = 60
 READ_STEP = 20
@@ -44,7 +44,7 @@ FROM {events}""",
     "v_seq": """
 SELECT doc_id AS seq_id, lang, regexp_replace(upper(text), '[^ACGT]', ''{G}) AS seq
 FROM {documents}""",
-    # alignments: overlapping 60-base pieces of each sequence, bisulfite-like edits per read
+    # alignments: overlapping 60-base pieces of each sequence and the piece at its end, bisulfite-like edits per read
     "v_alignment": """
 SELECT seq_id * 1000000 + k AS read_id, chrom, pos0 + k AS start_pos,
        CASE WHEN (k / 20) % 2 < 1 THEN '+' ELSE '-' END AS strand,
@@ -60,7 +60,7 @@ SELECT seq_id * 1000000 + k AS read_id, chrom, pos0 + k AS start_pos,
 FROM (SELECT seq_id, concat('chr', CAST(1 + seq_id % 5 AS {S})) AS chrom,
              CAST(FLOOR(seq_id / 5) AS BIGINT) * 30000 + 1 AS pos0, k,
              substring(seq, CAST(k AS INT) + 1, 60) AS ref
-      FROM (SELECT seq_id, seq, {X}({Q}(CAST(0 AS BIGINT), CAST(length(seq) - 60 AS BIGINT), CAST(20 AS BIGINT))) AS k
+      FROM (SELECT seq_id, seq, {X}({D}({A}({Q}(CAST(0 AS BIGINT), CAST(length(seq) - 60 AS BIGINT), CAST(20 AS BIGINT)), {L}CAST(length(seq) - 60 AS BIGINT){R}))) AS k
             FROM (SELECT doc_id AS seq_id, regexp_replace(upper(text), '[^ACGT]', ''{G}) AS seq
                   FROM {documents}) s0 WHERE length(seq) >= 60) s1) s2""",
 }

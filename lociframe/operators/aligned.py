@@ -80,11 +80,11 @@ def row_scores(matrix: DataFrame, n_columns: int, exponent: float = 0.0, min_dis
     return matrix.groupBy(*by, "feat_id").agg((F.sum(cell * weight) / F.count(cell)).alias("sort_value"))
 
 
-def downscale(matrix: DataFrame, row: str, rows: tuple[int, int] | None, cols: tuple[int, int], value: str) -> DataFrame:
+def downscale(matrix: DataFrame, row: str, rows: tuple[int, int] | None, cols: tuple[int, int], value: str, by: Sequence[str] = ()) -> DataFrame:
     """Mean of cells whose indices fall together when (from, to) sizes shrink; real division."""
     shrink = lambda c, fr, to: F.floor(F.col(c) * (to / fr)).cast("int")
     r = shrink(row, *rows).alias(row) if rows else F.col(row)
-    return matrix.groupBy(r, shrink("col", *cols).alias("col")).agg(F.avg(value).alias(value))
+    return matrix.groupBy(*by, r, shrink("col", *cols).alias("col")).agg(F.avg(value).alias(value))
 
 
 def phase_bins(points: DataFrame, features: DataFrame, flank: int, width: int, pos: str, value: Column, by: Sequence[str] = ()) -> DataFrame:

@@ -201,21 +201,21 @@ def smooth(track: DataFrame, window: int, min_avg: float = 0.0, read_length: int
     return g.select(*keys, F.floor(F.col("_c") / step).alias(pos), avg.alias(value)).filter((F.col(value) != 0) & (F.col(value) > min_avg))
 
 
-def stepped_centres(sizes: DataFrame, step: int, start: int = 1) -> DataFrame:
+def stepped_centres(sizes: DataFrame, step: int, start: int = 1, keys: Sequence[str] = ("chrom",)) -> DataFrame:
     """Centres start, start+step, ... up to the chromosome length (one row per centre)."""
-    return sizes.select("chrom", F.col("length").alias("chrom_end"), F.explode(
+    return sizes.select(*keys, F.col("length").alias("chrom_end"), F.explode(
         F.sequence(F.lit(start).cast("bigint"), F.col("length").cast("bigint"), F.lit(step).cast("bigint"))).alias("centre"))
 
 
-def stepped_density(cytosines: DataFrame, sizes: DataFrame, window: int, step: int, start: int = 1) -> DataFrame:
+def stepped_density(cytosines: DataFrame, sizes: DataFrame, window: int, step: int, start: int = 1, keys: Sequence[str] = ("chrom",)) -> DataFrame:
     """CpGs (two cytosines each) per window base in percent, and mean methylation, per stepped centre."""
     half = window // 2
-    c = stepped_centres(sizes, step, start)
+    c = stepped_centres(sizes, step, start, keys)
     c = c.withColumns({"start_pos": F.greatest(F.col("centre") - half, F.lit(start)), "end_pos": F.least(F.col("centre") + half - 1, F.col("chrom_end"))})
     m = M.frac_meth().cast(FRACTION)
-    s = interval_sums(cytosines, c, {"n": F.lit(1), "_m": m, "_k": m.isNotNull().cast("bigint")}, "chrom_pos")
+    s = interval_sums(cytosines, c, {"n": F.lit(1), "_m": m, "_k": m.isNotNull().cast("bigint")}, "chrom_pos", keys)
     dens = F.floor(100.0 * (F.col("n") / 2.0) / (F.col("end_pos") - F.col("start_pos") + 1) + 0.5).cast("bigint")
-    return s.select("chrom", "centre", F.col("n").cast("bigint").alias("n"), dens.alias("density"),
+    return s.select(*keys, "centre", F.col("n").cast("bigint").alias("n"), dens.alias("density"),
                     (F.col("_m").cast("double") / F.nullif(F.col("_k"), F.lit(0))).alias("mean_meth"))
 
 

@@ -298,12 +298,13 @@ def snp_calls(v):
     return A.snp_calls(v.base, min_count=1).select("chrom", "pos", "depth", "base_1", "n_1", "n_2", "het")
 
 
-@question("a_confusion", "v_base", f"""
-WITH {SNP}, t AS (SELECT DISTINCT chrom, pos, ref_base = 'C' AS real_het FROM v_base WHERE pos % 3 = 0),
+@question("a_confusion", "v_base v_allele", f"""
+WITH {SNP}, t AS (SELECT DISTINCT b.chrom, b.pos, k.pos IS NOT NULL AS real_het FROM v_base b LEFT JOIN (SELECT DISTINCT chrom, allele_pos AS pos FROM v_allele) k ON k.chrom = b.chrom AND k.pos = b.pos),
 g AS (SELECT COUNT(*) FILTER (WHERE het AND real_het) AS tp, COUNT(*) FILTER (WHERE NOT het AND NOT real_het) AS tn, COUNT(*) FILTER (WHERE het AND NOT real_het) AS fp, COUNT(*) FILTER (WHERE NOT het AND real_het) AS fn FROM h JOIN t USING (chrom, pos))
 SELECT tp, tn, fp, fn, ROUND(fp / CAST(nullif(fp + tp, 0) AS DOUBLE), 6) AS fp_rate, ROUND(fn / CAST(nullif(fn + tp, 0) AS DOUBLE), 6) AS fn_rate FROM g""")
 def confusion(v):
-    truth = v.base.filter(F.col("pos") % 3 == 0).select("chrom", "pos", (F.col("ref_base") == "C").alias("real_het")).distinct()
+    known = v.allele.select("chrom", F.col("allele_pos").alias("pos"), F.lit(True).alias("_k")).distinct()
+    truth = v.base.select("chrom", "pos").distinct().join(known, ["chrom", "pos"], "left").select("chrom", "pos", F.coalesce("_k", F.lit(False)).alias("real_het"))
     return rounded(A.confusion(A.snp_calls(v.base, min_count=1), truth, ["chrom", "pos"], "het", "real_het"), "fp_rate", "fn_rate")
 
 

@@ -11,6 +11,7 @@ from lociframe.plans.joins import typed
 from lociframe.plans.registry import question
 
 BOTH = "v_cytosine v_feature"
+KEYS = ("sample", "chrom")
 FM = "c_reads / CAST(nullif(c_reads + t_reads, 0) AS DOUBLE)"
 OFF = f"""a AS (SELECT *, {{anchor}} AS a FROM v_feature), p AS (SELECT c.sample, a.feat_id, CASE WHEN a.strand = '-' THEN a.a - c.chrom_pos ELSE c.chrom_pos - a.a END AS off,
   c.strand = CASE WHEN a.strand = '-' THEN '-' ELSE '+' END AS same, {FM} AS m FROM v_cytosine c JOIN a ON a.chrom = c.chrom AND c.chrom_pos BETWEEN a.a - {{k}} AND a.a + {{k}})"""
@@ -27,40 +28,40 @@ def feat_align_avg(v):
 
 
 @question("w_feat_align_matrix", BOTH, f"""
-WITH {OFF.format(anchor=TSS, k=30)}, c AS (SELECT feat_id, CAST(FLOOR((off + 30) * (10 / 61.0) + 0.5) AS INT) AS col, same, m FROM p WHERE sample = 'A')
-SELECT feat_id, col, ROUND(SUM(m) FILTER (WHERE same), 6) AS own_sum, COUNT(m) FILTER (WHERE same) AS own_n, ROUND(SUM(m) FILTER (WHERE NOT same), 6) AS other_sum, COUNT(m) FILTER (WHERE NOT same) AS other_n
-FROM c WHERE col >= 0 AND col < 10 GROUP BY 1, 2""")
+WITH {OFF.format(anchor=TSS, k=30)}, c AS (SELECT feat_id, CAST(FLOOR((off + 30) * (10 / 61.0) + 0.5) AS INT) AS col, same, m, sample FROM p)
+SELECT sample, feat_id, col, ROUND(SUM(m) FILTER (WHERE same), 6) AS own_sum, COUNT(m) FILTER (WHERE same) AS own_n, ROUND(SUM(m) FILTER (WHERE NOT same), 6) AS other_sum, COUNT(m) FILTER (WHERE NOT same) AS other_n
+FROM c WHERE col >= 0 AND col < 10 GROUP BY 1, 2, 3""")
 def feat_align_matrix(v):
-    out = L.aligned_matrix(v.cytosine.filter(F.col("sample") == "A"), v.feature, 30, "chrom_pos", M.frac_meth(), 10, "start")
+    out = L.aligned_matrix(v.cytosine, v.feature, 30, "chrom_pos", M.frac_meth(), 10, "start", by=["sample"])
     return rounded(out, "own_sum", "other_sum").withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("own_n", "other_n")})
 
 
 @question("w_row_sort", BOTH, f"""
-WITH {OFF.format(anchor=MID, k=30)}, c AS (SELECT feat_id, off + 30 AS col, SUM(m) FILTER (WHERE same) AS o, SUM(m) FILTER (WHERE NOT same) AS q, COUNT(*) FILTER (WHERE same) AS no, COUNT(*) FILTER (WHERE NOT same) AS nq FROM p WHERE sample = 'A' AND m IS NOT NULL GROUP BY 1, 2),
-v AS (SELECT feat_id, (coalesce(o, 0) + coalesce(q, 0)) / (CAST(no > 0 AS INT) + CAST(nq > 0 AS INT)) AS v, pow(greatest(abs(col - 31), 3) / 3.0, -0.5) AS w FROM c)
-SELECT feat_id, ROUND(SUM(v * w) / COUNT(*), 6) AS sort_value FROM v GROUP BY 1""")
+WITH {OFF.format(anchor=MID, k=30)}, c AS (SELECT sample, feat_id, off + 30 AS col, SUM(m) FILTER (WHERE same) AS o, SUM(m) FILTER (WHERE NOT same) AS q, COUNT(*) FILTER (WHERE same) AS no, COUNT(*) FILTER (WHERE NOT same) AS nq FROM p WHERE m IS NOT NULL GROUP BY 1, 2, 3),
+v AS (SELECT sample, feat_id, (coalesce(o, 0) + coalesce(q, 0)) / (CAST(no > 0 AS INT) + CAST(nq > 0 AS INT)) AS v, pow(greatest(abs(col - 31), 3) / 3.0, -0.5) AS w FROM c)
+SELECT sample, feat_id, ROUND(SUM(v * w) / COUNT(*), 6) AS sort_value FROM v GROUP BY 1, 2""")
 def row_sort(v):
-    d = v.cytosine.filter((F.col("sample") == "A") & M.frac_meth().isNotNull())
-    m = L.aligned_matrix(d, v.feature, 30, "chrom_pos", M.frac_meth())
-    return rounded(L.row_scores(m, 61, -0.5, 3), "sort_value").orderBy("sort_value", "feat_id")
+    d = v.cytosine.filter(M.frac_meth().isNotNull())
+    m = L.aligned_matrix(d, v.feature, 30, "chrom_pos", M.frac_meth(), by=["sample"])
+    return rounded(L.row_scores(m, 61, -0.5, 3, by=["sample"]), "sort_value").orderBy("sample", "sort_value", "feat_id")
 
 
 @question("w_matrix_downscale", BOTH, f"""
-WITH {OFF.format(anchor=MID, k=30)}, c AS (SELECT feat_id, off + 30 AS col, SUM(m) FILTER (WHERE same) AS o FROM p WHERE sample = 'A' GROUP BY 1, 2)
-SELECT feat_id, CAST(FLOOR(col * (6 / 61.0)) AS INT) AS col, ROUND(avg(o), 6) AS own_sum FROM c GROUP BY 1, 2""")
+WITH {OFF.format(anchor=MID, k=30)}, c AS (SELECT sample, feat_id, off + 30 AS col, SUM(m) FILTER (WHERE same) AS o FROM p GROUP BY 1, 2, 3)
+SELECT sample, feat_id, CAST(FLOOR(col * (6 / 61.0)) AS INT) AS col, ROUND(avg(o), 6) AS own_sum FROM c GROUP BY 1, 2, 3""")
 def matrix_downscale(v):
-    m = L.aligned_matrix(v.cytosine.filter(F.col("sample") == "A"), v.feature, 30, "chrom_pos", M.frac_meth())
-    return rounded(L.downscale(m, "feat_id", None, (61, 6), "own_sum"), "own_sum")
+    m = L.aligned_matrix(v.cytosine, v.feature, 30, "chrom_pos", M.frac_meth(), by=["sample"])
+    return rounded(L.downscale(m, "feat_id", None, (61, 6), "own_sum", by=["sample"]), "own_sum")
 
 
 @question("w_zero_out", BOTH, f"""
-WITH {OFF.format(anchor=MID, k=20)}, c AS (SELECT feat_id, CAST(off + 20 AS INT) AS col, SUM(m) FILTER (WHERE same) AS o, COUNT(m) FILTER (WHERE same) AS n FROM p WHERE sample = 'B' GROUP BY 1, 2)
-SELECT feat_id, col, CASE WHEN feat_id % 3 = 0 AND col >= 5 AND col < 15 THEN 0.0 ELSE ROUND(o, 6) END AS own_sum, CASE WHEN feat_id % 3 = 0 AND col >= 5 AND col < 15 THEN 0.0001 ELSE CAST(n AS DOUBLE) END AS own_n FROM c""")
+WITH {OFF.format(anchor=MID, k=20)}, c AS (SELECT sample, feat_id, CAST(off + 20 AS INT) AS col, SUM(m) FILTER (WHERE same) AS o, COUNT(m) FILTER (WHERE same) AS n FROM p GROUP BY 1, 2, 3)
+SELECT sample, feat_id, col, CASE WHEN feat_id % 3 = 0 AND col >= 5 AND col < 15 THEN 0.0 ELSE ROUND(o, 6) END AS own_sum, CASE WHEN feat_id % 3 = 0 AND col >= 5 AND col < 15 THEN 0.0001 ELSE CAST(n AS DOUBLE) END AS own_n FROM c""")
 def zero_out(v):
-    m = L.aligned_matrix(v.cytosine.filter(F.col("sample") == "B"), v.feature, 20, "chrom_pos", M.frac_meth())
+    m = L.aligned_matrix(v.cytosine, v.feature, 20, "chrom_pos", M.frac_meth(), by=["sample"])
     m = m.withColumn("own_n", F.coalesce("own_n", F.lit(0)))
     r = v.feature.filter(F.col("feat_id") % 3 == 0).select("feat_id", F.lit(5).alias("lo"), F.lit(15).alias("hi"))
-    return rounded(L.zero_out(m, r), "own_sum").select("feat_id", "col", "own_sum", "own_n")
+    return rounded(L.zero_out(m, r), "own_sum").select("sample", "feat_id", "col", "own_sum", "own_n")
 
 
 @question("w_phase_bins", BOTH, f"""
@@ -88,29 +89,29 @@ def nucleosome_min_diff(v):
 
 
 @question("w_ndr", "v_cytosine", f"""
-WITH s AS (SELECT chrom, chrom_pos, c_reads / CAST(c_reads + t_reads AS DOUBLE) AS m FROM v_cytosine WHERE sample = 'A' AND c_reads + t_reads >= 2),
-w AS (SELECT e.chrom, e.chrom_pos AS p, avg(x.m) FILTER (WHERE x.chrom_pos BETWEEN e.chrom_pos - 59 AND e.chrom_pos) AS mid, COUNT(*) FILTER (WHERE x.chrom_pos BETWEEN e.chrom_pos - 59 AND e.chrom_pos) AS nm,
+WITH s AS (SELECT sample, chrom, chrom_pos, c_reads / CAST(c_reads + t_reads AS DOUBLE) AS m FROM v_cytosine WHERE c_reads + t_reads >= 2),
+w AS (SELECT e.sample, e.chrom, e.chrom_pos AS p, avg(x.m) FILTER (WHERE x.chrom_pos BETWEEN e.chrom_pos - 59 AND e.chrom_pos) AS mid, COUNT(*) FILTER (WHERE x.chrom_pos BETWEEN e.chrom_pos - 59 AND e.chrom_pos) AS nm,
   avg(x.m) FILTER (WHERE x.chrom_pos < e.chrom_pos - 59) AS pre, COUNT(*) FILTER (WHERE x.chrom_pos < e.chrom_pos - 59) AS np, avg(x.m) FILTER (WHERE x.chrom_pos > e.chrom_pos) AS post, COUNT(*) FILTER (WHERE x.chrom_pos > e.chrom_pos) AS nq
-  FROM s e JOIN s x ON x.chrom = e.chrom AND x.chrom_pos BETWEEN e.chrom_pos - 79 AND e.chrom_pos + 20 GROUP BY 1, 2),
-g AS (SELECT chrom, p - 59 AS s, p AS e FROM w WHERE nm >= 4 AND ((np >= 1 AND mid >= 0.4003 AND mid - pre >= 0.2003) OR (nq >= 1 AND mid >= 0.4003 AND mid - post >= 0.2003))),
-l AS (SELECT *, max(e) OVER (PARTITION BY chrom ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM g), f AS (SELECT *, SUM(CASE WHEN pe IS NULL OR s > pe THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY e ROWS UNBOUNDED PRECEDING) AS isl FROM l)
-SELECT chrom, min(s) AS start_pos, max(e) AS end_pos FROM f GROUP BY chrom, isl""")
+  FROM s e JOIN s x ON x.sample = e.sample AND x.chrom = e.chrom AND x.chrom_pos BETWEEN e.chrom_pos - 79 AND e.chrom_pos + 20 GROUP BY 1, 2, 3),
+g AS (SELECT sample, chrom, p - 59 AS s, p AS e FROM w WHERE nm >= 4 AND ((np >= 1 AND mid >= 0.4003 AND mid - pre >= 0.2003) OR (nq >= 1 AND mid >= 0.4003 AND mid - post >= 0.2003))),
+l AS (SELECT *, max(e) OVER (PARTITION BY sample, chrom ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM g), f AS (SELECT *, SUM(CASE WHEN pe IS NULL OR s > pe THEN 1 ELSE 0 END) OVER (PARTITION BY sample, chrom ORDER BY e ROWS UNBOUNDED PRECEDING) AS isl FROM l)
+SELECT sample, chrom, min(s) AS start_pos, max(e) AS end_pos FROM f GROUP BY sample, chrom, isl""")
 def ndr(v):
-    return L.depleted_regions(_sites(v), 60, 20, 4, 1, 2, 0.4003, 0.2003)
+    return L.depleted_regions(_sites(v), 60, 20, 4, 1, 2, 0.4003, 0.2003, keys=KEYS)
 
 
 def _sites(v):
-    return v.cytosine.filter(F.col("sample") == "A").select("chrom", "chrom_pos", F.col("c_reads").alias("c"), F.col("t_reads").alias("t"))
+    return v.cytosine.select("sample", "chrom", "chrom_pos", F.col("c_reads").alias("c"), F.col("t_reads").alias("t"))
 
 
 @question("w_ndr_rank_test")
 def ndr_rank(v):
-    return L.depleted_regions(_sites(v), 60, 30, 5, 3, 1, test="rank", alpha=0.1)
+    return L.depleted_regions(_sites(v), 60, 30, 5, 3, 1, test="rank", alpha=0.1, keys=KEYS)
 
 
 @question("w_ndr_ks_test")
 def ndr_ks(v):
-    return L.depleted_regions(_sites(v), 60, 30, 5, 3, 1, test="ks", alpha=0.1)
+    return L.depleted_regions(_sites(v), 60, 30, 5, 3, 1, test="ks", alpha=0.1, keys=KEYS)
 
 
 @question("w_read_lanes")
@@ -120,8 +121,8 @@ def read_lanes(v):
 
 
 @question("a_motif_density", "v_cytosine v_feature", f"""
-WITH g AS (SELECT f.feat_id, f.chrom, f.start_pos, f.end_pos, COUNT(c.chrom_pos) AS n FROM v_feature f LEFT JOIN v_cytosine c ON c.chrom = f.chrom AND c.chrom_pos BETWEEN f.start_pos AND f.end_pos AND c.strand = '+' GROUP BY 1, 2, 3, 4)
+WITH g AS (SELECT f.feat_id, f.chrom, f.start_pos, f.end_pos, COUNT(c.chrom_pos) AS n FROM v_feature f LEFT JOIN v_cytosine c ON c.chrom = f.chrom AND c.chrom_pos BETWEEN f.start_pos AND f.end_pos GROUP BY 1, 2, 3, 4)
 SELECT feat_id, n, ROUND(100.0 * n / (end_pos - start_pos + 1), 6) AS density FROM g""")
 def motif_density(v):
-    d = L.motif_density(v.cytosine.filter(F.col("strand") == "+"), v.feature.select("feat_id", "chrom", "start_pos", "end_pos"))
+    d = L.motif_density(v.cytosine, v.feature.select("feat_id", "chrom", "start_pos", "end_pos"))
     return rounded(d, "density").select("feat_id", F.col("n").cast("bigint").alias("n"), "density")

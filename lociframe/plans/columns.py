@@ -8,6 +8,7 @@ from lociframe.functions import intervals as I
 from lociframe.functions import methylation as M
 from lociframe.functions import sequence as Q
 from lociframe.operators import lookups
+from lociframe.operators import readlevel as R
 from lociframe.plans.registry import near, question
 from lociframe.sources import cytosines
 
@@ -64,13 +65,15 @@ def f_is_cph(v):
 
 
 @question("f_read_valid", "v_base", """
-SELECT read_id, pos, base IN ('C', 'T') AND next_ref = 'G' AND NOT (base = 'C' AND qual < 10) AS valid_cg, base = 'C' AND qual >= 10 AS meth
-FROM v_base WHERE strand = '+' AND ref_base = 'C' AND next_ref IS NOT NULL""")
+SELECT read_id, pos, b IN ('C', 'T') AND nxt = 'G' AND NOT (b = 'C' AND qual < 10) AS valid_cg, b = 'C' AND qual >= 10 AS meth
+FROM (SELECT *, CASE strand WHEN '+' THEN base ELSE translate(base, 'ACGT', 'TGCA') END AS b, CASE strand WHEN '+' THEN next_ref ELSE translate(prev_ref, 'ACGT', 'TGCA') END AS nxt FROM v_base) WHERE ref_base = CASE strand WHEN '+' THEN 'C' ELSE 'G' END AND nxt IS NOT NULL""")
 def f_read_valid(v):
-    b = v.base.filter((F.col("strand") == "+") & (F.col("ref_base") == "C") & F.col("next_ref").isNotNull())
-    late = (F.col("base") == "C") & (F.col("qual") < 10)
-    valid = F.col("base").isin("C", "T") & (F.col("next_ref") == "G") & ~late
-    return b.select("read_id", "pos", valid.alias("valid_cg"), ((F.col("base") == "C") & (F.col("qual") >= 10)).alias("meth"))
+    plus = F.col("strand") == "+"  # the cytosine is on the read's own strand
+    along = lambda fw, rev: F.when(plus, F.col(fw)).otherwise(Q.complement(F.col(rev)))
+    b = v.base.filter(F.col("ref_base") == F.when(plus, "C").otherwise("G")).withColumns({"b": along("base", "base"), "nxt": along("next_ref", "prev_ref")})
+    late = (F.col("b") == "C") & (F.col("qual") < 10)
+    valid = F.col("b").isin("C", "T") & (F.col("nxt") == "G") & ~late
+    return b.filter(F.col("nxt").isNotNull()).select("read_id", "pos", valid.alias("valid_cg"), ((F.col("b") == "C") & (F.col("qual") >= 10)).alias("meth"))
 
 
 @question("f_context_class", "v_base", """
@@ -172,8 +175,10 @@ def p_opp_a(v):
 
 
 @question("p_context_call", "v_base", """
-WITH k AS (SELECT chrom, pos, next_ref, next_base, COUNT(*) AS n FROM (SELECT *, CASE WHEN off < 60 THEN lead(base) OVER (PARTITION BY read_id ORDER BY off) END AS next_base
-  FROM v_base) WHERE strand = '+' AND ref_base = 'C' AND next_base IS NOT NULL GROUP BY 1, 2, 3, 4),
+WITH y AS (SELECT chrom, pos, strand, ref_base, lead(base) OVER w AS after, lag(base) OVER w AS before, next_ref, prev_ref FROM v_base WINDOW w AS (PARTITION BY read_id ORDER BY off)),
+z AS (SELECT chrom, pos, CASE strand WHEN '+' THEN next_ref ELSE translate(prev_ref, 'ACGT', 'TGCA') END AS next_ref, CASE strand WHEN '+' THEN after ELSE translate(before, 'ACGT', 'TGCA') END AS next_base
+  FROM y WHERE ref_base = CASE strand WHEN '+' THEN 'C' ELSE 'G' END),
+k AS (SELECT chrom, pos, next_ref, next_base, COUNT(*) AS n FROM z WHERE next_base IS NOT NULL GROUP BY 1, 2, 3, 4),
 m AS (SELECT chrom, pos, max(CASE WHEN pos % 3 > 0 THEN next_ref END) AS ref,
   arg_max(next_base, n * 1000 - ascii(next_base)) AS maj, SUM(n) AS total FROM k GROUP BY 1, 2),
 f AS (SELECT m.*, coalesce(ref, maj) AS call FROM m)
@@ -182,11 +187,12 @@ SELECT f.chrom, f.pos, CASE WHEN SUM(CASE WHEN k.next_base = f.call OR (f.call =
 FROM f JOIN k ON f.chrom = k.chrom AND f.pos = k.pos GROUP BY f.chrom, f.pos""")
 def p_context_call(v):
     # the base after each cytosine comes from the read string itself, no window over reads
-    a = v.alignment.filter(F.col("strand") == "+")
-    i = F.filter(F.sequence(F.lit(1), F.length("seq") - 1), lambda i: F.substring(F.col("ref"), i, F.lit(1)) == "C")
-    rows = a.select("chrom", "start_pos", "ref", "seq", F.explode(i).alias("i"))
+    a = R.orient(v.alignment)
+    i = F.filter(F.sequence(F.lit(1), F.length("seq") - 1), lambda i: F.substring(F.col("o_ref"), i, F.lit(1)) == "C")
+    rows = a.select("chrom", "start_pos", "o_strand", "o_ref", "o_seq", F.explode(i).alias("i"))
     at = lambda c: F.substring(F.col(c), F.col("i") + 1, F.lit(1))
-    rows = rows.select("chrom", (F.col("start_pos") + F.col("i") - 1).alias("pos"), at("ref").alias("nr"), at("seq").alias("nb"))
+    pos = F.when(F.col("o_strand") == "+", F.col("start_pos") + F.col("i") - 1).otherwise(F.col("start_pos") + F.length("o_seq") - F.col("i"))
+    rows = rows.select("chrom", pos.alias("pos"), at("o_ref").alias("nr"), at("o_seq").alias("nb"))
     n = {b: F.sum((F.col("nb") == b).cast("bigint")) for b in "ACGT"}
     g = rows.groupBy("chrom", "pos").agg(F.max(F.when(F.col("pos") % 3 > 0, F.col("nr"))).alias("ref"), *[c.alias(f"n_{b}") for b, c in n.items()])
     counts = F.array(*[F.struct(F.col(f"n_{b}").alias("n"), (-F.ascii(F.lit(b))).alias("o"), F.lit(b).alias("b")) for b in "ACGT"])
@@ -312,14 +318,14 @@ def p_chrom_order(v):
 
 
 @question("p_sample_order", "v_cytosine", """
-WITH s AS (SELECT chrom, chrom_pos, unnest(['a', 'b', 'c', 'd']) AS id, unnest([c_reads, t_reads, ag_reads + 2, total_reads_opp + 1]) AS val FROM v_cytosine WHERE sample = 'A'),
-o AS (SELECT *, lag(val) OVER w AS prev FROM s WINDOW w AS (PARTITION BY chrom, chrom_pos ORDER BY val DESC, id)),
-g AS (SELECT *, SUM(CASE WHEN prev IS NULL OR val + 2 >= prev THEN 0 ELSE 1 END) OVER (PARTITION BY chrom, chrom_pos ORDER BY val DESC, id) AS grp FROM o),
-j AS (SELECT chrom, chrom_pos, grp, string_agg(id, '' ORDER BY id) AS tied FROM g GROUP BY 1, 2, 3)
-SELECT chrom, chrom_pos, string_agg(tied, '>' ORDER BY grp) AS code FROM j GROUP BY 1, 2""")
+WITH s AS (SELECT sample, chrom, chrom_pos, unnest(['a', 'b', 'c', 'd']) AS id, unnest([c_reads, t_reads, ag_reads + 2, total_reads_opp + 1]) AS val FROM v_cytosine),
+o AS (SELECT *, lag(val) OVER w AS prev FROM s WINDOW w AS (PARTITION BY sample, chrom, chrom_pos ORDER BY val DESC, id)),
+g AS (SELECT *, SUM(CASE WHEN prev IS NULL OR val + 2 >= prev THEN 0 ELSE 1 END) OVER (PARTITION BY sample, chrom, chrom_pos ORDER BY val DESC, id) AS grp FROM o),
+j AS (SELECT sample, chrom, chrom_pos, grp, string_agg(id, '' ORDER BY id) AS tied FROM g GROUP BY 1, 2, 3, 4)
+SELECT sample, chrom, chrom_pos, string_agg(tied, '>' ORDER BY grp) AS code FROM j GROUP BY 1, 2, 3""")
 def p_sample_order(v):
     vals = {"a": F.col("c_reads"), "b": F.col("t_reads"), "c": F.col("ag_reads") + 2, "d": F.col("total_reads_opp") + 1}
-    return v.cytosine.filter(F.col("sample") == "A").select("chrom", "chrom_pos", lookups.sample_order_code(vals, 2).alias("code"))
+    return v.cytosine.select("sample", "chrom", "chrom_pos", lookups.sample_order_code(vals, 2).alias("code"))
 
 
 @question("p_barcode_hamming", "v_alignment", """

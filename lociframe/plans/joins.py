@@ -239,12 +239,13 @@ def asm_overlap(v):
 
 
 @question("j_allele_specific", "v_base", f"""
-WITH k AS ({READS_SQL}), s AS (SELECT read_id, pos AS snp_pos, base FROM v_base WHERE pos % 37 = 0)
+WITH k AS ({READS_SQL}), s AS (SELECT read_id, pos AS snp_pos, base FROM v_base JOIN (SELECT chrom, pos FROM v_base GROUP BY 1, 2 HAVING COUNT(DISTINCT base) > 1) USING (chrom, pos))
 SELECT k.chrom, k.chrom_pos, k.strand, s.snp_pos, s.base, CAST(SUM(c_reads + c_reads_nonconv) AS BIGINT) AS c_reads, CAST(SUM(t_reads) AS BIGINT) AS t_reads
 FROM k JOIN s ON s.read_id = k.read_id AND k.chrom_pos <> s.snp_pos AND abs(k.chrom_pos - s.snp_pos) <= 50 GROUP BY 1, 2, 3, 4, 5""")
 def allele_specific(v):
     k = read_cytosines(v.base).select("read_id", "chrom", "strand", "chrom_pos", (F.col("c_reads") + F.col("c_reads_nonconv")).alias("c"), F.col("t_reads").alias("t"))
-    s = v.base.filter(F.col("pos") % 37 == 0).select("read_id", F.col("pos").alias("snp_pos"), "base")
+    variable = v.base.groupBy("chrom", "pos").agg(F.min("base").alias("a"), F.max("base").alias("b")).filter("a <> b").select("chrom", "pos")
+    s = v.base.join(variable, ["chrom", "pos"]).select("read_id", F.col("pos").alias("snp_pos"), "base")
     return J.allele_counts(k, s, 50)
 
 
@@ -272,16 +273,15 @@ def island_flag(v):
 
 
 @question("j_orient_by_motif", f"{FEAT} v_seq", """
-WITH s AS (SELECT f.feat_id, substring(q.seq, 1 + f.start_pos % 40, 19) AS sub FROM v_feature f JOIN v_seq q ON q.seq_id = f.feat_id % (SELECT COUNT(*) FROM documents)),
+WITH s AS (SELECT f.feat_id, substring(q.seq, CAST(1 + f.start_pos % greatest(length(q.seq) - 18, 1) AS INT), 19) AS sub FROM v_feature f JOIN v_seq q ON q.seq_id = f.feat_id % (SELECT COUNT(*) FROM documents)),
 r AS (SELECT feat_id, sub, reverse(translate(sub, 'ACGT', 'TGCA')) AS rc FROM s),
 m AS (SELECT * FROM (VALUES (5, 'CA'), (9, 'AG'), (15, 'CA')) AS m(p, b)),
 n AS (SELECT feat_id, SUM(CASE WHEN substring(sub, p, 2) = b THEN 2 ELSE 0 END) - SUM(CASE WHEN substring(rc, p, 2) = b THEN 2 ELSE 0 END) AS d FROM r, m GROUP BY 1)
 SELECT feat_id, CASE WHEN d >= 2 THEN '+' WHEN d <= -2 THEN '-' ELSE '.' END AS new_strand FROM n""")
 def orient_by_motif(v):
     n = v.documents.agg(F.count(F.lit(1))).scalar()
-    head = v.seq.select("seq_id", F.substring("seq", 1, 58).alias("seq"))  # all that the pieces reach
-    f = v.feature.withColumn("seq_id", F.col("feat_id") % n).join(head, "seq_id")
-    sub = F.substring(F.col("seq"), 1 + F.col("start_pos") % 40, F.lit(19))
+    f = v.feature.withColumn("seq_id", F.col("feat_id") % n).join(v.seq.select("seq_id", "seq"), "seq_id")
+    sub = F.substring(F.col("seq"), (1 + F.col("start_pos") % F.greatest(F.length("seq") - 18, F.lit(1))).cast("int"), F.lit(19))
     return f.select("feat_id", Q.strand_by_evidence(sub, margin=2).alias("new_strand"))
 
 

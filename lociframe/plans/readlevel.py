@@ -93,10 +93,13 @@ def lane_metrics(v):
     return R.lane_metrics(v.read.withColumn("lane", F.col("read_id") % 8), "lane")
 
 
-@question("a_quality_matrix", "v_base", """
-SELECT read_id, max(qual) FILTER (WHERE cycle = 1) AS c1, max(qual) FILTER (WHERE cycle = 2) AS c2, max(qual) FILTER (WHERE cycle = 60) AS c60 FROM v_base GROUP BY 1""")
+CYCLES = range(1, 61)
+
+
+@question("a_quality_matrix", "v_base", f"""
+SELECT read_id, {", ".join(f"max(qual) FILTER (WHERE cycle = {c}) AS c{c}" for c in CYCLES)} FROM v_base GROUP BY 1""")
 def quality_matrix(v):
-    return R.base_matrix(v.base, "qual", [1, 2, 60])
+    return R.base_matrix(v.base, "qual", CYCLES)
 
 
 @question("a_adapter_trim", "v_alignment", """

@@ -78,12 +78,12 @@ def bed_lines(v):
 
 
 @question("s_wig_lines", "v_cytosine", """
-WITH m AS (SELECT chrom, chrom_pos, c_reads / CAST(nullif(c_reads + t_reads, 0) AS DOUBLE) AS f FROM v_cytosine WHERE sample = 'A')
+WITH m AS (SELECT concat(sample, '_', chrom) AS chrom, chrom_pos, c_reads / CAST(nullif(c_reads + t_reads, 0) AS DOUBLE) AS f FROM v_cytosine)
 SELECT chrom, CAST(chrom_pos AS BIGINT) AS ord, concat(CAST(chrom_pos AS VARCHAR), chr(9), CAST(CAST(FLOOR(100.0 * f + 0.5) AS BIGINT) AS VARCHAR)) AS value
 FROM m WHERE f IS NOT NULL
 UNION ALL SELECT DISTINCT chrom, CAST(-1 AS BIGINT), concat('variableStep chrom=', chrom) FROM m WHERE f IS NOT NULL""")
 def wig_lines(v):
-    d = v.cytosine.filter(F.col("sample") == "A").withColumn("f", M.frac_meth()).filter(F.col("f").isNotNull())
+    d = v.cytosine.withColumn("f", M.frac_meth()).filter(F.col("f").isNotNull()).withColumn("chrom", F.concat_ws("_", "sample", "chrom"))
     return tracks.variable_step_lines(d, "chrom_pos", F.floor(F.lit(100.0) * F.col("f") + 0.5).cast("bigint"))
 
 
@@ -126,18 +126,19 @@ def emit_cytosines(v):
 
 
 @question("a_bismark_bed", "v_base", """
-WITH c AS (SELECT chrom, pos, CASE WHEN base = 'C' THEN '+' ELSE '-' END AS state,
-  CASE WHEN next_ref = 'G' THEN CASE WHEN base = 'C' THEN 'Z' ELSE 'z' END
-       WHEN qual < 5 THEN 'Z' ELSE CASE WHEN base = 'C' THEN 'H' ELSE 'h' END END AS letter
-  FROM v_base WHERE strand = '+' AND ref_base = 'C'),
+WITH c AS (SELECT chrom, pos, CASE WHEN base = ref_base THEN '+' ELSE '-' END AS state,
+  CASE WHEN CASE strand WHEN '+' THEN next_ref = 'G' ELSE prev_ref = 'C' END THEN CASE WHEN base = ref_base THEN 'Z' ELSE 'z' END
+       WHEN qual < 5 THEN 'Z' ELSE CASE WHEN base = ref_base THEN 'H' ELSE 'h' END END AS letter
+  FROM v_base WHERE ref_base = CASE strand WHEN '+' THEN 'C' ELSE 'G' END),
 g AS (SELECT chrom, pos, COUNT(*) AS n, SUM(CASE WHEN state = '+' THEN 1 ELSE 0 END) AS n_meth FROM c
   WHERE (state = '+' AND letter IN ('Z', 'X', 'H')) OR (state = '-' AND letter IN ('z', 'x', 'h')) GROUP BY 1, 2)
 SELECT chrom, pos AS start_pos, pos + 1 AS end_pos, n_meth / CAST(n AS DOUBLE) AS meth FROM g
 WHERE n >= 2 AND n_meth / CAST(n AS DOUBLE) >= 0.5""")
 def bismark_bed(v):
-    b = v.base.filter((F.col("strand") == "+") & (F.col("ref_base") == "C"))
-    c = F.col("base") == "C"
-    letter = F.when(F.col("next_ref") == "G", F.when(c, "Z").otherwise("z")).when(F.col("qual") < 5, "Z").otherwise(
+    plus = F.col("strand") == "+"  # reads speak of the cytosines of their own strand
+    b = v.base.filter(F.col("ref_base") == F.when(plus, "C").otherwise("G"))
+    c = F.col("base") == F.col("ref_base")
+    letter = F.when(F.when(plus, F.col("next_ref") == "G").otherwise(F.col("prev_ref") == "C"), F.when(c, "Z").otherwise("z")).when(F.col("qual") < 5, "Z").otherwise(
         F.when(c, "H").otherwise("h"))
     calls = b.select("chrom", "pos", F.when(c, "+").otherwise("-").alias("state"), letter.alias("letter"))
     return cytosines.bismark_positions(calls, 2, 0.5)

@@ -16,9 +16,9 @@ C, FEAT = "v_cytosine", "v_feature"
 
 
 @question("u_combine_tracks", f"{C} v_read", """
-SELECT chrom, chrom_pos AS pos, 'cytosine' AS source FROM v_cytosine WHERE sample = 'A' UNION ALL SELECT chrom, start_pos, 'read' FROM v_read""")
+SELECT chrom, chrom_pos AS pos, 'cytosine' AS source FROM v_cytosine UNION ALL SELECT chrom, start_pos, 'read' FROM v_read""")
 def combine_tracks(v):
-    return U.combine_tracks({"cytosine": v.cytosine.filter(F.col("sample") == "A").select("chrom", F.col("chrom_pos").alias("pos")),
+    return U.combine_tracks({"cytosine": v.cytosine.select("chrom", F.col("chrom_pos").alias("pos")),
                              "read": v.read.select("chrom", F.col("start_pos").alias("pos"))})
 
 

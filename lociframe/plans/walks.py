@@ -127,13 +127,13 @@ def window_track(v):
 
 
 @question("w_smooth", C, """
-WITH t AS (SELECT chrom, chrom_pos AS pos, CAST(c_reads AS DOUBLE) AS value FROM v_cytosine WHERE sample = 'A'), z AS (SELECT chrom, min(pos) AS lo, max(pos) AS hi FROM t GROUP BY 1),
-e AS (SELECT t.chrom, lo, unnest(generate_series(pos, least(pos + 19, hi))) AS we, value FROM t JOIN z ON z.chrom = t.chrom WHERE pos >= lo + 19),
-g AS (SELECT chrom, we - 19 + 9 AS centre, SUM(value) / least(20, we - (lo + 19) + 1) AS value FROM e GROUP BY chrom, we, lo)
-SELECT chrom, CAST(centre // 5 AS BIGINT) AS pos, ROUND(value, 6) AS value FROM g WHERE centre % 5 = 0 AND value > 0.2""")
+WITH t AS (SELECT sample, chrom, chrom_pos AS pos, CAST(c_reads AS DOUBLE) AS value FROM v_cytosine), z AS (SELECT sample, chrom, min(pos) AS lo, max(pos) AS hi FROM t GROUP BY 1, 2),
+e AS (SELECT t.sample, t.chrom, lo, unnest(generate_series(pos, least(pos + 19, hi))) AS we, value FROM t JOIN z ON z.sample = t.sample AND z.chrom = t.chrom WHERE pos >= lo + 19),
+g AS (SELECT sample, chrom, we - 19 + 9 AS centre, SUM(value) / least(20, we - (lo + 19) + 1) AS value FROM e GROUP BY sample, chrom, we, lo)
+SELECT sample, chrom, CAST(centre // 5 AS BIGINT) AS pos, ROUND(value, 6) AS value FROM g WHERE centre % 5 = 0 AND value > 0.2""")
 def smooth(v):
-    t = v.cytosine.filter(F.col("sample") == "A").select("chrom", F.col("chrom_pos").alias("pos"), F.col("c_reads").cast("double").alias("value"))
-    return rounded(W.smooth(t, 20, 0.2, step=5), "value")
+    t = v.cytosine.select("sample", "chrom", F.col("chrom_pos").alias("pos"), F.col("c_reads").cast("double").alias("value"))
+    return rounded(W.smooth(t, 20, 0.2, step=5, keys=("sample", "chrom")), "value")
 
 
 SIZES = "z AS (SELECT chrom, CAST(max(chrom_pos) AS BIGINT) AS length FROM v_cytosine GROUP BY 1)"
@@ -144,11 +144,12 @@ def sizes(v):
 
 
 @question("w_cpg_density", C, f"""
-WITH {SIZES}, c AS (SELECT chrom, length, unnest(generate_series(1, length, 40)) AS centre FROM z), w AS (SELECT *, greatest(centre - 50, 1) AS s, least(centre + 49, length) AS e FROM c)
-SELECT w.chrom, CAST(w.centre AS BIGINT) AS centre, COUNT(k.chrom_pos) AS n, CAST(FLOOR(100.0 * (COUNT(k.chrom_pos) / 2.0) / max(e - s + 1) + 0.5) AS BIGINT) AS density, ROUND(avg({FM}), 6) AS mean_meth
-FROM w LEFT JOIN v_cytosine k ON k.sample = 'A' AND k.chrom = w.chrom AND k.chrom_pos BETWEEN s AND e GROUP BY 1, 2""")
+WITH {SIZES}, c AS (SELECT sample, chrom, length, unnest(generate_series(1, length, 40)) AS centre FROM z JOIN (SELECT DISTINCT sample, chrom FROM v_cytosine) USING (chrom)), w AS (SELECT *, greatest(centre - 50, 1) AS s, least(centre + 49, length) AS e FROM c)
+SELECT w.sample, w.chrom, CAST(w.centre AS BIGINT) AS centre, COUNT(k.chrom_pos) AS n, CAST(FLOOR(100.0 * (COUNT(k.chrom_pos) / 2.0) / max(e - s + 1) + 0.5) AS BIGINT) AS density, ROUND(avg({FM}), 6) AS mean_meth
+FROM w LEFT JOIN v_cytosine k ON k.sample = w.sample AND k.chrom = w.chrom AND k.chrom_pos BETWEEN s AND e GROUP BY 1, 2, 3""")
 def cpg_density(v):
-    return rounded(W.stepped_density(v.cytosine.filter(F.col("sample") == "A"), sizes(v), 100, 40), "mean_meth")
+    lengths = v.cytosine.select("sample", "chrom").distinct().join(sizes(v), "chrom")
+    return rounded(W.stepped_density(v.cytosine, lengths, 100, 40, keys=("sample", "chrom")), "mean_meth")
 
 
 @question("w_stretch_window", C, f"""
@@ -172,11 +173,11 @@ def boundary_density(v):
 
 
 @question("w_peak_runs", C, """
-WITH t AS (SELECT chrom, chrom_pos, c_reads >= 4 AS ok FROM v_cytosine WHERE sample = 'A'), b AS (SELECT *, SUM(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY chrom ORDER BY chrom_pos) AS g FROM t)
-SELECT chrom, CASE WHEN min(chrom_pos) - 10 = 0 THEN 1 ELSE min(chrom_pos) - 10 END AS start_pos, max(chrom_pos) + 10 AS end_pos, COUNT(*) AS n FROM b WHERE ok GROUP BY chrom, g HAVING COUNT(*) >= 3""")
+WITH t AS (SELECT sample, chrom, chrom_pos, c_reads >= 4 AS ok FROM v_cytosine), b AS (SELECT *, SUM(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY sample, chrom ORDER BY chrom_pos) AS g FROM t)
+SELECT sample, chrom, CASE WHEN min(chrom_pos) - 10 = 0 THEN 1 ELSE min(chrom_pos) - 10 END AS start_pos, max(chrom_pos) + 10 AS end_pos, COUNT(*) AS n FROM b WHERE ok GROUP BY sample, chrom, g HAVING COUNT(*) >= 3""")
 def peak_runs(v):
-    t = v.cytosine.filter(F.col("sample") == "A").select("chrom", F.col("chrom_pos").alias("pos"), "c_reads")
-    return W.peak_runs(t, F.col("c_reads") >= 4, 10, 3)
+    t = v.cytosine.select("sample", "chrom", F.col("chrom_pos").alias("pos"), "c_reads")
+    return W.peak_runs(t, F.col("c_reads") >= 4, 10, 3, keys=("sample", "chrom"))
 
 
 @question("w_fill_gaps", FEAT, """
