@@ -289,7 +289,7 @@ def asm_fisher(v):
 
 SNP = """n AS (SELECT chrom, pos, base, COUNT(*) AS n FROM v_base GROUP BY 1, 2, 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY chrom, pos ORDER BY n DESC, base) AS rn, SUM(n) OVER (PARTITION BY chrom, pos) AS depth FROM n),
-k AS (SELECT a.chrom, a.pos, CAST(a.depth AS BIGINT) AS depth, a.base AS base_1, a.n AS n_1, coalesce(b.n, 0) AS n_2 FROM r a LEFT JOIN r b ON b.chrom = a.chrom AND b.pos = a.pos AND b.rn = 2 WHERE a.rn = 1),
+k AS (SELECT chrom, pos, CAST(max(depth) AS BIGINT) AS depth, max(base) FILTER (WHERE rn = 1) AS base_1, max(n) FILTER (WHERE rn = 1) AS n_1, coalesce(max(n) FILTER (WHERE rn = 2), 0) AS n_2 FROM r GROUP BY 1, 2),
 h AS (SELECT *, n_1 >= 1 AND depth - n_1 >= 1 AND (depth <= 10 OR (n_1 / CAST(depth AS DOUBLE) >= 0.2 AND n_2 / CAST(depth AS DOUBLE) >= 0.2)) AS het FROM k)"""
 
 

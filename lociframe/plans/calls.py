@@ -62,8 +62,9 @@ def confident_variants(v):
 
 
 TYPES_SQL = """hm AS (SELECT chrom, pos, CASE WHEN substring(genotype, 1, 1) = substring(genotype, 2, 1) THEN substring(genotype, 1, 1) ELSE 'N' END AS b FROM cl),
-nb AS (SELECT h.*, a.b AS m2, b.b AS m1, c.b AS p1, d.b AS p2 FROM hm h LEFT JOIN hm a ON a.chrom = h.chrom AND a.pos = h.pos - 2 LEFT JOIN hm b ON b.chrom = h.chrom AND b.pos = h.pos - 1
-  LEFT JOIN hm c ON c.chrom = h.chrom AND c.pos = h.pos + 1 LEFT JOIN hm d ON d.chrom = h.chrom AND d.pos = h.pos + 2 WHERE h.b IN ('C', 'G')),
+nw AS (SELECT *, max(b) OVER (PARTITION BY chrom ORDER BY pos RANGE BETWEEN 2 PRECEDING AND 2 PRECEDING) AS m2,
+  max(b) OVER (PARTITION BY chrom ORDER BY pos RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS m1, max(b) OVER (PARTITION BY chrom ORDER BY pos RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS p1,
+  max(b) OVER (PARTITION BY chrom ORDER BY pos RANGE BETWEEN 2 FOLLOWING AND 2 FOLLOWING) AS p2 FROM hm), nb AS (SELECT * FROM nw WHERE b IN ('C', 'G')),
 ff AS (SELECT chrom, pos, CASE WHEN b = 'C' THEN '+' ELSE '-' END AS strand, CASE WHEN b = 'C' THEN p1 ELSE translate(m1, 'ACGT', 'TGCA') END AS f, CASE WHEN b = 'C' THEN p2 ELSE translate(m2, 'ACGT', 'TGCA') END AS s FROM nb),
 ty AS (SELECT chrom, pos, strand, CASE WHEN f = 'G' THEN 'CG' WHEN f IS NULL OR s IS NULL THEN 'C' WHEN s = 'G' THEN 'CHG' ELSE 'CHH' END AS type FROM ff)"""
 

@@ -78,8 +78,8 @@ def f_read_valid(v):
 
 @question("f_context_class", "v_base", """
 WITH r AS (SELECT DISTINCT chrom, pos, ref_base FROM v_base),
-n AS (SELECT r.*, a.ref_base AS n1, b.ref_base AS n2 FROM r
-  LEFT JOIN r a ON a.chrom = r.chrom AND a.pos = r.pos + 1 LEFT JOIN r b ON b.chrom = r.chrom AND b.pos = r.pos + 2)
+n AS (SELECT *, max(ref_base) OVER (PARTITION BY chrom ORDER BY pos RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS n1,
+  max(ref_base) OVER (PARTITION BY chrom ORDER BY pos RANGE BETWEEN 2 FOLLOWING AND 2 FOLLOWING) AS n2 FROM r)
 SELECT chrom, pos, CASE WHEN n1 = 'G' THEN 'CG' WHEN n1 IS NULL OR n2 IS NULL THEN 'C' WHEN n2 = 'G' THEN 'CHG' ELSE 'CHH' END AS context
 FROM n WHERE ref_base = 'C'""")
 def f_context_class(v):
@@ -90,8 +90,8 @@ def f_context_class(v):
 
 @question("f_nmer", "v_base", """
 WITH r AS (SELECT DISTINCT chrom, pos, ref_base FROM v_base)
-SELECT r.chrom, r.pos FROM r JOIN r a ON a.chrom = r.chrom AND a.pos = r.pos + 1 JOIN r b ON b.chrom = r.chrom AND b.pos = r.pos + 2
-WHERE concat(r.ref_base, a.ref_base, b.ref_base) = 'GCA'""")
+SELECT chrom, pos FROM (SELECT *, max(ref_base) OVER (PARTITION BY chrom ORDER BY pos RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS n1,
+  max(ref_base) OVER (PARTITION BY chrom ORDER BY pos RANGE BETWEEN 2 FOLLOWING AND 2 FOLLOWING) AS n2 FROM r) WHERE ref_base = 'G' AND n1 = 'C' AND n2 = 'A'""")
 def f_nmer(v):
     n = lookups.base_neighbours(v.base.select("chrom", "pos", "ref_base").distinct(), 0, 2)
     return n.filter(F.concat("ref_base", "ref_base_p1", "ref_base_p2") == "GCA").select("chrom", "pos")

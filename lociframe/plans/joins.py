@@ -177,9 +177,9 @@ CALLS_SQL = f"SELECT read_id, chrom, strand, chrom_pos, c_reads + c_reads_noncon
 
 
 @question("j_pairs_by_read", "v_base", f"""
-WITH k AS ({CALLS_SQL})
-SELECT a.read_id, a.chrom, a.strand, a.chrom_pos AS pos_1, b.chrom_pos AS pos_2, a.meth AS meth_1, b.meth AS meth_2
-FROM k a JOIN k b ON a.read_id = b.read_id AND b.chrom_pos > a.chrom_pos AND b.chrom_pos <= a.chrom_pos + 12""")
+WITH k AS ({CALLS_SQL}),
+p AS (SELECT *, unnest(list({{'p': chrom_pos, 'm': meth}}) OVER (PARTITION BY read_id ORDER BY chrom_pos RANGE BETWEEN 1 FOLLOWING AND 12 FOLLOWING)) AS b FROM k)
+SELECT read_id, chrom, strand, chrom_pos AS pos_1, b.p AS pos_2, meth AS meth_1, b.m AS meth_2 FROM p""")
 def pairs_by_read(v):
     return J.read_pairs(calls(v), 12).select("read_id", "chrom", "strand", "pos_1", "pos_2", "meth_1", "meth_2")
 
@@ -199,9 +199,8 @@ WITH f AS (SELECT * FROM v_feature WHERE feat_type = '1-URGENT'),
 h AS (SELECT c.sample, c.chrom, c.chrom_pos, f.start_pos, f.end_pos, row_number() OVER (PARTITION BY c.sample, c.chrom, c.chrom_pos ORDER BY f.start_pos, f.end_pos DESC) AS rn
   FROM v_cytosine c JOIN f ON f.chrom = c.chrom AND c.chrom_pos BETWEEN f.start_pos AND f.end_pos),
 m AS (SELECT c.sample, c.chrom, c.chrom_pos, h.start_pos AS s, h.end_pos AS e FROM v_cytosine c LEFT JOIN h ON h.sample = c.sample AND h.chrom = c.chrom AND h.chrom_pos = c.chrom_pos AND rn = 1)
-SELECT a.sample, a.chrom, a.chrom_pos AS pos_1, b.chrom_pos AS pos_2, b.chrom_pos - a.chrom_pos AS dist, CASE WHEN a.s IS NOT NULL THEN b.chrom_pos - a.e ELSE b.s - a.chrom_pos END AS edge_dist
-FROM m a JOIN m b ON a.sample = b.sample AND a.chrom = b.chrom AND b.chrom_pos > a.chrom_pos AND b.chrom_pos <= a.chrom_pos + 25
-WHERE (a.s IS NULL) <> (b.s IS NULL)""")
+SELECT sample, chrom, chrom_pos AS pos_1, b.p AS pos_2, b.p - chrom_pos AS dist, CASE WHEN s IS NOT NULL THEN b.p - e ELSE b.s - chrom_pos END AS edge_dist
+FROM (SELECT *, unnest(list({'p': chrom_pos, 's': s}) OVER (PARTITION BY sample, chrom ORDER BY chrom_pos RANGE BETWEEN 1 FOLLOWING AND 25 FOLLOWING)) AS b FROM m) WHERE (s IS NULL) <> (b.s IS NULL)""")
 def pairs_across_boundary(v):
     return J.pairs_across_boundary(v.cytosine.select("sample", "chrom", "chrom_pos"), typed(v, "1-URGENT"), 25)
 

@@ -243,8 +243,8 @@ def multi_meth(v):
 
 @question("w_context_window", "v_base", """
 WITH r AS (SELECT DISTINCT chrom, pos, ref_base FROM v_base)
-SELECT r.chrom, r.pos, r.ref_base, a.ref_base AS ref_base_m2, b.ref_base AS ref_base_m1, c.ref_base AS ref_base_p1 FROM r LEFT JOIN r a ON a.chrom = r.chrom AND a.pos = r.pos - 2
-LEFT JOIN r b ON b.chrom = r.chrom AND b.pos = r.pos - 1 LEFT JOIN r c ON c.chrom = r.chrom AND c.pos = r.pos + 1""")
+SELECT chrom, pos, ref_base, max(ref_base) OVER (PARTITION BY chrom ORDER BY pos RANGE BETWEEN 2 PRECEDING AND 2 PRECEDING) AS ref_base_m2,
+  max(ref_base) OVER (PARTITION BY chrom ORDER BY pos RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS ref_base_m1, max(ref_base) OVER (PARTITION BY chrom ORDER BY pos RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS ref_base_p1 FROM r""")
 def context_window(v):
     from lociframe.operators.lookups import base_neighbours
 
