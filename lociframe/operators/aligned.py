@@ -6,16 +6,16 @@ import heapq
 import math
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociframe.functions import intervals as I
-from lociframe.operators.aggregates import FRACTION
+from lociframe.operators.aggregates import FRACTION, chi_square_log10_p
 from lociframe.operators.joins import offsets_to_features
 from lociframe.operators.rangejoin import interval_sums
 from lociframe.operators.tiles import islands, merge_intervals, position_halo, tile_window
+from lociframe.session import settle
 
 
 def aligned_average(points: DataFrame, features: DataFrame, flank: int, pos: str, value: Column, by: Sequence[str] = (),
@@ -123,38 +123,40 @@ def nucleosome_score(centres: DataFrame, reads: DataFrame, cycle: int = 73, half
     return g.withColumn("score", score)
 
 
-def rank_sum_p(mid: np.ndarray, adj: np.ndarray) -> float:
-    """One-sided rank-sum p that `mid` is larger (normal approximation with tie correction)."""
-    n1, n2 = len(mid), len(adj)
-    both = np.concatenate([mid, adj])
-    values, inverse, counts = np.unique(both, return_inverse=True, return_counts=True)
-    ends = np.cumsum(counts)
-    ranks = (ends - (counts - 1) / 2.0)[inverse]
-    u = ranks[:n1].sum() - n1 * (n1 + 1) / 2.0
-    n = n1 + n2
-    ties = ((counts**3 - counts).sum()) / (n * (n - 1)) if n > 1 else 0.0
-    var = n1 * n2 / 12.0 * (n + 1 - ties)
-    if var <= 0:
-        return 1.0
-    z = (u - n1 * n2 / 2.0 - 0.5) / math.sqrt(var)
-    return 0.5 * math.erfc(z / math.sqrt(2.0))
+def _count(values: Column, test) -> Column:
+    return F.size(F.filter(values, test))
 
 
-def ks_p(mid: np.ndarray, adj: np.ndarray) -> float:
-    """One-sided two-sample Smirnov p that `mid` is larger (asymptotic)."""
-    grid = np.unique(np.concatenate([mid, adj]))
-    d = np.max(np.searchsorted(np.sort(adj), grid, side="right") / len(adj) - np.searchsorted(np.sort(mid), grid, side="right") / len(mid))
-    return float(math.exp(-2.0 * max(d, 0.0) ** 2 * len(mid) * len(adj) / (len(mid) + len(adj))))
+def rank_sum_p(mid: Column, adj: Column) -> Column:
+    """One-sided rank sum p that the values of array `mid` are larger, normal with ties and continuity corrected.
 
+    1 where all values are equal; null where an array is empty or null.
+    """
+    def score(v: Column) -> Column:
+        m, a, both = v["m"], v["a"], v["both"]
+        n1, n2 = F.size(m), F.size(a)
+        n = (n1 + n2).cast("double")
+        u = F.aggregate(m, F.lit(0.0), lambda acc, x: acc + _count(a, lambda y: y < x) + 0.5 * _count(a, lambda y: y == x))
+        ties = F.aggregate(both, F.lit(0.0), lambda acc, x: acc + F.pow(_count(both, lambda y: y == x).cast("double"), F.lit(2.0)) - 1) / (n * (n - 1))
+        var = n1 * n2 / 12.0 * (n + 1 - ties)
+        return F.struct(u.alias("u"), (n1 * n2 / 2.0 + 0.5).alias("mean"), var.alias("var"))
+
+    def p(x: Column) -> Column:
+        tail = 0.5 * F.pow(F.lit(10.0), chi_square_log10_p(x["chi"]))
+        return F.when(x["chi"].isNull(), 1.0).when(x["up"], tail).otherwise(1 - tail)
 
-def _test_column(kind: str):
-    fn = rank_sum_p if kind == "rank" else ks_p
+    # each step reads the one before it as a value, through an array of one
+    one = F.transform(F.array(F.struct(mid.alias("m"), adj.alias("a"), F.concat(mid, adj).alias("both"))), score)
+    one = F.transform(one, lambda x: F.struct((F.pow(x["u"] - x["mean"], F.lit(2.0)) / F.when(x["var"] > 1e-9, x["var"])).alias("chi"), (x["u"] >= x["mean"]).alias("up")))
+    return F.when((F.size(mid) > 0) & (F.size(adj) > 0), F.get(F.transform(one, p), F.lit(0)))
 
-    @F.pandas_udf("double")
-    def test(mid: pd.Series, adj: pd.Series) -> pd.Series:
-        return pd.Series([fn(np.asarray(m, float), np.asarray(a, float)) if len(m) and len(a) else None for m, a in zip(mid, adj)], dtype="float64")
 
-    return test
+def ks_p(mid: Column, adj: Column) -> Column:
+    """One-sided two-sample Smirnov p that the values of array `mid` are larger (asymptotic); null where an array is empty or null."""
+    n1, n2 = F.size(mid).cast("double"), F.size(adj).cast("double")
+    step = lambda t: _count(adj, lambda y: y <= t) / n2 - _count(mid, lambda y: y <= t) / n1
+    d = F.greatest(F.array_max(F.transform(F.concat(mid, adj), step)), F.lit(0.0))
+    return F.when((n1 > 0) & (n2 > 0), F.exp(-2.0 * d * d * n1 * n2 / (n1 + n2)))
 
 
 def depletion_windows(sites: DataFrame, window: int = 147, linker: int = 30, min_depth: int = 1, keys: Sequence[str] = ("chrom",),
@@ -184,8 +186,8 @@ def depleted_regions(sites: DataFrame, window: int = 147, linker: int = 30, min_
     w = w.filter(F.size("mid") >= min_sites)
     usable = {s: F.size(s) >= min_sites_linker for s in ("pre", "post")}
     if test:
-        fn = _test_column(test)
-        ok = [usable[s] & (F.coalesce(fn("mid", s), F.lit(1.0)) < alpha) for s in usable]
+        fn = {"rank": rank_sum_p, "ks": ks_p}[test]
+        ok = [usable[s] & (F.coalesce(F.when(usable[s], fn(F.col("mid"), F.col(s))), F.lit(1.0)) < alpha) for s in usable]
     else:
         ok = [usable[s] & (mean("mid") >= threshold) & (mean("mid") - mean(s) >= diff) for s in usable]
     good = w.filter(ok[0] | ok[1]).select(*keys, (F.col("end_pos") - window + 1).alias("start_pos"), "end_pos")
@@ -223,6 +225,24 @@ def read_lanes(reads: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFrame:
     return ordered.mapInPandas(walk, schema).drop("island")
 
 
+def read_tiers(reads: DataFrame, bounds: Sequence[float], value: str = "meth", keys: Sequence[str] = ("chrom",)) -> DataFrame:
+    """Lanes per tier of methylation: tier i holds the reads with bounds[i] < value <= bounds[i + 1].
+
+    Adds tier, lane (lowest free one within the tier) and level, the lane counted over all tiers of
+    the keys from the lowest. Reads outside the bounds, or without a value, are left out; bounds may be
+    infinite.
+    """
+    keys = list(keys)
+    tier = F.lit(None).cast("int")
+    for i, (low, high) in enumerate(zip(bounds, bounds[1:])):
+        tier = F.when((F.col(value) > low) & (F.col(value) <= high), i).otherwise(tier)
+    rows = reads.withColumn("tier", tier).filter(F.col("tier").isNotNull())
+    lanes = settle(read_lanes(rows, [*keys, "tier"]))
+    used = lanes.groupBy(*keys, "tier").agg((F.max("lane") + 1).alias("_n"))  # a row per tier
+    below = used.select(*keys, "tier", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("tier").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_below"))
+    return lanes.join(below, [*keys, "tier"]).withColumn("level", (F.col("lane") + F.col("_below")).cast("int")).drop("_below")
+
+
 def motif_density(motifs: DataFrame, regions: DataFrame, pos: str = "chrom_pos") -> DataFrame:
     """Motifs per 100 bases inside each region (regions: id, chrom, start_pos, end_pos, ...)."""
     s = interval_sums(motifs, regions, {"n": F.lit(1)}, pos)

@@ -104,20 +104,54 @@ def _sites(v):
     return v.cytosine.select("sample", "chrom", "chrom_pos", F.col("c_reads").alias("c"), F.col("t_reads").alias("t"))
 
 
-@question("w_ndr_rank_test")
+TESTED = """WITH s AS (SELECT sample, chrom, chrom_pos, c_reads / CAST(c_reads + t_reads AS DOUBLE) AS m FROM v_cytosine WHERE c_reads + t_reads >= 1),
+w AS (SELECT sample, chrom, chrom_pos AS p, list(m) OVER (PARTITION BY sample, chrom ORDER BY chrom_pos RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) AS mid,
+  list(m) OVER (PARTITION BY sample, chrom ORDER BY chrom_pos RANGE BETWEEN 89 PRECEDING AND 60 PRECEDING) AS pre, list(m) OVER (PARTITION BY sample, chrom ORDER BY chrom_pos RANGE BETWEEN 1 FOLLOWING AND 30 FOLLOWING) AS post FROM s),
+x AS (SELECT sample, chrom, p, mid, unnest([pre, post]) AS adj FROM w WHERE len(mid) >= 5), k AS (SELECT *, len(mid) AS a, len(adj) AS b, list_concat(mid, adj) AS al FROM x WHERE len(adj) >= 3), {test},
+g AS (SELECT DISTINCT sample, chrom, p - 59 AS s, p AS e FROM t WHERE ok),
+l AS (SELECT *, max(e) OVER (PARTITION BY sample, chrom ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM g), f AS (SELECT *, SUM(CASE WHEN pe IS NULL OR s > pe THEN 1 ELSE 0 END) OVER (PARTITION BY sample, chrom ORDER BY e ROWS UNBOUNDED PRECEDING) AS isl FROM l)
+SELECT sample, chrom, min(s) AS start_pos, max(e) AS end_pos FROM f GROUP BY sample, chrom, isl"""
+# p < 0.1 is z > 1.2815515655446004
+RANK = """r AS (SELECT *, list_sum(list_transform(mid, lambda v: len(list_filter(adj, lambda y: y < v)) + 0.5 * len(list_filter(adj, lambda y: y = v)))) AS u,
+  list_sum(list_transform(al, lambda v: pow(len(list_filter(al, lambda y: y = v)), 2) - 1)) AS ties FROM k), n AS (SELECT *, a * b / 12.0::DOUBLE * (a + b + 1 - ties / ((a + b) * (a + b - 1))) AS var FROM r),
+t AS (SELECT *, var > 1e-9 AND (u - a * b / 2.0 - 0.5) / sqrt(greatest(var, 1e-9)) > 1.2815515655446004 AS ok FROM n)"""
+KS = """t AS (SELECT *, exp(-2.0 * pow(greatest(list_max(list_transform(al, lambda v: len(list_filter(adj, lambda y: y <= v)) / b::DOUBLE - len(list_filter(mid, lambda y: y <= v)) / a::DOUBLE)), 0), 2) * a * b / (a + b)) < 0.1 AS ok FROM k)"""
+
+
+@question("w_ndr_rank_test", "v_cytosine", TESTED.format(test=RANK))
 def ndr_rank(v):
     return L.depleted_regions(_sites(v), 60, 30, 5, 3, 1, test="rank", alpha=0.1, keys=KEYS)
 
 
-@question("w_ndr_ks_test")
+@question("w_ndr_ks_test", "v_cytosine", TESTED.format(test=KS))
 def ndr_ks(v):
     return L.depleted_regions(_sites(v), 60, 30, 5, 3, 1, test="ks", alpha=0.1, keys=KEYS)
 
 
-@question("w_read_lanes")
+# one step per read, in order; the state is the end of every lane
+LANES = """WITH RECURSIVE d AS MATERIALIZED (SELECT chrom, read_id, start_pos, CAST(start_pos + mapq + 5 AS INT) AS end_pos, CAST({tier} AS INT) AS tier FROM v_read),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY chrom, tier ORDER BY start_pos, end_pos, read_id) AS rn FROM d),
+r AS (SELECT chrom, tier, rn, 1 AS lane, [end_pos] AS ends FROM o WHERE rn = 1
+  UNION ALL SELECT chrom, tier, rn, lane, CASE WHEN lane > len(ends) THEN list_append(ends, end_pos) ELSE list_concat(ends[: lane - 1], [end_pos], ends[lane + 1 :]) END AS ends FROM (
+    SELECT o.chrom, o.tier, o.rn, o.end_pos, r.ends, coalesce(nullif(list_position(list_transform(r.ends, lambda e: e < o.start_pos), true), 0), len(r.ends) + 1) AS lane
+    FROM r JOIN o ON o.chrom = r.chrom AND o.tier = r.tier AND o.rn = r.rn + 1)),
+w AS (SELECT o.*, CAST(r.lane - 1 AS INT) AS lane FROM o JOIN r ON r.chrom = o.chrom AND r.tier = o.tier AND r.rn = o.rn)"""
+
+
+def _spans(v):
+    return v.read.select("chrom", "read_id", "start_pos", (F.col("start_pos") + F.col("mapq") + 5).cast("int").alias("end_pos"), (F.col("mapq") / 40.0).alias("meth"))
+
+
+@question("w_read_lanes", "v_read", LANES.format(tier=0) + " SELECT chrom, read_id, start_pos, end_pos, lane FROM w")
 def read_lanes(v):
-    r = v.read.select("chrom", "read_id", "start_pos", (F.col("start_pos") + F.col("mapq") + 5).cast("int").alias("end_pos"))
-    return L.read_lanes(r)
+    return L.read_lanes(_spans(v))
+
+
+@question("w_read_tiers", "v_read", LANES.format(tier="CASE WHEN mapq / 40.0::DOUBLE <= 0.3 THEN 0 WHEN mapq / 40.0::DOUBLE <= 0.7 THEN 1 ELSE 2 END") + """,
+n AS (SELECT chrom, tier, max(lane) + 1 AS n FROM w GROUP BY 1, 2), b AS (SELECT chrom, tier, coalesce(SUM(n) OVER (PARTITION BY chrom ORDER BY tier ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM n)
+SELECT w.chrom, read_id, start_pos, end_pos, w.tier, lane, CAST(lane + below AS INT) AS level FROM w JOIN b ON b.chrom = w.chrom AND b.tier = w.tier""")
+def read_tiers(v):
+    return L.read_tiers(_spans(v), [float("-inf"), 0.3, 0.7, float("inf")])
 
 
 @question("a_motif_density", "v_cytosine v_feature", f"""

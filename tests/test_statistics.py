@@ -62,12 +62,31 @@ def test_chi_square(spark):
     assert stat == pytest.approx(2.0)
 
 
-def test_rank_tests():
-    hi, lo = np.array([5.0, 6, 7, 8, 9]), np.array([1.0, 2, 3, 4])
-    assert L.rank_sum_p(hi, lo) == pytest.approx(0.0099, abs=2e-3)
-    assert L.rank_sum_p(lo, hi) > 0.98
-    assert L.rank_sum_p(np.ones(4), np.ones(4)) == 1.0
-    assert L.ks_p(hi, lo) == pytest.approx(math.exp(-2 * 20 / 9), rel=1e-9)
+def plain_rank(mid, adj):
+    both = sorted([*mid, *adj])
+    rank = {x: (2 * both.index(x) + both.count(x) + 1) / 2 for x in both}
+    n1, n2, n = len(mid), len(adj), len(both)
+    u = sum(rank[x] for x in mid) - n1 * (n1 + 1) / 2
+    var = n1 * n2 / 12 * (n + 1 - sum(both.count(x) ** 3 - both.count(x) for x in set(both)) / (n * (n - 1)))
+    return 0.5 * math.erfc((u - n1 * n2 / 2 - 0.5) / math.sqrt(2 * var)) if var > 1e-12 else 1.0
+
+
+def plain_ks(mid, adj):
+    d = max([sum(y <= t for y in adj) / len(adj) - sum(y <= t for y in mid) / len(mid) for t in [*mid, *adj]] + [0])
+    return math.exp(-2 * d * d * len(mid) * len(adj) / (len(mid) + len(adj)))
+
+
+def test_rank_tests(spark):
+    rng = np.random.default_rng(8)
+    rows = [([5.0, 6.0, 7.0, 8.0, 9.0], [1.0, 2.0, 3.0, 4.0]), ([1.0, 2.0, 3.0, 4.0], [5.0, 6.0, 7.0, 8.0, 9.0]), ([1.0] * 4, [1.0] * 4), ([0.0] * 30, [1.0] * 40)]
+    rows += [((rng.integers(0, 6, rng.integers(1, 20)) / 5).tolist(), (rng.integers(0, 6, rng.integers(1, 20)) / 5).tolist()) for _ in range(40)]
+    d = spark.createDataFrame([*rows, ([], [1.0]), (None, [1.0])], "m array<double>, a array<double>")
+    got = d.select("m", "a", L.rank_sum_p(F.col("m"), F.col("a")).alias("r"), L.ks_p(F.col("m"), F.col("a")).alias("k")).collect()
+    assert [(r.r, r.k) for r in got[-2:]] == [(None, None)] * 2
+    for r, (m, a) in zip(got, rows):
+        assert r.r == pytest.approx(plain_rank(m, a), rel=1e-9, abs=1e-15) and r.k == pytest.approx(plain_ks(m, a), rel=1e-12)
+    assert got[0].r == pytest.approx(0.0099, abs=2e-3) and got[1].r > 0.98 and got[2].r == 1.0
+    assert got[0].k == pytest.approx(math.exp(-2 * 20 / 9), rel=1e-9)
 
 
 def test_priors_sum_to_one():
