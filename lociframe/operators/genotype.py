@@ -85,9 +85,40 @@ def prior_columns(ref: Column, het: float = HETEROZYGOSITY, ti_tv: float = TI_TV
     return {g: F.when(F.coalesce(known, F.lit(False)), table(g, known_het)).otherwise(table(g, het)) for g in GENOTYPES}
 
 
-def call_genotypes(likelihoods: DataFrame, het: float = HETEROZYGOSITY, ti_tv: float = TI_TV, known: Column | None = None) -> DataFrame:
-    """Best and second genotype by posterior, their phred ratio and the normalised best posterior."""
-    prior = prior_columns(F.col("ref_base"), het, ti_tv, known)
+def bisulfite_prior_columns(ref: Column, het: float = HETEROZYGOSITY, conversion: float = CONVERSION, ref_error: float = REFERENCE_ERROR) -> dict[str, Column]:
+    """log10 priors that allow for conversion: at a reference C or T, C and T are hardly told apart.
+
+    There the reference genotype and the heterozygotes with it share what is left of its prior without
+    conversion, and the other of CC and TT gets what conversion makes of it.
+    """
+    same, mixed, other, tri = 1 - 1.5 * het, het, het / 2, het * ref_error
+
+    def value(r: str, g: str) -> float:
+        a, b = g
+        if a == b == r:
+            return same * (1 - conversion) if r in "CT" else same
+        if a == b:
+            return other / 3 + (same * conversion if {r, a} == {"C", "T"} else 0.0)
+        if r in g:
+            return same * (1 - conversion) if r in "CT" else (mixed - tri) / 3
+        return tri / 3
+
+    out = {}
+    for g in GENOTYPES:
+        c = None
+        for r in "ACGT":
+            v = F.log10(F.lit(value(r, g)))
+            c = F.when(ref == r, v) if c is None else c.when(ref == r, v)
+        out[g] = c
+    return out
+
+
+def call_genotypes(likelihoods: DataFrame, het: float = HETEROZYGOSITY, ti_tv: float = TI_TV, known: Column | None = None, prior: dict[str, Column] | None = None) -> DataFrame:
+    """Best and second genotype by posterior, their phred ratio and the normalised best posterior.
+
+    `prior` replaces the reference-polarised priors.
+    """
+    prior = prior or prior_columns(F.col("ref_base"), het, ti_tv, known)
     d = likelihoods.withColumns({f"_p{g}": F.col(g) + prior[g] for g in GENOTYPES})
     entry = lambda i, g: F.struct(F.col(f"_p{g}").alias("p"), F.lit(-i).alias("i"), F.lit(g).alias("g"))
     d = d.withColumn("_b", F.greatest(*[entry(i, g) for i, g in enumerate(GENOTYPES)]))
@@ -164,6 +195,46 @@ def cytosine_types(calls: DataFrame) -> DataFrame:
         "chrom", "pos", F.when(plus, "+").otherwise("-").alias("strand"), context_class(F.lit("C"), first, second).alias("type"))
 
 
+def variant_classes(calls: DataFrame) -> DataFrame:
+    """Cytosines that a called variant changes, or whose context it changes.
+
+    Class 1: one of the two alleles is the cytosine itself; 2 and 3: the variant is the first or the
+    second base after it. One row per variant, class and strand with the cytosine's place and the
+    three bases from it under either allele (N where no call is near). The alleles of a homozygous
+    variant are the reference base and the called one. Neighbours are reference bases.
+    """
+    n = base_neighbours(calls, 2, 2)
+    hom = F.substring("genotype", 1, 1) == F.substring("genotype", 2, 1)
+    first, second = F.when(hom, F.col("ref_base")).otherwise(F.substring("genotype", 1, 1)), F.substring("genotype", 2, 1)
+    n = n.filter(F.col("genotype") != F.concat("ref_base", "ref_base")).withColumns({"_a": first, "_b": second})
+
+    def row(klass: int, strand: str) -> Column:
+        sign, own = (1, "C") if strand == "+" else (-1, "G")
+
+        def base(k: int, allele: str) -> Column:
+            """Base k places after the variant along the strand."""
+            at = k * sign
+            c = F.col(allele) if k == 0 else F.coalesce(F.col(f"ref_base_{'p' if at > 0 else 'm'}{abs(at)}"), F.lit("N"))
+            return c if strand == "+" else F.translate(c, "ACGT", "TGCA")
+
+        back = klass - 1
+        hit = (F.col("_a") == own) | (F.col("_b") == own) if back == 0 else F.col(f"ref_base_{'m' if sign > 0 else 'p'}{back}") == own
+        context = lambda allele: F.concat(*[base(k - back, allele) for k in range(3)])
+        return F.when(hit, F.struct(F.lit(klass).alias("class"), F.lit(strand).alias("strand"), (F.col("pos") - sign * back).alias("cytosine_pos"), context("_a").alias("context_a"), context("_b").alias("context_b")))
+
+    rows = F.filter(F.array(*[row(k, s) for k in (1, 2, 3) for s in "+-"]), lambda x: x.isNotNull())
+    return n.select("chrom", "pos", "ref_base", "genotype", "ratio", F.inline(rows))
+
+
+def variant_methylation(bases: DataFrame, calls: DataFrame) -> DataFrame:
+    """`variant_classes` with the C and T reads of each cytosine's own strand."""
+    plus = F.col("strand") == "+"
+    c, t = F.col("base") == F.when(plus, "C").otherwise("G"), F.col("base") == F.when(plus, "T").otherwise("A")
+    reads = bases.groupBy("chrom", F.col("pos").alias("cytosine_pos"), "strand").agg(F.count(F.when(c, 1)).alias("c_reads"), F.count(F.when(t, 1)).alias("t_reads"))
+    out = variant_classes(calls).join(reads, ["chrom", "cytosine_pos", "strand"], "left")
+    return out.withColumns({k: F.coalesce(k, F.lit(0)).cast("bigint") for k in ("c_reads", "t_reads")})
+
+
 def called_methylation(bases: DataFrame, types: DataFrame) -> DataFrame:
     """C and T reads of the cytosine's own strand at called cytosines."""
     j = bases.join(types, ["chrom", "pos", "strand"])
