@@ -86,7 +86,9 @@ def mix(docs: DataFrame, weights: Mapping[str, float], seed: str = SEED, id_col:
     """The rows repeated by their counts in a seeded random order; `copy_col` names a copy number."""
     found = rates(docs, weights, text_col, source_col, target)
     kept = [c for c in docs.columns if c.lower() != (copy_col or "").lower()]
-    number, key = fresh(docs, copy_col or "copy_number", "shuffle_key") if copy_col not in docs.columns else (copy_col, fresh(docs, "shuffle_key")[0])
+    # a clashing input column, in whatever case, is not among the kept ones
+    number = copy_col or fresh(docs, "copy_number")[0]
+    (key,) = fresh(docs.withColumn(number, F.lit(0)), "shuffle_key")
     ident = F.coalesce(F.col(id_col).cast("string"), F.md5(text_col))
     count = copies(found[None], seed, ident)
     for source in weights:

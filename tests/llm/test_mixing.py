@@ -57,3 +57,10 @@ def docs_one():
     from pyspark.sql import functions as F
 
     return F.lit(1)
+
+
+def test_copy_column_clashes_in_any_case(spark):
+    docs = spark.sql("select 1 as doc_id, 'a' as source, 'xyz' as text, 'old' as Copy, 2 as SHUFFLE_KEY")
+    out = mixing.mix(docs, {"a": 0.5}, copy_col="copy", target=30)
+    assert out.columns == ["doc_id", "source", "text", "SHUFFLE_KEY", "copy"]
+    assert [r.copy for r in out.orderBy("copy").collect()] == list(range(1, out.count() + 1))
