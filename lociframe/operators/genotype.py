@@ -153,9 +153,14 @@ def alternate_allele(genotype: Column, runner_up: Column, ref: Column) -> Column
     return out
 
 
-def strand_bias(likelihoods: DataFrame, het: float = HETEROZYGOSITY, ti_tv: float = TI_TV) -> DataFrame:
-    """Strand score from forward-only and reverse-only posteriors of reference, mixed and variant genotype."""
+def strand_bias(likelihoods: DataFrame, het: float = HETEROZYGOSITY, ti_tv: float = TI_TV, confident_ratio: float | None = None) -> DataFrame:
+    """Strand score from forward-only and reverse-only posteriors of reference, mixed and variant genotype.
+
+    Positions called homozygous reference at `confident_ratio` or more have no variant to score and are skipped.
+    """
     d = call_genotypes(likelihoods, het, ti_tv)
+    if confident_ratio is not None:
+        d = d.filter(~((F.col("genotype") == F.concat("ref_base", "ref_base")) & (F.col("ratio") >= confident_ratio)))
     d = d.withColumn("alt", alternate_allele(F.col("genotype"), F.col("runner_up"), F.col("ref_base")))
     prior = prior_columns(F.col("ref_base"), het, ti_tv)
     pairs = {"ref": ("ref_base", "ref_base"), "mix": ("ref_base", "alt"), "alt": ("alt", "alt")}

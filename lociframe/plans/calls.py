@@ -96,9 +96,27 @@ def two_pass(v):
     return rounded(G.genotype(v.base).select("chrom", "pos", "genotype", "ratio"), "ratio", digits=3)
 
 
-@question("g_strand_bias")
+def _by_strand() -> str:
+    """Likelihoods in all and of the reads of either strand."""
+    one = lambda g: f"log10(0.5 * p{g[0]} + 0.5 * p{g[1]})"
+    sums = ", ".join(f"SUM({one(g)}) AS l_{g}, coalesce(SUM({one(g)}) FILTER (WHERE strand = '+'), 0) AS f_{g}, coalesce(SUM({one(g)}) FILTER (WHERE strand = '-'), 0) AS r_{g}" for g in G.GENOTYPES)
+    return like_sql().split("lk AS")[0] + f"lk AS (SELECT chrom, pos, ref_base, COUNT(*) AS depth, {sums} FROM pb GROUP BY 1, 2, 3)"
+
+
+# confident: ten times the logarithm of 30
+BIAS = """ro AS (SELECT * FROM cl WHERE NOT (genotype = concat(ref_base, ref_base) AND ratio >= 14.7712)),
+al AS (SELECT *, coalesce(""" + ", ".join(f"CASE WHEN substring({c}, {i}, 1) <> ref_base THEN substring({c}, {i}, 1) END" for c in ("genotype", "runner_up") for i in (1, 2)) + """) AS alt FROM ro),
+po AS (""" + " UNION ALL ".join(f"SELECT chrom, pos, '{g}' AS g, l_{g} + {prior_sql(g)} AS a, f_{g} + {prior_sql(g)} AS f, r_{g} + {prior_sql(g)} AS r FROM lk" for g in G.GENOTYPES) + """),
+pv AS (SELECT al.chrom, al.pos, al.ref_base, alt, genotype, """ + ", ".join(
+    f"max({c}) FILTER (WHERE g = {name}) AS {c}_{kind}" for c in "afr" for kind, name in (("ref", "concat(al.ref_base, al.ref_base)"), ("mix", "concat(least(al.ref_base, alt), greatest(al.ref_base, alt))"), ("alt", "concat(alt, alt)"))) + """
+  FROM al JOIN po ON po.chrom = al.chrom AND po.pos = al.pos WHERE alt IS NOT NULL GROUP BY 1, 2, 3, 4, 5),
+vr AS (SELECT *, """ + ", ".join(f"greatest({c}_mix, {c}_alt) + log10(1 + pow(10::DOUBLE, least({c}_mix, {c}_alt) - greatest({c}_mix, {c}_alt))) AS v_{c}" for c in "afr") + """ FROM pv)
+SELECT chrom, pos, ref_base, alt, genotype, ROUND(10.0 * greatest(v_f + r_ref - v_a, v_r + f_ref - v_a), 4) AS strand_bias FROM vr"""
+
+
+@question("g_strand_bias", "v_base", f"WITH {_by_strand()}, {call_sql()}, {BIAS}")
 def strand_bias(v):
-    return G.strand_bias(G.genotype_likelihoods(v.base, by_strand=True))
+    return rounded(G.strand_bias(G.genotype_likelihoods(v.base, by_strand=True), confident_ratio=14.7712), "strand_bias", digits=4)
 
 
 @question("g_downsample", "v_base", "SELECT chrom, pos, least(COUNT(*), 2) AS depth FROM v_base GROUP BY 1, 2")
@@ -108,12 +126,17 @@ def downsample(v):
     return d.groupBy("chrom", "pos").agg(F.count(F.lit(1)).alias("depth"))
 
 
-@question("s_vcf_lines")
+@question("s_vcf_lines", "v_base", f"""WITH {like_sql()}, {call_sql()},
+al AS (SELECT *, ROUND(ratio, 2) AS q, coalesce({", ".join(f"CASE WHEN substring({c}, {i}, 1) <> ref_base THEN substring({c}, {i}, 1) END" for c in ("genotype", "runner_up") for i in (1, 2))}, '.') AS alt FROM cl WHERE genotype <> concat(ref_base, ref_base))
+SELECT chrom, pos, concat_ws(chr(9), chrom, CAST(pos AS VARCHAR), '.', ref_base, alt, printf('%.2f', q), CASE WHEN q >= 3 THEN 'PASS' ELSE 'LowQual' END, concat('DP=', CAST(depth AS VARCHAR)), 'GT',
+  CASE WHEN substring(genotype, 1, 1) = substring(genotype, 2, 1) THEN '1/1' ELSE '0/1' END) AS line FROM al
+UNION ALL SELECT NULL, unnest(range(-5, 0)), unnest(['##fileformat=VCFv4.1', '##FILTER=<ID=LowQual,Description="Quality below 3">', '##INFO=<ID=DP,Number=1,Type=Integer,Description="Total Depth">',
+  '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', array_to_string(['#CHROM', 'POS', 'ID', 'REF', 'ALT', 'QUAL', 'FILTER', 'INFO', 'FORMAT', 'SAMPLE'], chr(9))])""")
 def vcf_lines(v):
-    c = G.confident(G.call_genotypes(G.genotype_likelihoods(v.base)), 0.0, variants_only=True)
+    c = G.call_genotypes(G.genotype_likelihoods(v.base)).filter(F.col("genotype") != F.concat("ref_base", "ref_base"))
     alt = G.alternate_allele(F.col("genotype"), F.col("runner_up"), F.col("ref_base"))
     gt = F.when(F.substring("genotype", 1, 1) == F.substring("genotype", 2, 1), "1/1").otherwise("0/1")
-    return K.vcf_lines(c.select("chrom", "pos", F.col("ref_base").alias("ref"), alt.alias("alt"), F.col("ratio").alias("qual"), "depth", gt.alias("genotype")))
+    return K.vcf_lines(c.select("chrom", "pos", F.col("ref_base").alias("ref"), alt.alias("alt"), near(F.col("ratio"), 2).alias("qual"), "depth", gt.alias("genotype")), 3.0)
 
 
 @question("s_cpg_reads", "v_base", """

@@ -60,16 +60,20 @@ def array_matrix(values: DataFrame, probes: DataFrame, samples: Sequence[str]) -
     return j.groupBy("probe", "chrom", "pos").agg(*[F.avg(F.when(F.col("sample") == s, F.col("value"))).alias(s) for s in samples])
 
 
-def vcf_lines(calls: DataFrame) -> DataFrame:
-    """Variant rows (chrom, pos, ref, alt, qual, depth, genotype) as VCF text with its header."""
+def vcf_lines(calls: DataFrame, min_qual: float = 30.0) -> DataFrame:
+    """Variant rows (chrom, pos, ref, alt, qual, depth, genotype) as VCF text with its header.
+
+    FILTER is PASS from `min_qual` up, else LowQual. Header lines have a null chrom and negative
+    positions, so they come first by (chrom nulls first, pos).
+    """
     head = [
-        "##fileformat=VCFv4.1", '##INFO=<ID=DP,Number=1,Type=Integer,Description="Total Depth">',
+        "##fileformat=VCFv4.1", f'##FILTER=<ID=LowQual,Description="Quality below {min_qual:g}">', '##INFO=<ID=DP,Number=1,Type=Integer,Description="Total Depth">',
         '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tSAMPLE",
     ]
-    top = calls.sparkSession.createDataFrame([(str(i), -1, h) for i, h in enumerate(head)], "chrom string, pos bigint, line string")
+    top = calls.sparkSession.createDataFrame([(None, i - len(head), h) for i, h in enumerate(head)], "chrom string, pos bigint, line string")
     body = calls.select("chrom", F.col("pos").cast("bigint").alias("pos"), F.concat_ws(
         "\t", "chrom", F.col("pos").cast("string"), F.lit("."), "ref", F.coalesce("alt", F.lit(".")), F.format_string("%.2f", F.col("qual")),
-        F.lit("PASS"), F.format_string("DP=%d", F.col("depth")), F.lit("GT"), "genotype").alias("line"))
+        F.when(F.col("qual") >= min_qual, "PASS").otherwise("LowQual"), F.format_string("DP=%d", F.col("depth")), F.lit("GT"), "genotype").alias("line"))
     return top.unionByName(body)
 
 
