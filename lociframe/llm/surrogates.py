@@ -6,7 +6,8 @@ security and phone numbers, and names after a form of address. Every entity has
 thing get one surrogate, in every document and after every run with the same key. Surrogates come
 from keyed SHA-256: digits stay digits and letters letters of their case, separators, country codes
 and card check sums stay as they are; names are made of syllables of the same script and follow the
-gender of the form of address.
+gender of the form of address; a name has one surrogate under all titles, as given and as family
+name.
 
 Collision check: candidates of all distinct canonical forms meet in a grouped minimum. A candidate
 that two forms share goes to the smaller one; it is refused to all if it is taken, or if the corpus
@@ -166,11 +167,12 @@ def _cased(c: Column, letters: str, v: Column) -> Column:
 
 
 def _initial(raw: Column, key: str) -> Column:
-    """Another capital of the same script; initials stand for too many names to be distinct."""
-    v, out = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("initial"), raw), 256), 1, 4), 16, 10).cast("int"), None
+    """Another capital of the same script: the alphabet turned by a keyed number of places, so initials stay distinct."""
+    v, out = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("initial")), 256), 1, 4), 16, 10).cast("int"), None
     for letters, script in ((CYRILLIC, "cyrillic"), (GREEK, "greek"), (LATIN, "latin")):
         at = F.instr(F.lit(letters), F.lower(raw))
-        made = F.upper(F.substr(F.lit(letters), (at + v % (len(letters) - 1)) % len(letters) + 1, F.lit(1)))
+        turned = F.upper(F.substr(F.lit(letters), (at - 1 + 1 + v % (len(letters) - 1)) % len(letters) + 1, F.lit(1)))
+        made = F.when(at > 0, turned).otherwise(raw)  # a letter outside the alphabet stands for itself
         out = F.when(_script(raw) == script, made) if out is None else out.when(_script(raw) == script, made)
     return out
 
@@ -200,6 +202,23 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(1), n), one), F.lit(0), lambda a, x: a + x) % 10
 
 
+def mod97(text: Column) -> Column:
+    """Remainder by 97 of a text of digits and capitals, A as 10 to Z as 35."""
+    def step(acc: Column, c: Column) -> Column:
+        return F.when(c.rlike("[0-9]"), (acc * 10 + F.ascii(c) - 48) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97)
+
+    chars = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda j: F.substr(text, j, F.lit(1)))
+    return F.aggregate(F.filter(chars, lambda c: c != ""), F.lit(0), step)
+
+
+def _iban(text: Column, rest: Column) -> Column:
+    """An account number of the same country with `rest` behind the check digits, as valid as the original."""
+    country = F.substring(text, 1, 2)
+    told = mod97(F.concat(F.substr(text, F.lit(5), F.length(text)), F.substring(text, 1, 4)))
+    need = F.pmod(told - mod97(F.concat(rest, country, F.lit("00"))), F.lit(97))
+    return F.concat(country, F.lpad(F.when(need < 2, need + 97).otherwise(need).cast("string"), 2, "0"), rest)
+
+
 def _pick(words: list[str], v: Column) -> Column:
     return F.get(F.array(*map(F.lit, words)), v % len(words))
 
@@ -244,7 +263,8 @@ def candidates(forms: DataFrame, key: str, attempt: int) -> DataFrame:
     address = F.concat(digits, F.lit("@m"), F.substring("domain", 1, 10), F.lit(".example."), _pick(["com", "net", "org"], F.conv(F.substring("domain", 11, 2), 16, 10).cast("int")))
     card = F.concat(F.substr("body", F.lit(1), F.length("body") - 1), F.pmod(luhn(text) - luhn(F.col("body")), F.lit(10)).cast("string"))
     phone = F.when(text.startswith("+"), F.concat(F.substring(text, 1, 3), F.substr(digits, F.lit(4), F.length(digits)))).otherwise(digits)
-    iban = F.concat(F.substring(text, 1, 2), F.substr(digits, F.lit(3), F.length(digits)))
+    rows = rows.withColumn("rest", F.when(kind == "iban", F.upper(F.substr(digits, F.lit(5), F.length(digits)))))
+    iban = _iban(text, F.col("rest"))
     made = (F.when(mail, address).when(kind == "ip", _ip(text, stream, attempt)).when(kind == "card", card).when(kind == "iban", iban).when(kind == "phone", phone)
             .when(kind.startswith("name"), _name(kind, stream, F.lit(attempt))).otherwise(digits))
     return rows.select("kind", "text", made.alias("s"))
@@ -257,8 +277,10 @@ def assign(forms: DataFrame, key: str) -> DataFrame:
     known = open_.select("kind", F.lower("text").alias("s"))
     done = spark.createDataFrame([], "kind string, text string, s string")
     attempt = 0
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     while not open_.isEmpty():
-        made = settle(candidates(open_, key, attempt))
+        # short rows, long expressions: dealt out by number, so that small partitions are not put together
+        made = settle(candidates(open_.repartition(parts, "kind", "text"), key, attempt))
         fold = F.lower("s").alias("s")  # names are compared without case
         first = made.groupBy("kind", fold).agg(F.min("text").alias("text"))
         taken = done.select("kind", fold).unionByName(known)
@@ -284,6 +306,15 @@ def _render(kind: Column, raw: Column, s: Column) -> Column:
     return F.when(kind.isin("card", "ssn", "iban", "phone"), spread).when(kind.startswith("name"), name).otherwise(s)
 
 
+def one_kind(forms: DataFrame) -> DataFrame:
+    """Adds `sort`, the kind that gets a surrogate. A name has one whatever its role and title: the gender that any of its titles tells, male first."""
+    gender = F.split("kind", "/")[2]
+    told = forms.where("kind like 'name/%'").groupBy("text").agg(F.min(gender).alias("told"))
+    out = forms.join(told, "text", "left")
+    script = F.split("kind", "/")[3]
+    return out.withColumn("sort", F.when(F.col("kind").startswith("name/"), F.concat_ws("/", F.lit("name"), F.lit("any"), "told", script)).otherwise(F.col("kind"))).drop("told")
+
+
 def replace(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text", count: str | None = None) -> DataFrame:
     """Every row with the entities of its text replaced; `count` names a column for their number."""
     kept = [c for c in docs.columns if c.lower() != (count or "").lower()]
@@ -300,7 +331,9 @@ def replace(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: s
     forms = seen.select("kind", "raw").distinct().withColumn("text", canonical(F.col("kind"), F.col("raw")))
     initials = forms.where("kind = 'initial'").select("kind", "raw", _initial(F.col("raw"), key).alias("new"))
     forms = forms.where("kind <> 'initial'")
-    made = forms.join(assign(forms, key), ["kind", "text"]).select("kind", "raw", _render(F.col("kind"), F.col("raw"), F.col("s")).alias("new")).unionByName(initials)
+    forms = settle(one_kind(forms))
+    given = assign(forms.select(F.col("sort").alias("kind"), "text"), key).withColumnRenamed("kind", "sort")
+    made = forms.join(given, ["sort", "text"]).select("kind", "raw", _render(F.col("kind"), F.col("raw"), F.col("s")).alias("new")).unionByName(initials)
     put = seen.join(made, ["kind", "raw"]).groupBy("k", "i").agg(F.array_sort(F.collect_list(F.struct("j", F.concat("lead", "new", "tail").alias("new")))).alias("new"))
     put = put.select("k", "i", F.array_join("new.new", "").alias("new"), F.size("new").alias("n"))
     put = put.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "new"))).alias(outs), F.sum("n").alias(found)).withColumnRenamed("k", where)

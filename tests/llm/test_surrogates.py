@@ -104,3 +104,38 @@ def test_planted_entities_go_and_clean_documents_stay(spark):
             assert r.text == old[r.doc_id]
         for x in mine:
             assert x not in r.text, x
+
+
+def out_of(spark, *texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in surrogates.replace(rows).orderBy("doc_id").collect()]
+
+
+def test_initials_stay_distinct(spark):
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    got = out_of(spark, *[f"Mr. {c}. Bond called." for c in letters])
+    new = [t.split()[1] for t in got]
+    assert len(set(new)) == 26 and all(n[0] != c and n[0] in letters for n, c in zip(new, letters))
+    assert len({t.split()[2] for t in got}) == 1
+
+
+def test_one_surrogate_under_all_titles(spark):
+    a, b, c, d = out_of(spark, "Frau Anna Schmidt kam, dann Dr. Anna Schmidt.", "Mr. John Smith and Mr. John met Prof. Smith.", "Dr. Anna Weber", "Herr Schmidt")
+    one = a.split()
+    assert one[1:3] == [one[-2], one[-1].rstrip(".")] and one[1].endswith("a")
+    two = b.replace(".", "").split()
+    assert two[1] == two[5] and two[2] == two[-1] and two[1] != two[2]
+    assert c.split()[1] == one[1] and d.split()[1] == one[2]
+
+
+def test_account_numbers_keep_their_check(spark):
+    def rest(iban):
+        moved = iban[4:] + iban[:4]
+        return int("".join(str(int(x, 36)) for x in moved)) % 97
+
+    ibans = ["DE89370400440532013000", "GB29NWBK60161331926819", "FR1420041010050500013M02606", "NO9386011117947", "DE00370400440532013000"]
+    got = out_of(spark, *[f"Pay to {i} now" for i in ibans], "Pay to DE89 3704 0044 0532 0130 00 now")
+    new = [t.removeprefix("Pay to ").removesuffix(" now") for t in got]
+    assert all(n != i and n[:2] == i[:2] and len(n) == len(i) and rest(n) == rest(i) for n, i in zip(new, ibans))
+    assert new[-1].replace(" ", "") == new[0] and [len(x) for x in new[-1].split()] == [4, 4, 4, 4, 4, 2]
+    assert [rest(i) for i in ibans[:4]] == [1] * 4
