@@ -101,17 +101,20 @@ def nucleosome_score(centres: DataFrame, reads: DataFrame, cycle: int = 73, half
 
     centres: chrom, centre. metric: ratio (log2, per base with pseudocount), diff, min_diff.
     """
-    win = lambda name, shift, strand: F.struct(F.lit(name).alias("name"), (F.col("centre") + shift - half).alias("s"), (F.col("centre") + shift + half).alias("e"), F.lit(strand).alias("st"))
-    parts = [win("pre", -cycle, "+"), win("post", cycle, "-")]
     shifts = [0, -period, period] if metric == "ratio" else [0]
-    parts += [win("free", sh, None) for sh in shifts]
-    w = centres.select("chrom", "centre").distinct().withColumn("w", F.explode(F.array(*parts)))
-    w = w.select("chrom", "centre", "w.name", F.col("w.st").alias("st"), F.col("w.s").alias("start_pos"), F.col("w.e").alias("end_pos"))
-    one = lambda s: (F.col("strand") == s).cast("bigint")
-    s = interval_sums(reads, w, {"fw": one("+"), "rev": one("-")}, "start_pos")
-    n = F.when(F.col("st") == "+", F.col("fw")).when(F.col("st") == "-", F.col("rev")).otherwise(F.col("fw") + F.col("rev"))
-    pick = lambda k: F.sum(F.when(F.col("name") == k, n)).cast("bigint")
-    g = s.groupBy("chrom", "centre").agg(pick("pre").alias("pre"), pick("post").alias("post"), pick("free").alias("unphased"))
+    n = lambda strand: F.count(F.when(F.col("strand") == strand, 1))
+    starts = reads.select("chrom", F.col("start_pos").cast("bigint").alias("centre"), "strand", F.lit(False).alias("_c"))
+    spots = starts.unionByName(centres.select("chrom", F.col("centre").cast("bigint").alias("centre"), F.lit(None).cast("string").alias("strand"), F.lit(True).alias("_c")))
+    spots = spots.groupBy("chrom", "centre").agg(n("+").alias("_fw"), n("-").alias("_rev"), F.max("_c").alias("_c"))
+    # all windows lie at fixed distances, so one halo of the tile serves them as range frames
+    reach = max(cycle, *map(abs, shifts)) + half
+    rows = position_halo(spots, "centre", reach, reach)
+    w = tile_window(["chrom"], "centre")
+    within = lambda value, shift: F.coalesce(F.sum(value).over(w.rangeBetween(shift - half, shift + half)), F.lit(0))
+    both = F.col("_fw") + F.col("_rev")
+    g = rows.withColumns({"pre": within("_fw", -cycle), "post": within("_rev", cycle), "unphased": sum(within(both, sh) for sh in shifts)})
+    kind = centres.schema["centre"].dataType
+    g = g.filter(F.col("_home") & F.col("_c")).select("chrom", F.col("centre").cast(kind).alias("centre"), *[F.col(c).cast("bigint").alias(c) for c in ("pre", "post", "unphased")])
     phased = F.col("pre") + F.col("post")
     p_len, u_len = phased_factor * half, 2 * half * len(shifts)
     if metric == "ratio":
