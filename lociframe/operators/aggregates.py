@@ -499,3 +499,13 @@ def sample_spread(df: DataFrame, keys: Sequence[str] = ("chrom", "chrom_pos")) -
     return df.groupBy(*keys).agg(F.count(m).alias("n"), F.var_pop(m).alias("variance"), (F.max(m) - F.min(m)).alias("delta"))
 
 
+def sample_deltas(df: DataFrame, keys: Sequence[str] = ("chrom", "chrom_pos", "strand")) -> DataFrame:
+    """Absolute methylation difference of every two samples at each position: keys, sample_1 < sample_2, delta.
+
+    The list of a position has one entry per sample; its pairs are formed inside the row.
+    """
+    m = M.frac_meth()
+    here = df.filter(m.isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("sample", m.alias("m")))).alias("_l"))
+    after = lambda x, i: F.transform(
+        F.slice("_l", i + 2, F.size("_l")), lambda y: F.struct(x["sample"].alias("sample_1"), y["sample"].alias("sample_2"), F.abs(x["m"] - y["m"]).alias("delta")))
+    return here.filter(F.size("_l") > 1).select(*keys, F.inline(F.flatten(F.transform("_l", after))))

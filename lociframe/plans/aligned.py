@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lociframe.functions import methylation as M
+from lociframe.operators import aggregates as A
 from lociframe.operators import aligned as L
 from lociframe.plans.aggregates import rounded
 from lociframe.plans.joins import typed
@@ -160,3 +161,14 @@ SELECT feat_id, n, ROUND(100.0 * n / (end_pos - start_pos + 1), 6) AS density FR
 def motif_density(v):
     d = L.motif_density(v.cytosine, v.feature.select("feat_id", "chrom", "start_pos", "end_pos"))
     return rounded(d, "density").select("feat_id", F.col("n").cast("bigint").alias("n"), "density")
+
+
+@question("w_delta_align", BOTH, f"""
+WITH d AS (SELECT a.chrom, a.chrom_pos, a.strand, a.sample AS sample_1, b.sample AS sample_2, abs(a.{FM.replace('(c_reads', '(a.c_reads').replace('+ t_reads', '+ a.t_reads')} - b.{FM.replace('(c_reads', '(b.c_reads').replace('+ t_reads', '+ b.t_reads')}) AS m
+  FROM v_cytosine a JOIN v_cytosine b ON b.chrom = a.chrom AND b.chrom_pos = a.chrom_pos AND b.strand = a.strand AND a.sample < b.sample),
+f AS (SELECT *, {MID} AS mid FROM v_feature), p AS (SELECT sample_1, sample_2, CASE WHEN f.strand = '-' THEN mid - chrom_pos ELSE chrom_pos - mid END AS off, d.strand = CASE WHEN f.strand = '-' THEN '-' ELSE '+' END AS same, m
+  FROM d JOIN f ON f.chrom = d.chrom AND chrom_pos BETWEEN mid - 40 AND mid + 40 WHERE m IS NOT NULL)
+SELECT sample_1, sample_2, CAST(off AS INT) AS "offset", ROUND(SUM(m) FILTER (WHERE same), 4) AS own_sum, COUNT(m) FILTER (WHERE same) AS own_n, ROUND(SUM(m) FILTER (WHERE NOT same), 4) AS other_sum, COUNT(m) FILTER (WHERE NOT same) AS other_n FROM p GROUP BY 1, 2, 3""")
+def delta_align(v):
+    out = L.aligned_average(A.sample_deltas(v.cytosine), v.feature, 40, "chrom_pos", F.col("delta"), ["sample_1", "sample_2"])
+    return rounded(out, "own_sum", "other_sum", digits=4).withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("own_n", "other_n")})
