@@ -117,6 +117,36 @@ def depth_subsets(v):
     return U.depth_counts_subsets(v.base, 0.5, 3, 7)
 
 
+# what a seed must not change: values and places, lengths inside the chromosomes, counts between nothing and all
+@question("k_shuffle_kept", C, """SELECT 'values' AS what, sample, chrom, c_reads AS x, t_reads AS y, COUNT(*) AS n FROM v_cytosine GROUP BY ALL
+UNION ALL SELECT 'places', sample, chrom, chrom_pos, NULL, COUNT(*) FROM v_cytosine GROUP BY ALL""")
+def shuffle_kept(v):
+    d = U.shuffle_values(v.cytosine.select("sample", "chrom", "chrom_pos", "c_reads", "t_reads"), ["c_reads", "t_reads"], ["sample", "chrom"], "chrom_pos", 17)
+    values = d.select(F.lit("values").alias("what"), "sample", "chrom", F.col("c_reads").alias("x"), F.col("t_reads").alias("y"))
+    places = d.select(F.lit("places").alias("what"), "sample", "chrom", F.col("chrom_pos").cast("bigint").alias("x"), F.lit(None).cast("bigint").alias("y"))
+    return values.unionByName(places).groupBy("what", "sample", "chrom", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+@question("k_random_kept", f"{C} {FEAT}", "SELECT feat_id, CAST(end_pos - start_pos + 1 AS BIGINT) AS length, true AS inside FROM v_feature")
+def random_kept(v):
+    d = U.random_intervals(v.feature.select("feat_id", "chrom", "start_pos", "end_pos"), sizes(v), 11).join(sizes(v), "chrom")
+    return d.select("feat_id", (F.col("end_pos") - F.col("start_pos") + 1).cast("bigint").alias("length"), ((F.col("start_pos") >= 1) & (F.col("end_pos") <= F.col("length"))).alias("inside"))
+
+
+@question("k_downsample_bounds", C, """SELECT sample, chrom, chrom_pos, c_reads AS c_all, t_reads AS t_all, CAST(0 AS BIGINT) AS c_none, CAST(0 AS BIGINT) AS t_none, true AS within FROM v_cytosine""")
+def downsample_bounds(v):
+    keys = ["sample", "chrom", "chrom_pos"]
+    thin = lambda frac, tag: U.downsample_counts(v.cytosine, frac, 5, ["c_reads", "t_reads"], keys).select(*keys, F.col("c_reads").alias(f"c_{tag}"), F.col("t_reads").alias(f"t_{tag}"))
+    some = thin(0.3, "some")
+    out = thin(1.0, "all").join(thin(0.0, "none"), keys).join(some, keys)
+    return out.select(*keys, "c_all", "t_all", "c_none", "t_none", (F.col("c_some").between(0, F.col("c_all")) & F.col("t_some").between(0, F.col("t_all"))).alias("within"))
+
+
+@question("a_depth_whole", "v_base", "SELECT depth, CAST(COUNT(*) AS DOUBLE) AS mean_positions FROM (SELECT chrom, pos, COUNT(*) AS depth FROM v_base GROUP BY 1, 2) GROUP BY 1")
+def depth_whole(v):
+    return U.depth_counts_subsets(v.base, 1.0, 3, 7)
+
+
 @question("s_gff_line", FEAT, """
 SELECT feat_id, concat_ws(chr(9), chrom, 'lib', feat_type, CAST(start_pos AS VARCHAR), CAST(end_pos AS VARCHAR), CAST(score AS VARCHAR), strand, '.',
   concat('gene_id "g', CAST(feat_id AS VARCHAR), '"; note "n', CAST(score AS VARCHAR), '";')) AS line FROM v_feature""")
