@@ -32,6 +32,7 @@ FEATURES = (
 )
 #: features in which the score never rises
 MONOTONE = ("symbol_share", "dup_line_share", "repeat_share", "upper_share", "bar_share", "mark_share")
+SLICE = 1 << 20  # bytes of text measured at once: the arrays over its words take a multiple of it
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 
 
@@ -214,7 +215,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             s = measure(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(s[c]) for c in (*BASE, *FEATURES))], ["id", *BASE, *FEATURES])
 
@@ -253,7 +254,7 @@ def judge(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             s = measure(b.column("text"))
             failed, (p, good) = base_failed(s), _verdict(trees, s, least)
             yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(s[c]) for c in BASE), *map(pa.array, (failed, p, ~failed & good))], ["id", *BASE, "base_failed", "score", "kept"])
@@ -267,7 +268,7 @@ def keep(docs: DataFrame, trees: Trees, text_col: str = "text", least: float = 0
     """The rows that pass, with all their columns; nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col):
+        for b in slices(batches, text_col, SLICE):
             s = measure(b.column(text_col))
             yield b.filter(pa.array(~base_failed(s) & _verdict(trees, s, least)[1]))
 
