@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lociframe.functions.sequence import context_class
 from lociframe.operators.lookups import base_neighbours
+from lociframe.operators.piles import place
 
 # The ten diploid genotypes and the default rates.
 GENOTYPES = ["AA", "AC", "AG", "AT", "CC", "CG", "CT", "GG", "GT", "TT"]
@@ -45,13 +46,14 @@ def likelihood_columns(meth: Column | float, conversion: float, over: float) ->
 
 def genotype_likelihoods(bases: DataFrame, meth: Column | float = 0.5, conversion: float = CONVERSION, over: float = OVER_CONVERSION,
                          by_strand: bool = False) -> DataFrame:
-    """Ten log10 likelihoods per position: ten sums in one aggregation, combined map-side."""
-    rows = bases.select("chrom", "pos", "ref_base", "strand", *[c.alias(g) for g, c in likelihood_columns(meth, conversion, over).items()])
+    """Ten log10 likelihoods per position: ten sums in one aggregation, where the rows are if they are dealt by tile, else combined map-side."""
+    keys = place(bases, "ref_base")
+    rows = bases.select(*keys, "strand", *[c.alias(g) for g, c in likelihood_columns(meth, conversion, over).items()])
     sums = [F.sum(g).alias(g) for g in GENOTYPES]
     if by_strand:
         for s, name in (("+", "fw"), ("-", "rev")):
             sums += [F.coalesce(F.sum(F.when(F.col("strand") == s, F.col(g))), F.lit(0.0)).alias(f"{g}_{name}") for g in GENOTYPES]
-    return rows.groupBy("chrom", "pos", "ref_base").agg(F.count(F.lit(1)).alias("depth"), *sums)
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("depth"), *sums)
 
 
 def prior_value(ref: str, genotype: str, het: float, ti_tv: float, ref_error: float = REFERENCE_ERROR) -> float:
@@ -191,7 +193,7 @@ def cytosine_types(calls: DataFrame) -> DataFrame:
     A neighbour counts with its base when it is called homozygous, otherwise it is unknown.
     """
     hom = F.when(F.substring("genotype", 1, 1) == F.substring("genotype", 2, 1), F.substring("genotype", 1, 1)).otherwise("N")
-    n = base_neighbours(calls.select("chrom", "pos", hom.alias("b")), 2, 2, base="b")
+    n = base_neighbours(calls.select(*place(calls), hom.alias("b")), 2, 2, base="b")
     plus = F.col("b") == "C"
     comp = lambda c: F.translate(F.col(c), "ACGT", "TGCA")
     first = F.when(plus, F.col("b_p1")).otherwise(comp("b_m1"))
@@ -235,7 +237,8 @@ def variant_methylation(bases: DataFrame, calls: DataFrame) -> DataFrame:
     """`variant_classes` with the C and T reads of each cytosine's own strand."""
     plus = F.col("strand") == "+"
     c, t = F.col("base") == F.when(plus, "C").otherwise("G"), F.col("base") == F.when(plus, "T").otherwise("A")
-    reads = bases.groupBy("chrom", F.col("pos").alias("cytosine_pos"), "strand").agg(F.count(F.when(c, 1)).alias("c_reads"), F.count(F.when(t, 1)).alias("t_reads"))
+    own = (bases.filter("home") if "home" in bases.columns else bases).filter(c | t)
+    reads = own.groupBy(*place(own.drop("home")), "strand").agg(F.count(F.when(c, 1)).alias("c_reads"), F.count(F.when(t, 1)).alias("t_reads")).withColumnRenamed("pos", "cytosine_pos").drop("tile")
     out = variant_classes(calls).join(reads, ["chrom", "cytosine_pos", "strand"], "left")
     return out.withColumns({k: F.coalesce(k, F.lit(0)).cast("bigint") for k in ("c_reads", "t_reads")})
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lociframe.functions.intervals import chrom_number
 from lociframe.operators.aggregates import type_segments
 from lociframe.operators.lookups import cap_identical
+from lociframe.operators.piles import place
 
 
 def combine_tracks(tracks: dict[str, DataFrame]) -> DataFrame:
@@ -89,7 +90,7 @@ def downsample_rows(df: DataFrame, frac: float, seed: int, key: Sequence[str]) -
 def downsample_depth(bases: DataFrame, depth: int, seed: int) -> DataFrame:
     """At most `depth` bases per position, picked by a seeded hash of the read."""
     order = F.xxhash64("read_id", F.lit(seed))
-    return cap_identical(bases.withColumn("_o", order), ["chrom", "pos"], depth, "_o").drop("_o")
+    return cap_identical(bases.withColumn("_o", order), place(bases), depth, "_o").drop("_o")
 
 
 def spread_rank(df: DataFrame, keys: Sequence[str], order: Column, buckets: int = 1024, name: str = "rank") -> DataFrame:
@@ -138,8 +139,8 @@ def random_intervals(features: DataFrame, sizes: DataFrame, seed: int, key: str
 def depth_counts_subsets(bases: DataFrame, frac: float, trials: int, seed: int) -> DataFrame:
     """Mean number of positions per depth over seeded random subsets of the reads."""
     t = F.explode(F.array(*map(F.lit, range(trials))))
-    picked = bases.select("chrom", "pos", "read_id", t.alias("trial")).filter(_unit(F.col("read_id"), F.col("trial"), F.lit(seed)) < frac)
-    d = picked.groupBy("trial", "chrom", "pos").agg(F.count(F.lit(1)).alias("depth"))
+    picked = bases.select(*place(bases), "read_id", t.alias("trial")).filter(_unit(F.col("read_id"), F.col("trial"), F.lit(seed)) < frac)
+    d = picked.groupBy("trial", *place(bases)).agg(F.count(F.lit(1)).alias("depth"))
     return d.groupBy("depth").agg((F.count(F.lit(1)) / trials).alias("mean_positions"))
 
 

@@ -6,11 +6,15 @@ from pyspark.sql import functions as F
 
 from lociframe.operators import genotype as G
 from lociframe.operators import sets as U
-from lociframe.plans.aggregates import rounded
-from lociframe.plans.registry import near, question
+from lociframe.plans.registry import near, near_double, question
 from lociframe.sources import converters as K
 
 
+def rounded(df, *cols, digits):
+    """Logs and ratios for comparison; there are up to ten for each position of the genome."""
+    return df.withColumns({c: near_double(F.col(c), digits) for c in cols})
+
+
 def _p(allele: str, m: str) -> str:
     plain = f"CASE WHEN base = '{allele}' THEN 1 - e ELSE e / 3.0 END"
     if allele not in "CG":
@@ -41,7 +45,7 @@ def call_sql(src: str = "lk", name: str = "cl") -> str:
 
 @question("g_likelihoods", "v_base", f"WITH {like_sql()} SELECT chrom, pos, depth, " + ", ".join(f'ROUND(l_{g}, 5) AS "{g}"' for g in G.GENOTYPES) + " FROM lk")
 def likelihoods(v):
-    return rounded(G.genotype_likelihoods(v.base), *G.GENOTYPES, digits=5).drop("ref_base")
+    return rounded(G.genotype_likelihoods(v.tiled_bases()), *G.GENOTYPES, digits=5).drop("ref_base", "tile")
 
 
 @question("g_priors", "v_base", "WITH r AS (SELECT DISTINCT chrom, pos, ref_base FROM v_base) SELECT chrom, pos, " + ", ".join(f'ROUND({prior_sql(g)}, 6) AS "{g}"' for g in G.GENOTYPES) + " FROM r")
@@ -52,13 +56,13 @@ def priors(v):
 
 @question("g_calls", "v_base", f"WITH {like_sql()}, {call_sql()} SELECT chrom, pos, depth, genotype, ROUND(ratio, 4) AS ratio FROM cl")
 def calls(v):
-    out = G.call_genotypes(G.genotype_likelihoods(v.base)).select("chrom", "pos", "depth", "genotype", "ratio")
+    out = G.call_genotypes(G.genotype_likelihoods(v.tiled_bases())).select("chrom", "pos", "depth", "genotype", "ratio")
     return rounded(out, "ratio", digits=4)
 
 
 @question("g_confident_variants", "v_base", f"WITH {like_sql()}, {call_sql()} SELECT chrom, pos, genotype FROM cl WHERE ratio >= 0.0007 AND genotype <> concat(ref_base, ref_base)")
 def confident_variants(v):
-    return G.confident(G.call_genotypes(G.genotype_likelihoods(v.base)), 0.0007, variants_only=True).select("chrom", "pos", "genotype")
+    return G.confident(G.call_genotypes(G.genotype_likelihoods(v.tiled_bases())), 0.0007, variants_only=True).select("chrom", "pos", "genotype")
 
 
 TYPES_SQL = """hm AS (SELECT chrom, pos, CASE WHEN substring(genotype, 1, 1) = substring(genotype, 2, 1) THEN substring(genotype, 1, 1) ELSE 'N' END AS b FROM cl),
@@ -71,7 +75,7 @@ ty AS (SELECT chrom, pos, strand, CASE WHEN f = 'G' THEN 'CG' WHEN f IS NULL OR
 
 @question("g_cytosine_types", "v_base", f"WITH {like_sql()}, {call_sql()}, {TYPES_SQL} SELECT chrom, pos, strand, type FROM ty")
 def cytosine_types(v):
-    return G.cytosine_types(G.call_genotypes(G.genotype_likelihoods(v.base)))
+    return G.cytosine_types(G.call_genotypes(G.genotype_likelihoods(v.tiled_bases(2))))
 
 
 METH_SQL = """mt AS (SELECT b.chrom, b.pos, b.strand, t.type, SUM(CAST(CASE WHEN b.strand = '+' THEN base = 'C' ELSE base = 'G' END AS INT)) AS c, SUM(CAST(CASE WHEN b.strand = '+' THEN base = 'T' ELSE base = 'A' END AS INT)) AS t
@@ -116,14 +120,14 @@ SELECT chrom, pos, ref_base, alt, genotype, ROUND(10.0 * greatest(v_f + r_ref -
 
 @question("g_strand_bias", "v_base", f"WITH {_by_strand()}, {call_sql()}, {BIAS}")
 def strand_bias(v):
-    return rounded(G.strand_bias(G.genotype_likelihoods(v.base, by_strand=True), confident_ratio=14.7712), "strand_bias", digits=4)
+    return rounded(G.strand_bias(G.genotype_likelihoods(v.tiled_bases(), by_strand=True), confident_ratio=14.7712), "strand_bias", digits=4)
 
 
 @question("g_downsample", "v_base", "SELECT chrom, pos, least(COUNT(*), 2) AS depth FROM v_base GROUP BY 1, 2")
 def downsample(v):
     """Which reads stay follows the seed; the depth left at each position does not."""
-    d = U.downsample_depth(v.base, 2, 3)
-    return d.groupBy("chrom", "pos").agg(F.count(F.lit(1)).alias("depth"))
+    d = U.downsample_depth(v.tiled_bases(), 2, 3)
+    return d.groupBy("chrom", "tile", "pos").agg(F.count(F.lit(1)).alias("depth")).drop("tile")
 
 
 @question("s_vcf_lines", "v_base", f"""WITH {like_sql()}, {call_sql()},
@@ -133,7 +137,7 @@ SELECT chrom, pos, concat_ws(chr(9), chrom, CAST(pos AS VARCHAR), '.', ref_base,
 UNION ALL SELECT NULL, unnest(range(-5, 0)), unnest(['##fileformat=VCFv4.1', '##FILTER=<ID=LowQual,Description="Quality below 3">', '##INFO=<ID=DP,Number=1,Type=Integer,Description="Total Depth">',
   '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', array_to_string(['#CHROM', 'POS', 'ID', 'REF', 'ALT', 'QUAL', 'FILTER', 'INFO', 'FORMAT', 'SAMPLE'], chr(9))])""")
 def vcf_lines(v):
-    c = G.call_genotypes(G.genotype_likelihoods(v.base)).filter(F.col("genotype") != F.concat("ref_base", "ref_base"))
+    c = G.call_genotypes(G.genotype_likelihoods(v.tiled_bases())).filter(F.col("genotype") != F.concat("ref_base", "ref_base"))
     alt = G.alternate_allele(F.col("genotype"), F.col("runner_up"), F.col("ref_base"))
     gt = F.when(F.substring("genotype", 1, 1) == F.substring("genotype", 2, 1), "1/1").otherwise("0/1")
     return K.vcf_lines(c.select("chrom", "pos", F.col("ref_base").alias("ref"), alt.alias("alt"), near(F.col("ratio"), 2).alias("qual"), "depth", gt.alias("genotype")), 3.0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lociframe.functions import methylation as M
+from lociframe.operators.piles import place
 from lociframe.plans.registry import question
 from lociframe.sources import cytosines, reads, tracks
 
@@ -99,7 +100,7 @@ def pileup_lines(base):
     letter = F.when(F.col("base") == F.col("ref_base"), F.when(F.col("strand") == "+", ",").otherwise(".")).otherwise(
         F.when(F.col("strand") == "+", F.col("base")).otherwise(F.lower("base")))
     one = F.struct("read_id", letter.alias("b"), F.char(F.col("qual") + 33).alias("q"), F.col("cycle").cast("string").alias("c"))
-    rows = base.groupBy("chrom", "pos", F.col("ref_base").alias("ref")).agg(F.sort_array(F.collect_list(one)).alias("r"))
+    rows = base.groupBy(*place(base, "ref_base")).agg(F.sort_array(F.collect_list(one)).alias("r")).withColumnRenamed("ref_base", "ref")
     join = lambda f, sep: F.array_join(F.transform("r", lambda x: x[f]), sep)
     return rows.select("chrom", "pos", "ref", F.size("r").alias("depth"), F.concat(F.lit("@"), join("b", "")).alias("bases"),
                        F.concat(F.lit("@"), join("q", "")).alias("quals"), F.concat(join("c", ","), F.lit(",")).alias("cycles"))
@@ -109,7 +110,7 @@ def pileup_lines(base):
 SELECT chrom, pos, ref_base AS ref, strand, base, CAST(qual AS BIGINT) AS qual, CAST(cycle AS BIGINT) AS cycle
 FROM v_base WHERE qual >= 5""")
 def pileup_explode(v):
-    out = reads.explode_pileup(pileup_lines(v.base), min_quality=5)
+    out = reads.explode_pileup(pileup_lines(v.tiled_bases()), min_quality=5)
     return out.select("chrom", "pos", "ref", "strand", "base", F.col("qual").cast("bigint").alias("qual"),
                       F.col("cycle").cast("bigint").alias("cycle"))
 

@@ -144,7 +144,7 @@ def downsample_bounds(v):
 
 @question("a_depth_whole", "v_base", "SELECT depth, CAST(COUNT(*) AS DOUBLE) AS mean_positions FROM (SELECT chrom, pos, COUNT(*) AS depth FROM v_base GROUP BY 1, 2) GROUP BY 1")
 def depth_whole(v):
-    return U.depth_counts_subsets(v.base, 1.0, 3, 7)
+    return U.depth_counts_subsets(v.tiled_bases(), 1.0, 3, 7)
 
 
 @question("s_gff_line", FEAT, """
