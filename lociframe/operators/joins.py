@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lociframe.functions import intervals as I
 from lociframe.session import settle
 from lociframe.operators.lookups import cap_identical
+from lociframe.operators.piles import near_tiles
 from lociframe.operators.rangejoin import (
     flanked, overlap_pairs, pairs_within, points_in_intervals, within,
 )
@@ -283,19 +284,24 @@ def block_overlap(normal: DataFrame, tumor: DataFrame, min_cpgs: int = 3, p_valu
     return n.join(t, ["chrom", "snp_pos"]).select("chrom", "snp_pos", kind.alias("kind"))
 
 
-def allele_counts(calls: DataFrame, alleles: DataFrame, max_dist: int) -> DataFrame:
-    """C and T reads of each cytosine split by the SNP base seen on the same read.
+def allele_counts(bases: DataFrame, max_dist: int) -> DataFrame:
+    """C and T reads of each cytosine split by the base seen on the same read at positions where reads differ.
 
-    calls: read_id, chrom, strand, chrom_pos, c, t; alleles: read_id, snp_pos, base. The join key
-    carries the position bin as well, so a long read spreads over several tasks.
+    bases: read_id, chrom, pos, strand, base, call (whether it is a cytosine call), c, t. All that a cytosine meets
+    lies within `max_dist` of it, so bases dealt by tile with such a halo (`piles.tiled_bases`) do not move again:
+    neither their pairs nor the counts of these pass through an exchange.
     """
-    cell = F.floor(F.col("chrom_pos") / max_dist).cast("bigint")
-    a = calls.withColumn("_bin", cell)
-    near = F.floor(F.col("snp_pos") / max_dist).cast("bigint")
-    b = alleles.withColumn("_bin", F.explode(F.array(near - 1, near, near + 1)))
-    rows = a.join(b, ["read_id", "_bin"]).filter(
-        (F.abs(F.col("chrom_pos") - F.col("snp_pos")) <= max_dist) & (F.col("chrom_pos") != F.col("snp_pos")))
-    return rows.groupBy("chrom", "chrom_pos", "strand", "snp_pos", "base").agg(F.sum("c").alias("c_reads"), F.sum("t").alias("t_reads"))
+    spot = Window.partitionBy("chrom", "tile", "pos")
+    read = Window.partitionBy("chrom", "tile", "read_id")
+    rows = near_tiles(bases.filter(F.col("read_id").isNotNull()), "pos", max_dist, max_dist)
+    rows = rows.withColumn("_differ", F.min("base").over(spot) != F.max("base").over(spot))
+    rows = rows.filter(F.col("_differ") | (F.col("call") & F.col("home")))
+    allele = F.when(F.col("_differ"), F.struct(F.col("pos").alias("snp_pos"), "base"))
+    rows = rows.withColumn("_a", F.collect_list(allele).over(read)).filter(F.col("call") & F.col("home"))
+    pairs = rows.select("chrom", "tile", F.col("pos").alias("chrom_pos"), "strand", "c", "t", F.inline("_a"))
+    gap = F.abs(F.col("chrom_pos") - F.col("snp_pos"))
+    return pairs.filter((gap > 0) & (gap <= max_dist)).groupBy("chrom", "tile", "chrom_pos", "strand", "snp_pos", "base").agg(
+        F.sum("c").alias("c_reads"), F.sum("t").alias("t_reads")).drop("tile")
 
 
 def offsets_to_features(points: DataFrame, features: DataFrame, flank: int, pos: str, at: str = "center",

@@ -8,8 +8,9 @@ from lociframe.functions import methylation as M
 from lociframe.functions import sequence as Q
 from lociframe.operators import joins as J
 from lociframe.operators import rangejoin as R
-from lociframe.plans.registry import near, question
-from lociframe.plans.scans import READS_SQL, read_cytosines
+from lociframe.operators.piles import place
+from lociframe.plans.registry import PART_BYTES, near, question
+from lociframe.plans.scans import READS_SQL, call_columns, read_cytosines
 
 C, FEAT = "v_cytosine", "v_feature"
 COVER = "EXISTS (SELECT 1 FROM v_feature f WHERE f.feat_type = '{t}' AND f.chrom = c.chrom AND c.chrom_pos BETWEEN f.start_pos - {k} AND f.end_pos + {k})"
@@ -242,10 +243,9 @@ WITH k AS ({READS_SQL}), s AS (SELECT read_id, pos AS snp_pos, base FROM v_base
 SELECT k.chrom, k.chrom_pos, k.strand, s.snp_pos, s.base, CAST(SUM(c_reads + c_reads_nonconv) AS BIGINT) AS c_reads, CAST(SUM(t_reads) AS BIGINT) AS t_reads
 FROM k JOIN s ON s.read_id = k.read_id AND k.chrom_pos <> s.snp_pos AND abs(k.chrom_pos - s.snp_pos) <= 50 GROUP BY 1, 2, 3, 4, 5""")
 def allele_specific(v):
-    k = read_cytosines(v.base).select("read_id", "chrom", "strand", "chrom_pos", (F.col("c_reads") + F.col("c_reads_nonconv")).alias("c"), F.col("t_reads").alias("t"))
-    variable = v.base.groupBy("chrom", "pos").agg(F.min("base").alias("a"), F.max("base").alias("b")).filter("a <> b").select("chrom", "pos")
-    s = v.base.join(variable, ["chrom", "pos"]).select("read_id", F.col("pos").alias("snp_pos"), "base")
-    return J.allele_counts(k, s, 50)
+    base = v.tiled_bases(50, PART_BYTES // 4)  # a base has up to a hundred others within reach
+    call, n = call_columns()
+    return J.allele_counts(base.select("read_id", *place(base), "strand", "base", call.alias("call"), (n["c_reads"] + n["c_reads_nonconv"]).alias("c"), n["t_reads"].alias("t")), 50)
 
 
 @question("j_feature_offset", f"{C} {FEAT}", """

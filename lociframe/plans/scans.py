@@ -21,17 +21,22 @@ def scan_cytosine(v):
     return out.select("sample", "chrom", "chrom_pos", "strand", "c_reads", "t_reads")
 
 
-def read_cytosines(base):
-    """Read-level cytosine calls of the base view: one row per read and reference C (or G on -)."""
+def call_columns():
+    """Whether a read base is a cytosine call (reference C, or G on -), and its counts."""
     fwd = (F.col("strand") == "+") & (F.col("ref_base") == "C")
     rev = (F.col("strand") == "-") & (F.col("ref_base") == "G")
     meth = F.when(F.col("strand") == "+", F.col("base") == "C").otherwise(F.col("base") == "G")
     conv = F.when(F.col("strand") == "+", F.col("base") == "T").otherwise(F.col("base") == "A")
     one = lambda c: c.cast("bigint")
-    return base.filter(fwd | rev).select(
-        "read_id", "chrom", F.col("pos").alias("chrom_pos"), "strand",
-        one(meth & (F.col("qual") >= 10)).alias("c_reads"), one(meth & (F.col("qual") < 10)).alias("c_reads_nonconv"),
-        one(conv).alias("t_reads"), one(~meth & ~conv).alias("ag_reads"))
+    return fwd | rev, {"c_reads": one(meth & (F.col("qual") >= 10)), "c_reads_nonconv": one(meth & (F.col("qual") < 10)),
+                       "t_reads": one(conv), "ag_reads": one(~meth & ~conv)}
+
+
+def read_cytosines(base):
+    """Read-level cytosine calls of the base view: one row per read and reference C (or G on -)."""
+    call, counts = call_columns()
+    return base.filter(call).select(
+        "read_id", *[c for c in ("chrom", "tile", "home") if c in base.columns], F.col("pos").alias("chrom_pos"), "strand", *[c.alias(n) for n, c in counts.items()])
 
 
 READS_SQL = """SELECT read_id, chrom, pos AS chrom_pos, strand,

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from lociframe.operators import aggregates as A
 from lociframe.operators import genotype as G
+from lociframe.operators import joins as J
 from lociframe.operators import lookups
 from lociframe.operators import walks as W
 from lociframe.operators.piles import place, tiled_bases
 from lociframe.plans.registry import near, near_double
+from lociframe.plans.scans import call_columns
 
 
 @pytest.fixture(scope="module")
@@ -67,6 +69,37 @@ def test_bases_do_not_move(reads):
     assert exchanges(A.snp_calls(tiled_bases(reads, parts=3))) == 1
 
 
+def allele_bases(bases):
+    call, n = call_columns()
+    return bases.select("read_id", *place(bases), "strand", "base", call.alias("call"), n["c_reads"].alias("c"), n["t_reads"].alias("t"))
+
+
+def plain_allele_counts(bases, dist):
+    seen, reads, sums = {}, {}, {}
+    for x in bases:
+        seen.setdefault((x.chrom, x.pos), set()).add(x.base)
+        reads.setdefault(x.read_id, []).append(x)
+    for rows in reads.values():
+        for x in rows:
+            for y in rows if x.call and x.chrom is not None else ():
+                if 0 < abs(x.pos - y.pos) <= dist and len(seen[y.chrom, y.pos]) > 1:
+                    c, t = sums.get(k := (x.chrom, x.pos, x.strand, y.pos, y.base), (0, 0))
+                    sums[k] = c + x.c, t + x.t
+    return sorted([(*k, *v) for k, v in sums.items()], key=str)
+
+
+@pytest.mark.parametrize("width", [16, 1 << 12])
+def test_alleles_of_a_read(reads, width):
+    """A read that comes twice meets its copy, as in a join by read; a read without a place has no variants."""
+    want = plain_allele_counts(allele_bases(plain(reads)).collect(), 9)
+    assert want and rows(J.allele_counts(allele_bases(tiled_bases(reads, 9, width=width)), 9)) == want
+    assert rows(J.allele_counts(allele_bases(plain(reads)), 9)) == want
+
+
+def test_pairs_do_not_move(reads):
+    assert exchanges(J.allele_counts(allele_bases(tiled_bases(reads, 9, parts=3)), 9)) == 1
+
+
 def test_centres_in_blocks(spark):
     top = 7 * (W.BLOCK * 3 + 5) + 2
     sizes = spark.createDataFrame([("chr1", top), ("chr2", 1), ("chr3", None)], "chrom string, length long")
