@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from lociframe.functions import intervals as I
 from lociframe.session import settle
-from lociframe.operators.lookups import cap_identical
 from lociframe.operators.piles import near_tiles
 from lociframe.operators.rangejoin import (
     flanked, overlap_pairs, pairs_within, points_in_intervals, within,
@@ -220,24 +219,27 @@ def read_pairs(calls: DataFrame, max_dist: int, mode: str = "same", cols: Sequen
     """Cytosine pairs of read-level calls (read_id, chrom, strand, chrom_pos): `same`, `different` or `any` read.
 
     `same` joins inside a read by position bins. `different` pairs each call with one read of the
-    later position: the lowest read id that is not its own, so depth does not multiply.
+    later position: the lowest read id that is not its own, so depth does not multiply. For it the calls may come
+    from bases dealt by tile with a halo of `max_dist` (`piles.tiled_bases`); then they do not move again.
     """
     if mode == "same":
         return pairs_within(calls, max_dist, ["chrom", "strand", "read_id"], "chrom_pos", cols)
     if mode == "any":
         return pairs_within(calls, max_dist, ["chrom", "strand"], "chrom_pos", ["read_id", *cols])
-    two = cap_identical(calls, ["chrom", "strand", "chrom_pos"], 2, "read_id")
-    row = F.struct("read_id", *cols)
-    spots = two.groupBy("chrom", "strand", "chrom_pos").agg(F.min(row).alias("lo"), F.max(row).alias("hi"))
-    places = calls.select("chrom", "strand", "chrom_pos").distinct()
-    near = pairs_within(places, max_dist, ["chrom", "strand"], "chrom_pos")
-    first = calls.select("chrom", "strand", F.col("chrom_pos").alias("pos_1"), "read_id", *[F.col(c).alias(f"{c}_1") for c in cols])
-    second = spots.withColumnRenamed("chrom_pos", "pos_2")
-    other = F.when(F.col("lo.read_id") != F.col("read_id"), F.col("lo")).when(F.col("hi.read_id") != F.col("read_id"), F.col("hi"))
-    out = near.join(second, ["chrom", "strand", "pos_2"]).join(first, ["chrom", "strand", "pos_1"]).withColumn("_b", other)
-    return out.filter(F.col("_b").isNotNull()).select(
-        "chrom", "strand", "pos_1", "pos_2", "dist", F.col("read_id").alias("read_id_1"), F.col("_b.read_id").alias("read_id_2"),
-        *[f"{c}_1" for c in cols], *[F.col(f"_b.{c}").alias(f"{c}_2") for c in cols])
+    row, pos = F.struct("read_id", *cols), F.col("chrom_pos")
+    rows = near_tiles(calls.filter(F.col("strand").isNotNull()), "chrom_pos", 0, max_dist)
+    here = Window.partitionBy("chrom", "tile", "strand", "chrom_pos").orderBy("read_id", *cols)
+    ahead = Window.partitionBy("chrom", "tile", "strand").orderBy("chrom_pos").rangeBetween(1, max_dist)
+    # the first row of a position stands for it, with its two lowest reads
+    rows = rows.withColumns({"_r": F.row_number().over(here), "_hi": F.lead(row).over(here)})
+    spot = F.when(F.col("_r") == 1, F.struct(pos.alias("pos"), row.alias("lo"), F.coalesce("_hi", row).alias("hi")))
+    near = rows.withColumn("_n", F.collect_list(spot).over(ahead)).filter("home").withColumn("_n", F.explode("_n"))
+    own = F.col("read_id")
+    other = F.when(F.col("_n.lo.read_id") != own, F.col("_n.lo")).when(F.col("_n.hi.read_id") != own, F.col("_n.hi"))
+    out = near.withColumn("_b", other).filter(F.col("_b").isNotNull())
+    return out.select(
+        "chrom", "strand", pos.alias("pos_1"), F.col("_n.pos").alias("pos_2"), (F.col("_n.pos") - pos).alias("dist"), own.alias("read_id_1"), F.col("_b.read_id").alias("read_id_2"),
+        *[F.col(c).alias(f"{c}_1") for c in cols], *[F.col(f"_b.{c}").alias(f"{c}_2") for c in cols])
 
 
 def pairs_across_boundary(df: DataFrame, features: DataFrame, max_dist: int, pos: str = "chrom_pos",

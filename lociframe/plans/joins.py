@@ -170,8 +170,9 @@ def allpairs(v):
     return p.select("sample", "chrom", "pos_1", "pos_2", (F.col("strand_1") == F.col("strand_2")).alias("same_strand"))
 
 
-def calls(v):
-    return read_cytosines(v.base).select("read_id", "chrom", "strand", "chrom_pos", (F.col("c_reads") + F.col("c_reads_nonconv") > 0).alias("meth"))
+def calls(v, base=None):
+    k = read_cytosines(v.base if base is None else base)
+    return k.select("read_id", *[c for c in ("chrom", "tile", "home") if c in k.columns], "strand", "chrom_pos", (F.col("c_reads") + F.col("c_reads_nonconv") > 0).alias("meth"))
 
 
 CALLS_SQL = f"SELECT read_id, chrom, strand, chrom_pos, c_reads + c_reads_nonconv > 0 AS meth FROM ({READS_SQL}) q"
@@ -192,7 +193,7 @@ p AS (SELECT a.read_id AS read_id_1, b.read_id AS read_id_2, a.chrom, a.strand,
   FROM k a JOIN k b ON a.chrom = b.chrom AND a.strand = b.strand AND b.chrom_pos > a.chrom_pos AND b.chrom_pos <= a.chrom_pos + 8 AND a.read_id <> b.read_id)
 SELECT read_id_1, read_id_2, chrom, strand, pos_1, pos_2, meth_1, meth_2 FROM p WHERE rn = 1""")
 def pairs_other_read(v):
-    return J.read_pairs(calls(v), 8, "different").select("read_id_1", "read_id_2", "chrom", "strand", "pos_1", "pos_2", "meth_1", "meth_2")
+    return J.read_pairs(calls(v, v.tiled_bases(8)), 8, "different").select("read_id_1", "read_id_2", "chrom", "strand", "pos_1", "pos_2", "meth_1", "meth_2")
 
 
 @question("j_pairs_across_boundary", f"{C} {FEAT}", """

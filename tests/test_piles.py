@@ -12,7 +12,7 @@ from lociframe.operators import lookups
 from lociframe.operators import walks as W
 from lociframe.operators.piles import place, tiled_bases
 from lociframe.plans.registry import near, near_double
-from lociframe.plans.scans import call_columns
+from lociframe.plans.scans import call_columns, read_cytosines
 
 
 @pytest.fixture(scope="module")
@@ -69,6 +69,11 @@ def test_bases_do_not_move(reads):
     assert exchanges(A.snp_calls(tiled_bases(reads, parts=3))) == 1
 
 
+def cytosine_calls(bases):
+    k = read_cytosines(bases)
+    return k.select("read_id", *[c for c in ("chrom", "tile", "home") if c in k.columns], "strand", "chrom_pos", (F.col("c_reads") > 0).alias("meth"))
+
+
 def allele_bases(bases):
     call, n = call_columns()
     return bases.select("read_id", *place(bases), "strand", "base", call.alias("call"), n["c_reads"].alias("c"), n["t_reads"].alias("t"))
@@ -96,8 +101,27 @@ def test_alleles_of_a_read(reads, width):
     assert rows(J.allele_counts(allele_bases(plain(reads)), 9)) == want
 
 
+def plain_other_read(calls, dist):
+    out = []
+    for x in calls:
+        for pos in sorted({y.chrom_pos for y in calls if x.chrom is not None and (y.chrom, y.strand) == (x.chrom, x.strand) and 0 < y.chrom_pos - x.chrom_pos <= dist}):
+            there = sorted((y.read_id, y.meth) for y in calls if (y.chrom, y.strand, y.chrom_pos) == (x.chrom, x.strand, pos) and y.read_id != x.read_id)
+            if there:
+                out.append((x.chrom, x.strand, x.chrom_pos, pos, pos - x.chrom_pos, x.read_id, there[0][0], x.meth, there[0][1]))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("width", [16, 1 << 12])
+def test_pairs_of_different_reads(reads, width):
+    once = reads.dropDuplicates(["read_id"])
+    want = plain_other_read(cytosine_calls(plain(once)).collect(), 8)
+    assert want and rows(J.read_pairs(cytosine_calls(tiled_bases(once, 8, width=width)), 8, "different")) == want
+    assert rows(J.read_pairs(cytosine_calls(plain(once)), 8, "different")) == want
+
+
 def test_pairs_do_not_move(reads):
     assert exchanges(J.allele_counts(allele_bases(tiled_bases(reads, 9, parts=3)), 9)) == 1
+    assert exchanges(J.read_pairs(cytosine_calls(tiled_bases(reads, 8, parts=3)), 8, "different")) == 1
 
 
 def test_centres_in_blocks(spark):
