@@ -6,7 +6,10 @@ import heapq
 import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,11 +158,36 @@ def rank_sum_p(mid: Column, adj: Column) -> Column:
 
 
 def ks_p(mid: Column, adj: Column) -> Column:
-    """One-sided two-sample Smirnov p that the values of array `mid` are larger (asymptotic); null where an array is empty or null."""
-    n1, n2 = F.size(mid).cast("double"), F.size(adj).cast("double")
-    step = lambda t: _count(adj, lambda y: y <= t) / n2 - _count(mid, lambda y: y <= t) / n1
-    d = F.greatest(F.array_max(F.transform(F.concat(mid, adj), step)), F.lit(0.0))
-    return F.when((n1 > 0) & (n2 > 0), F.exp(-2.0 * d * d * n1 * n2 / (n1 + n2)))
+    """One-sided two-sample Smirnov p that the values of array `mid` are larger (asymptotic); null where an array is empty or null.
+
+    One walk over the values of both arrays in order, for the rows of a batch at once: a value of `adj` lifts the difference
+    of the two shares, one of `mid` lowers it, in units of 1 / (n1 * n2). Of equal values those of `mid` come first, so no
+    top lies inside a tie.
+    """
+    @F.arrow_udf("double")
+    def p(mid: pa.Array, adj: pa.Array) -> pa.Array:
+        n1, n2 = (pc.fill_null(pc.list_value_length(side), 0).to_numpy(zero_copy_only=False).astype(np.int64) for side in (mid, adj))
+        m, a = mid.flatten(), adj.flatten()  # without those of missing rows
+        row = np.concatenate([np.repeat(np.arange(len(n1)), n1), np.repeat(np.arange(len(n2)), n2)])
+        by = np.concatenate([-np.repeat(n2, n1), np.repeat(n1, n2)])
+        missing = np.concatenate([pc.is_null(side).to_numpy(zero_copy_only=False) for side in (m, a)])
+        value = np.concatenate([pc.fill_null(side, 0.0).to_numpy(zero_copy_only=False) for side in (m, a)])
+        by[missing] = 0
+        order = np.lexsort((by, value, row))
+        at = np.concatenate([[0], np.cumsum(by[order])])
+        begin = np.concatenate([[0], np.cumsum(n1 + n2)])
+        # the first place of a row is that before its values, where the difference is none
+        top = np.zeros(len(n1), np.int64)
+        some = n1 + n2 > 0
+        if some.any():
+            top[some] = np.maximum.reduceat(at[1:], begin[:-1][some])
+        top = np.maximum(top - at[begin[:-1]], 0)
+        ok = (n1 > 0) & (n2 > 0)
+        size = np.where(ok, n1 * n2, 1).astype(float)
+        d = top / size
+        return pa.array(np.exp(-2.0 * d * d * size / np.where(ok, n1 + n2, 1)), mask=~ok)
+
+    return p(mid.cast("array<double>"), adj.cast("array<double>"))
 
 
 def depletion_windows(sites: DataFrame, window: int = 147, linker: int = 30, min_depth: int = 1, keys: Sequence[str] = ("chrom",),
