@@ -147,3 +147,39 @@ def test_nearest_brute(spans):
             cand = (abs(d), g.start_pos, -g.end_pos, g.feat_id, d)
             best = cand if best is None or cand < best else best
         assert (r.near_id, r.dist) == (best[3], best[4])
+
+
+def test_interval_sums_in_small_parts(spark, points, spans, monkeypatch):
+    """Tasks follow the rows, also where Spark would join small partitions; repeated and missing places."""
+    per = points.withColumn("sample", F.when(F.col("v") % 3 > 0, "A").otherwise("B"))
+    lost = spark.createDataFrame([(None, 5, 9, "A"), ("chr1", None, 9, "A"), ("chr3", 7, None, "B"), ("chr3", 7, 4, None)], "chrom string, pos int, v int, sample string")
+    pts, asks = per.unionByName(per).unionByName(lost), spans.unionByName(spans.limit(5)).select("feat_id", "chrom", "start_pos", "end_pos")
+    asks = asks.unionByName(spark.createDataFrame([(-1, None, 1, 5), (-2, "chr1", None, 5)], asks.schema))
+    rows, want = pts.collect(), []
+    for f in asks.collect():
+        for s in "AB" if f.chrom is not None and f.start_pos is not None else ():
+            hit = [p.v for p in rows if (p.chrom, p.sample) == (f.chrom, s) and p.pos is not None and f.start_pos <= p.pos <= f.end_pos]
+            want.append((f.feat_id, s, len(hit), sum(v or 0 for v in hit)))
+    monkeypatch.setattr(R, "PART_ROWS", 64, raising=False)
+    got = R.interval_sums(pts, asks, {"n": F.lit(1), "t": F.col("v")}, "pos", per="sample", per_values=["A", "B"])
+    assert got.rdd.getNumPartitions() >= (len(rows) + 4 * asks.count()) // 64
+    assert sorted(got.select("feat_id", "sample", "n", "t").collect()) == sorted(want)
+    assert R.parts_of(spark, 10**6) == 10**6 // 64
+
+
+def test_cytosines_dealt_by_rows(spark, monkeypatch, tmp_path):
+    """The view in tasks that follow the rows gives the rows of the view, in one exchange."""
+    from lociframe.plans.registry import Views
+
+    rnd = random.Random(5)
+    rows = [(rnd.randint(1, 90), rnd.choice([None, 7, 8, 9]), rnd.randint(1, 7), float(rnd.randint(1, 50)), rnd.random() * 900, rnd.random() / 10, rnd.random() / 10,
+             rnd.choice("ARN"), rnd.choice(["F", "O", None])) for _ in range(3000)]
+    rows += [(None, 7, 1, 3.0, 4.0, 0.1, 0.1, "R", "F")] * 2 + [(5, 7, None, 3.0, None, 0.1, 0.1, "R", "F")]
+    names = "l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(R, "PART_ROWS", 100, raising=False)
+    v = Views(spark, str(tmp_path))
+    got = v.dealt_cytosine()
+    whole = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert got.columns == v.cytosine.columns and whole(got) == whole(v.cytosine)
+    assert got.groupBy("chrom", "sample", "chrom_pos").count().rdd.getNumPartitions() == 31
