@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.functions.sequence import context_class
 from lociframe.operators.lookups import base_neighbours
-from lociframe.operators.piles import place
+from lociframe.operators.piles import BASES, STRANDS, base_sums, dealt_reads, place
 
 # The ten diploid genotypes and the default rates.
 GENOTYPES = ["AA", "AC", "AG", "AT", "CC", "CG", "CT", "GG", "GT", "TT"]
@@ -44,9 +44,28 @@ def likelihood_columns(meth: Column | float, conversion: float, over: float) ->
     return {g: F.log10(0.5 * p[g[0]] + 0.5 * p[g[1]]) for g in GENOTYPES}
 
 
+def likelihood_terms(quals: np.ndarray, meth: float, conversion: float, over: float) -> np.ndarray:
+    """`likelihood_columns` as a table: strand (+, -, neither, null) by base (A, C, G, T, other) by quality by genotype."""
+    error = np.power(10.0, -quals / 10.0)
+    kept, turned = (1 - meth) * (1 - conversion) + meth * (1 - over), (1 - meth) * conversion + meth * over
+
+    def probability(allele: str, base: str, strand: str | None) -> np.ndarray:
+        converts = allele in "CG" and strand is not None and (strand == "-") == (allele == "G")
+        if base == allele:
+            return (1 - error) * kept if converts else 1 - error
+        return error / 3.0 + turned if converts and base == PARTNER[allele] else error / 3.0
+
+    p = np.array([[[probability(a, b, s) for a in BASES] for b in [*BASES, ""]] for s in [*STRANDS, "", None]])
+    both = np.stack([0.5 * p[:, :, BASES.index(g[0])] + 0.5 * p[:, :, BASES.index(g[1])] for g in GENOTYPES], axis=-1)
+    return np.where(both > 0, np.log10(np.where(both > 0, both, 1.0)), np.nan)
+
+
 def genotype_likelihoods(bases: DataFrame, meth: Column | float = 0.5, conversion: float = CONVERSION, over: float = OVER_CONVERSION,
                          by_strand: bool = False) -> DataFrame:
-    """Ten log10 likelihoods per position: ten sums in one aggregation, where the rows are if they are dealt by tile, else combined map-side."""
+    """Ten log10 likelihoods per position: ten sums in one aggregation, from the reads if they are dealt by tile, else combined map-side."""
+    dealt = dealt_reads(bases)
+    if dealt and not isinstance(meth, Column):
+        return base_sums(dealt, lambda quals: likelihood_terms(quals, meth, conversion, over), GENOTYPES, by_strand)
     keys = place(bases, "ref_base")
     rows = bases.select(*keys, "strand", *[c.alias(g) for g, c in likelihood_columns(meth, conversion, over).items()])
     sums = [F.sum(g).alias(g) for g in GENOTYPES]
@@ -122,12 +141,24 @@ def call_genotypes(likelihoods: DataFrame, het: float = HETEROZYGOSITY, ti_tv: f
     """
     prior = prior or prior_columns(F.col("ref_base"), het, ti_tv, known)
     d = likelihoods.withColumns({f"_p{g}": F.col(g) + prior[g] for g in GENOTYPES})
-    entry = lambda i, g: F.struct(F.col(f"_p{g}").alias("p"), F.lit(-i).alias("i"), F.lit(g).alias("g"))
-    d = d.withColumn("_b", F.greatest(*[entry(i, g) for i, g in enumerate(GENOTYPES)]))
-    d = d.withColumn("_s", F.greatest(*[F.when(F.col("_b.i") != -i, entry(i, g)) for i, g in enumerate(GENOTYPES)]))
-    total = sum(F.pow(F.lit(10.0), F.col(f"_p{g}") - F.col("_b.p")) for g in GENOTYPES)
-    return d.withColumns({"genotype": F.col("_b.g"), "runner_up": F.col("_s.g"), "ratio": 10.0 * (F.col("_b.p") - F.col("_s.p")),
-                          "log10_posterior": -F.log10(total)}).drop("_b", "_s", *[f"_p{g}" for g in GENOTYPES])
+
+    def best(other_than: str | None, p: str, at: str) -> DataFrame:
+        """Highest posterior and the first genotype that has it; without any, the first genotype."""
+        left = lambda i: F.col(f"_p{GENOTYPES[i]}") if other_than is None else F.when(F.col(other_than) != i, F.col(f"_p{GENOTYPES[i]}"))
+        high = d.withColumn(p, F.greatest(*[left(i) for i in range(len(GENOTYPES))]))
+        first = F.when(left(0) == F.col(p), 0)
+        for i in range(1, len(GENOTYPES)):
+            first = first.when(left(i) == F.col(p), i)
+        return high.withColumn(at, first.otherwise(0 if other_than is None else F.when(F.col(other_than) == 0, 1).otherwise(0)))
+
+    d = best(None, "_best", "_b")
+    d = best("_b", "_second", "_s")
+    # as a generated row: conditions on the call are not moved below it, where each would work it out again
+    name = lambda at: F.get(F.array(*[F.lit(g) for g in GENOTYPES]), F.col(at))
+    call = F.struct(name("_b").alias("genotype"), name("_s").alias("runner_up"), (10.0 * (F.col("_best") - F.col("_second"))).alias("ratio"))
+    d = d.select(*likelihoods.columns, *[f"_p{g}" for g in GENOTYPES], "_best", F.inline(F.array(call)))
+    total = sum(F.pow(F.lit(10.0), F.col(f"_p{g}") - F.col("_best")) for g in GENOTYPES)
+    return d.withColumn("log10_posterior", -F.log10(total)).drop("_best", *[f"_p{g}" for g in GENOTYPES])
 
 
 def call_with_known(likelihoods: DataFrame, sites: DataFrame, het: float = HETEROZYGOSITY, ti_tv: float = TI_TV) -> DataFrame:
