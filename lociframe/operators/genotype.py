@@ -94,16 +94,22 @@ def prior_value(ref: str, genotype: str, het: float, ti_tv: float, ref_error: fl
 def prior_columns(ref: Column, het: float = HETEROZYGOSITY, ti_tv: float = TI_TV, known: Column | None = None,
                   known_het: float = KNOWN_HETEROZYGOSITY) -> dict[str, Column]:
     """log10 priors by genotype; known variant positions use their own heterozygosity."""
-    def table(g: str, h: float) -> Column:
-        out = None
-        for r in "ACGT":
-            v = F.log10(F.lit(prior_value(r, g, h, ti_tv)))
-            out = F.when(ref == r, v) if out is None else out.when(ref == r, v)
-        return out
+    rates = [het] if known is None else [het, known_het]
+    at = _letter(ref) if known is None else _letter(ref) + F.when(F.coalesce(known, F.lit(False)), len(BASES)).otherwise(0)
+    return {g: _entry([prior_value(r, g, h, ti_tv) for h in rates for r in BASES], at) for g in GENOTYPES}
+
 
-    if known is None:
-        return {g: table(g, het) for g in GENOTYPES}
-    return {g: F.when(F.coalesce(known, F.lit(False)), table(g, known_het)).otherwise(table(g, het)) for g in GENOTYPES}
+def _letter(ref: Column) -> Column:
+    """Place of a base in ACGT; null for others."""
+    at = F.when(ref == BASES[0], 0)
+    for i, b in enumerate(BASES[1:], 1):
+        at = at.when(ref == b, i)
+    return at
+
+
+def _entry(values: list[float], at: Column) -> Column:
+    """Logarithm of one of the values: a lookup, not a chain of comparisons for each."""
+    return F.get(F.array(*[F.log10(F.lit(v)) for v in values]), at)
 
 
 def bisulfite_prior_columns(ref: Column, het: float = HETEROZYGOSITY, conversion: float = CONVERSION, ref_error: float = REFERENCE_ERROR) -> dict[str, Column]:
@@ -124,14 +130,7 @@ def bisulfite_prior_columns(ref: Column, het: float = HETEROZYGOSITY, conversion
             return same * (1 - conversion) if r in "CT" else (mixed - tri) / 3
         return tri / 3
 
-    out = {}
-    for g in GENOTYPES:
-        c = None
-        for r in "ACGT":
-            v = F.log10(F.lit(value(r, g)))
-            c = F.when(ref == r, v) if c is None else c.when(ref == r, v)
-        out[g] = c
-    return out
+    return {g: _entry([value(r, g) for r in BASES], _letter(ref)) for g in GENOTYPES}
 
 
 def call_genotypes(likelihoods: DataFrame, het: float = HETEROZYGOSITY, ti_tv: float = TI_TV, known: Column | None = None, prior: dict[str, Column] | None = None) -> DataFrame:
