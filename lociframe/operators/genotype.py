@@ -164,10 +164,15 @@ def call_with_known(likelihoods: DataFrame, sites: DataFrame, het: float = HETER
     """Calls in which known variant sites (chrom, pos; repeats count once) have the prior of known variants; adds `known`.
 
     The site list is a table of any size: it is joined by position, and Spark broadcasts it only if its size allows.
+    Both calls are made before that, so the ten likelihoods move only if they are asked for.
     """
     marks = sites.select("chrom", "pos").distinct().withColumn("_known", F.lit(True))
-    rows = likelihoods.join(marks, ["chrom", "pos"], "left").withColumn("known", F.coalesce("_known", F.lit(False))).drop("_known")
-    return call_genotypes(rows, het, ti_tv, known=F.col("known"))
+    names = ["genotype", "runner_up", "ratio", "log10_posterior"]
+    usual = call_genotypes(likelihoods, het, ti_tv).withColumnsRenamed({n: f"_usual_{n}" for n in names})
+    rows = call_genotypes(usual, KNOWN_HETEROZYGOSITY, ti_tv).join(marks, ["chrom", "pos"], "left")
+    known = F.coalesce("_known", F.lit(False))
+    return rows.select("chrom", "pos", *[c for c in likelihoods.columns if c not in ("chrom", "pos")], known.alias("known"),
+                       *[F.when(known, F.col(n)).otherwise(F.col(f"_usual_{n}")).alias(n) for n in names])
 
 
 def confident(calls: DataFrame, min_ratio: float = 30.0, variants_only: bool = False) -> DataFrame:

@@ -92,3 +92,14 @@ def test_calls_rank_as_before(spark):
     flat = {g: F.when(F.col("ref_base") == "A", F.lit(0.0)) for g in G.GENOTYPES}
     got = {r.pos: (r.genotype, r.runner_up, r.ratio) for r in G.call_genotypes(d, prior=flat).collect()}
     assert got == {0: ("GG", "TT", 0.0), 1: ("AA", "AC", None), 2: ("AA", "AC", None), 3: ("TT", "AA", None), 4: ("AA", "AC", None), 5: ("AA", "AG", 0.0)}
+
+
+def test_likelihoods_stay_where_sites_are_joined(spark, reads):
+    """What moves to the sites is the calls; the ten likelihoods moved before."""
+    sites = spark.createDataFrame([("chr1", 20), ("chr2", 30), ("chr1", 20)], "chrom string, pos long")
+    out = G.call_with_known(G.genotype_likelihoods(tiled_bases(reads)), sites.hint("merge")).select("chrom", "pos", "known", "depth", "genotype", "ratio")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joined = next(i for i, x in enumerate(plan.splitlines()) if "Join LeftOuter" in x)
+    assert not any(f" {g}#" in plan.splitlines()[joined + 1] for g in G.GENOTYPES) and "MapInArrow" not in plan.splitlines()[joined + 1]
+    got = {(r.chrom, r.pos): r.known for r in out.collect()}
+    assert {k for k, v in got.items() if v} == {k for k in (("chr1", 20), ("chr2", 30)) if k in got}
