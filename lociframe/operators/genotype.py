@@ -60,12 +60,24 @@ def likelihood_terms(quals: np.ndarray, meth: float, conversion: float, over: fl
     return np.where(both > 0, np.log10(np.where(both > 0, both, 1.0)), np.nan)
 
 
+def conversion_terms(quals: np.ndarray) -> np.ndarray:
+    """Ones for C and T on plus reads, G and A on minus reads, in the form of `likelihood_terms`; of any quality."""
+    out = np.zeros((len(STRANDS) + 2, len(BASES) + 1, len(quals), 4))
+    for s, pair in enumerate(("CT", "GA")):
+        for k, b in enumerate(pair):
+            out[s, BASES.index(b), :, 2 * s + k] = 1.0
+    return out
+
+
 def genotype_likelihoods(bases: DataFrame, meth: Column | float = 0.5, conversion: float = CONVERSION, over: float = OVER_CONVERSION,
-                         by_strand: bool = False) -> DataFrame:
-    """Ten log10 likelihoods per position: ten sums in one aggregation, from the reads if they are dealt by tile, else combined map-side."""
+                         by_strand: bool = False, around: int = 0) -> DataFrame:
+    """Ten log10 likelihoods per position: ten sums in one aggregation, from the reads if they are dealt by tile, else combined map-side.
+
+    From reads dealt with a halo that holds them, the reference bases `around` a position come with it.
+    """
     dealt = dealt_reads(bases)
     if dealt and not isinstance(meth, Column):
-        return base_sums(dealt, lambda quals: likelihood_terms(quals, meth, conversion, over), GENOTYPES, by_strand)
+        return base_sums(dealt, lambda quals: likelihood_terms(quals, meth, conversion, over), GENOTYPES, by_strand, around if around <= dealt.halo else 0)
     keys = place(bases, "ref_base")
     rows = bases.select(*keys, "strand", *[c.alias(g) for g, c in likelihood_columns(meth, conversion, over).items()])
     sums = [F.sum(g).alias(g) for g in GENOTYPES]
@@ -272,8 +284,16 @@ def variant_methylation(bases: DataFrame, calls: DataFrame) -> DataFrame:
     """`variant_classes` with the C and T reads of each cytosine's own strand."""
     plus = F.col("strand") == "+"
     c, t = F.col("base") == F.when(plus, "C").otherwise("G"), F.col("base") == F.when(plus, "T").otherwise("A")
-    own = (bases.filter("home") if "home" in bases.columns else bases).filter(c | t)
-    reads = own.groupBy(*place(own.drop("home")), "strand").agg(F.count(F.when(c, 1)).alias("c_reads"), F.count(F.when(t, 1)).alias("t_reads")).withColumnRenamed("pos", "cytosine_pos").drop("tile")
+    if dealt := dealt_reads(bases):
+        sums = base_sums(dealt, conversion_terms, [f"{x}_{s}" for s in ("plus", "minus") for x in "ct"])
+        sums = (sums.filter("home") if dealt.halo else sums).fillna(0.0, ["c_plus", "t_plus", "c_minus", "t_minus"])
+        # positions come by tile and by reference base, which may be more than one
+        rows = sums.select("chrom", F.col("pos").alias("cytosine_pos"), F.inline(F.array(*[
+            F.struct(F.lit(s).alias("strand"), *[F.col(f"{x}_{name}").cast("bigint").alias(f"{x}_reads") for x in "ct"]) for s, name in (("+", "plus"), ("-", "minus"))])))
+        reads = rows.filter(F.col("c_reads") + F.col("t_reads") > 0).groupBy("chrom", "cytosine_pos", "strand").agg(F.sum("c_reads").alias("c_reads"), F.sum("t_reads").alias("t_reads"))
+    else:
+        own = (bases.filter("home") if "home" in bases.columns else bases).filter(c | t)
+        reads = own.groupBy(*place(own.drop("home")), "strand").agg(F.count(F.when(c, 1)).alias("c_reads"), F.count(F.when(t, 1)).alias("t_reads")).withColumnRenamed("pos", "cytosine_pos").drop("tile")
     out = variant_classes(calls).join(reads, ["chrom", "cytosine_pos", "strand"], "left")
     return out.withColumns({k: F.coalesce(k, F.lit(0)).cast("bigint") for k in ("c_reads", "t_reads")})
 

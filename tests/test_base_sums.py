@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociframe.operators import genotype as G
+from lociframe.operators import lookups
 from lociframe.operators.piles import tiled_bases
 
 SCHEMA = "read_id long, chrom string, start_pos long, strand string, mapq int, seq string, ref string, qual string"
@@ -103,3 +104,30 @@ def test_likelihoods_stay_where_sites_are_joined(spark, reads):
     assert not any(f" {g}#" in plan.splitlines()[joined + 1] for g in G.GENOTYPES) and "MapInArrow" not in plan.splitlines()[joined + 1]
     got = {(r.chrom, r.pos): r.known for r in out.collect()}
     assert {k for k, v in got.items() if v} == {k for k in (("chr1", 20), ("chr2", 30)) if k in got}
+
+
+@pytest.mark.parametrize("width, rows", [(16, 10000), (64, 5), (1 << 12, 10000)])
+def test_neighbours_and_counts_come_with_the_sums(spark, odd, width, rows):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        b = tiled_bases(odd, 2, width=width)
+        keys = ["chrom", "tile", "home", "pos", "ref_base"]
+        near = [f"ref_base_{k}" for k in ("m2", "m1", "p1", "p2")]
+        like = G.genotype_likelihoods(b, around=2)
+        want = lookups.base_neighbours(G.genotype_likelihoods(plain(b)).select(*keys), 2, 2)
+        got = lookups.base_neighbours(like.select(*keys, *near), 2, 2)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        calls = [G.call_genotypes(x, prior=G.bisulfite_prior_columns(F.col("ref_base"))) for x in (like, G.genotype_likelihoods(plain(b)))]
+        got, want = G.variant_methylation(b, calls[0].select(*keys, "genotype", *near)
+                                          .withColumn("ratio", F.lit(1.0))), G.variant_methylation(plain(b), calls[1].select(*keys, "genotype").withColumn("ratio", F.lit(1.0)))
+        assert got.columns == want.columns and got.count() and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_neighbours_do_not_move_positions(reads):
+    calls = G.call_genotypes(G.genotype_likelihoods(tiled_bases(reads, 2, parts=3), around=2))
+    plan = G.variant_classes(calls)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan
