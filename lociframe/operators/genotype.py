@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lociframe.functions.sequence import context_class
 from lociframe.operators.lookups import base_neighbours
-from lociframe.operators.piles import BASES, STRANDS, base_sums, dealt_reads, place
+from lociframe.operators.piles import BASES, STRANDS, base_sums, beside, by_tile, dealt_reads, place
 
 # The ten diploid genotypes and the default rates.
 GENOTYPES = ["AA", "AC", "AG", "AT", "CC", "CG", "CT", "GG", "GT", "TT"]
@@ -18,6 +18,7 @@ REFERENCE_ERROR = 1e-6
 HETEROZYGOSITY = 1e-3
 KNOWN_HETEROZYGOSITY = 0.1
 TI_TV = 2.0
+COUNTS = ["c_plus", "t_plus", "c_minus", "t_minus", "n_plus", "n_minus", "known_plus", "known_minus"]
 PARTNER = {"A": "G", "G": "A", "C": "T", "T": "C"}
 
 
@@ -45,39 +46,43 @@ def likelihood_columns(meth: Column | float, conversion: float, over: float) ->
 
 
 def likelihood_terms(quals: np.ndarray, meth: float, conversion: float, over: float) -> np.ndarray:
-    """`likelihood_columns` as a table: strand (+, -, neither, null) by base (A, C, G, T, other) by quality by genotype."""
+    """`likelihood_columns` as a table: strand (+, -, neither, null) by base (A, C, G, T, other, null) by quality by genotype."""
     error = np.power(10.0, -quals / 10.0)
     kept, turned = (1 - meth) * (1 - conversion) + meth * (1 - over), (1 - meth) * conversion + meth * over
 
-    def probability(allele: str, base: str, strand: str | None) -> np.ndarray:
+    def probability(allele: str, base: str | None, strand: str | None) -> np.ndarray:
         converts = allele in "CG" and strand is not None and (strand == "-") == (allele == "G")
         if base == allele:
             return (1 - error) * kept if converts else 1 - error
         return error / 3.0 + turned if converts and base == PARTNER[allele] else error / 3.0
 
-    p = np.array([[[probability(a, b, s) for a in BASES] for b in [*BASES, ""]] for s in [*STRANDS, "", None]])
+    p = np.array([[[probability(a, b, s) for a in BASES] for b in [*BASES, "", None]] for s in [*STRANDS, "", None]])
     both = np.stack([0.5 * p[:, :, BASES.index(g[0])] + 0.5 * p[:, :, BASES.index(g[1])] for g in GENOTYPES], axis=-1)
     return np.where(both > 0, np.log10(np.where(both > 0, both, 1.0)), np.nan)
 
 
 def conversion_terms(quals: np.ndarray) -> np.ndarray:
-    """Ones for C and T on plus reads, G and A on minus reads, in the form of `likelihood_terms`; of any quality."""
-    out = np.zeros((len(STRANDS) + 2, len(BASES) + 1, len(quals), 4))
+    """Ones for C and T on plus reads, G and A on minus reads, all and the known bases of either, in the form of `likelihood_terms`; of any quality."""
+    out = np.zeros((len(STRANDS) + 2, len(BASES) + 2, len(quals), len(COUNTS)))
     for s, pair in enumerate(("CT", "GA")):
+        out[s, :, :, 4 + s] = out[s, :-1, :, 6 + s] = 1.0
         for k, b in enumerate(pair):
             out[s, BASES.index(b), :, 2 * s + k] = 1.0
     return out
 
 
 def genotype_likelihoods(bases: DataFrame, meth: Column | float = 0.5, conversion: float = CONVERSION, over: float = OVER_CONVERSION,
-                         by_strand: bool = False, around: int = 0) -> DataFrame:
+                         by_strand: bool = False, around: int = 0, counts: bool = False) -> DataFrame:
     """Ten log10 likelihoods per position: ten sums in one aggregation, from the reads if they are dealt by tile, else combined map-side.
 
-    From reads dealt with a halo that holds them, the reference bases `around` a position come with it.
+    From reads dealt with a halo that holds them, the reference bases `around` a position come with it; with `counts`
+    also the C, T and all reads of either strand.
     """
     dealt = dealt_reads(bases)
     if dealt and not isinstance(meth, Column):
-        return base_sums(dealt, lambda quals: likelihood_terms(quals, meth, conversion, over), GENOTYPES, by_strand, around if around <= dealt.halo else 0)
+        own = lambda quals: likelihood_terms(quals, meth, conversion, over)
+        both = lambda quals: np.concatenate([own(quals), conversion_terms(quals)], axis=-1)
+        return base_sums(dealt, both if counts else own, GENOTYPES + COUNTS * counts, by_strand, around if around <= dealt.halo else 0)
     keys = place(bases, "ref_base")
     rows = bases.select(*keys, "strand", *[c.alias(g) for g, c in likelihood_columns(meth, conversion, over).items()])
     sums = [F.sum(g).alias(g) for g in GENOTYPES]
@@ -169,7 +174,9 @@ def call_genotypes(likelihoods: DataFrame, het: float = HETEROZYGOSITY, ti_tv: f
     call = F.struct(name("_b").alias("genotype"), name("_s").alias("runner_up"), (10.0 * (F.col("_best") - F.col("_second"))).alias("ratio"))
     d = d.select(*likelihoods.columns, *[f"_p{g}" for g in GENOTYPES], "_best", F.inline(F.array(call)))
     total = sum(F.pow(F.lit(10.0), F.col(f"_p{g}") - F.col("_best")) for g in GENOTYPES)
-    return d.withColumn("log10_posterior", -F.log10(total)).drop("_best", *[f"_p{g}" for g in GENOTYPES])
+    out = d.withColumn("log10_posterior", -F.log10(total)).drop("_best", *[f"_p{g}" for g in GENOTYPES])
+    out.by_tile = by_tile(likelihoods)
+    return out
 
 
 def call_with_known(likelihoods: DataFrame, sites: DataFrame, het: float = HETEROZYGOSITY, ti_tv: float = TI_TV) -> DataFrame:
@@ -237,16 +244,21 @@ def strand_bias(likelihoods: DataFrame, het: float = HETEROZYGOSITY, ti_tv: floa
 def cytosine_types(calls: DataFrame) -> DataFrame:
     """Type of called cytosines (CC on plus, GG on minus) from the genotypes around them.
 
-    A neighbour counts with its base when it is called homozygous, otherwise it is unknown.
+    A neighbour counts with its base when it is called homozygous, otherwise it is unknown. Calls with the counts of
+    `genotype_likelihoods` give types with the C, T and all reads of their own strand at the position.
     """
     hom = F.when(F.substring("genotype", 1, 1) == F.substring("genotype", 2, 1), F.substring("genotype", 1, 1)).otherwise("N")
-    n = base_neighbours(calls.select(*place(calls), hom.alias("b")), 2, 2, base="b")
+    counted = [c for c in COUNTS if c in calls.columns]
+    here = calls.select(*place(calls), hom.alias("b"), *counted)
+    n = beside(here, "b", 2, counted) if by_tile(calls) and "home" in calls.columns else base_neighbours(here, 2, 2, base="b")
     plus = F.col("b") == "C"
     comp = lambda c: F.translate(F.col(c), "ACGT", "TGCA")
     first = F.when(plus, F.col("b_p1")).otherwise(comp("b_m1"))
     second = F.when(plus, F.col("b_p2")).otherwise(comp("b_m2"))
+    side = lambda x: F.when(plus, F.col(f"{x}_plus")).otherwise(F.col(f"{x}_minus"))
+    own = [*[F.when(side("known") > 0, side(x)).alias(f"{x}_reads") for x in "ct"], side("n").alias("reads")] if counted else []
     return n.filter(F.col("b").isin("C", "G")).select(
-        "chrom", "pos", F.when(plus, "+").otherwise("-").alias("strand"), context_class(F.lit("C"), first, second).alias("type"))
+        "chrom", "pos", F.when(plus, "+").otherwise("-").alias("strand"), context_class(F.lit("C"), first, second).alias("type"), *own)
 
 
 def variant_classes(calls: DataFrame) -> DataFrame:
@@ -285,8 +297,8 @@ def variant_methylation(bases: DataFrame, calls: DataFrame) -> DataFrame:
     plus = F.col("strand") == "+"
     c, t = F.col("base") == F.when(plus, "C").otherwise("G"), F.col("base") == F.when(plus, "T").otherwise("A")
     if dealt := dealt_reads(bases):
-        sums = base_sums(dealt, conversion_terms, [f"{x}_{s}" for s in ("plus", "minus") for x in "ct"])
-        sums = (sums.filter("home") if dealt.halo else sums).fillna(0.0, ["c_plus", "t_plus", "c_minus", "t_minus"])
+        sums = base_sums(dealt, conversion_terms, COUNTS)
+        sums = (sums.filter("home") if dealt.halo else sums).fillna(0.0, COUNTS)
         # positions come by tile and by reference base, which may be more than one
         rows = sums.select("chrom", F.col("pos").alias("cytosine_pos"), F.inline(F.array(*[
             F.struct(F.lit(s).alias("strand"), *[F.col(f"{x}_{name}").cast("bigint").alias(f"{x}_reads") for x in "ct"]) for s, name in (("+", "plus"), ("-", "minus"))])))
@@ -299,7 +311,10 @@ def variant_methylation(bases: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def called_methylation(bases: DataFrame, types: DataFrame) -> DataFrame:
-    """C and T reads of the cytosine's own strand at called cytosines."""
+    """C and T reads of the cytosine's own strand at called cytosines; types may have them already (`cytosine_types`)."""
+    if "reads" in types.columns:
+        found = types.filter(F.col("chrom").isNotNull() & (F.col("reads") > 0))
+        return found.groupBy("chrom", "pos", "strand", "type").agg(F.sum("c_reads").alias("c_reads"), F.sum("t_reads").alias("t_reads"))
     j = bases.join(types, ["chrom", "pos", "strand"])
     c = F.when(F.col("strand") == "+", F.col("base") == "C").otherwise(F.col("base") == "G")
     t = F.when(F.col("strand") == "+", F.col("base") == "T").otherwise(F.col("base") == "A")

@@ -84,8 +84,8 @@ METH_SQL = """mt AS (SELECT b.chrom, b.pos, b.strand, t.type, SUM(CAST(CASE WHEN
 
 @question("g_called_methylation", "v_base", f"WITH {like_sql()}, {call_sql()}, {TYPES_SQL}, {METH_SQL} SELECT chrom, pos, strand, type, CAST(c AS BIGINT) AS c_reads, CAST(t AS BIGINT) AS t_reads FROM mt")
 def called_methylation(v):
-    b = v.base
-    return G.called_methylation(b, G.cytosine_types(G.call_genotypes(G.genotype_likelihoods(b))))
+    b = v.tiled_bases(2)
+    return G.called_methylation(b, G.cytosine_types(G.call_genotypes(G.genotype_likelihoods(b, counts=True))))
 
 
 SECOND = like_sql("meth", "b2").replace("eb AS", "eb2 AS").replace("FROM eb)", "FROM eb2)").replace("pb AS", "pb2 AS").replace("FROM pb ", "FROM pb2 ").replace("lk AS", "lk2 AS")

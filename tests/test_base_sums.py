@@ -131,3 +131,29 @@ def test_neighbours_do_not_move_positions(reads):
     calls = G.call_genotypes(G.genotype_likelihoods(tiled_bases(reads, 2, parts=3), around=2))
     plan = G.variant_classes(calls)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Window" not in plan
+
+
+@pytest.mark.parametrize("width, rows", [(16, 4), (64, 10000), (1 << 12, 7)])
+def test_called_methylation_stays_in_its_tile(spark, odd, width, rows):
+    """Reads of the same place with other reference bases count for each call there, as in the join with the bases."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        b, alone = tiled_bases(odd, 2, width=width), tiled_bases(odd).drop("tile")
+        types = G.cytosine_types(G.call_genotypes(G.genotype_likelihoods(b, counts=True)))
+        want = G.cytosine_types(G.call_genotypes(G.genotype_likelihoods(alone)))
+        lines = lambda d: sorted(map(str, d.select("chrom", "pos", "strand", "type").collect()))
+        assert want.count() and lines(types) == lines(want)
+        assert lines(G.cytosine_types(G.call_genotypes(G.genotype_likelihoods(b)))) == lines(want)
+        got, want = G.called_methylation(b, types), G.called_methylation(alone, want)
+        assert got.schema.simpleString() == want.schema.simpleString() and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_called_methylation_moves_reads_and_cytosines_only(reads):
+    b = tiled_bases(reads, 2, parts=3)
+    out = G.called_methylation(b, G.cytosine_types(G.call_genotypes(G.genotype_likelihoods(b, counts=True))))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "Join" not in plan and "Window" not in plan
